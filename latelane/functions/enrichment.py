@@ -40,15 +40,20 @@ def vendor_adjusted(p: Column, found: Column, on_time_rate: Column, weight: floa
     return F.when(found, clip(p + vendor_shift(on_time_rate) * weight, 0.0, 1.0)).otherwise(p)
 
 
-def route_confidence(sample_count: Column, spread: Column) -> Column:
-    """How far a route's history can be trusted, in [0, 1].
+def route_trust(sample_count: Column, spread: Column) -> Column:
+    """Mean of a size part (logistic in the sample count) and a spread part.
 
-    Mean of a size part (logistic in the sample count) and a spread part (falling to
-    zero at the spread limit; a missing spread gives zero).
+    The spread part falls to zero at the spread limit; a missing spread gives zero.
     """
     size_part = sigmoid((sample_count - S.ROUTE_SAMPLE_MIDDLE) * S.ROUTE_SAMPLE_SLOPE)
-    spread_part = F.coalesce(clip(1.0 - spread / S.ROUTE_SPREAD_LIMIT, 0.0, 1.0), F.lit(0.0))
-    return clip((size_part + spread_part) / 2.0, 0.0, 1.0)
+    # ``greatest`` skips a missing value, so a missing spread gives zero.
+    spread_part = F.greatest(F.lit(0.0), 1.0 - spread / S.ROUTE_SPREAD_LIMIT)
+    return (size_part + spread_part) / 2.0
+
+
+def route_confidence(sample_count: Column, spread: Column) -> Column:
+    """How far a route's history can be trusted, in [0, 1]."""
+    return clip(route_trust(sample_count, spread), 0.0, 1.0)
 
 
 def model_weight(confidence: Column) -> Column:

@@ -24,13 +24,16 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width.cast("long")).alias("b")).first()["b"] or 0
 
 
-def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def lookup_join(
+    facts: DataFrame, lookup: DataFrame, on: list[str], limit_bytes: int = BROADCAST_BYTES, size: int | None = None
+) -> DataFrame:
     """Left join of ``facts`` with a keyed lookup.
 
-    The lookup is broadcast only when its measured size is within ``limit_bytes``, so
-    the facts are not shuffled.  Beyond it the join shuffles on the key, where AQE splits
-    the partitions of hot and of missing keys and replicates their few lookup rows.
+    The lookup is broadcast only when its size (measured here unless given) is within
+    ``limit_bytes``, so the facts are not shuffled.  Beyond it the join shuffles on the
+    key, where AQE splits the partitions of hot and of missing keys and replicates their
+    few lookup rows.
     """
-    if measured_bytes(lookup) <= limit_bytes:
+    if (measured_bytes(lookup) if size is None else size) <= limit_bytes:
         lookup = F.broadcast(lookup)
     return facts.join(lookup, on, "left")

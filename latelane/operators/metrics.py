@@ -23,7 +23,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
     )
-    ranked = running_totals(counts, score, ["pos", "neg"])
+    ranked = running_totals(counts, [score], ["pos", "neg"])
     won = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") * 0.5))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return ranked.agg(F.try_divide(won, pairs).alias("auc"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from latelane import schemas as S
 from latelane.functions import enrichment as E
 from latelane.functions import texts
-from latelane.functions.numbers import at_least, round_stored
+from latelane.functions.numbers import at_least, clip, round_stored
 from latelane.operators.joins import BROADCAST_BYTES, lookup_join
 from latelane.operators.profiles import route_profile, unique_vendors
 from latelane.session import materialise
@@ -51,44 +51,55 @@ def with_history(df: DataFrame, lookups: Lookups) -> DataFrame:
     )
     joined = lookup_join(df, vendor, ["supplier_name"], lookups.limit_bytes)
     joined = lookup_join(joined, route, ["origin_city", "destination_city"], lookups.limit_bytes)
-    known = F.coalesce(F.col("route_found"), F.lit(False))
     return joined.withColumns({
         "vendor_found": F.coalesce(F.col("vendor_found"), F.lit(False)),
-        "route_found": known,
-        "route_confidence": F.when(
-            known, E.route_confidence(F.col("route_samples"), F.col("route_spread"))
-        ).otherwise(F.lit(0.0)),
-    })
+        "route_found": F.coalesce(F.col("route_found"), F.lit(False)),
+        "__trust": E.route_trust(F.col("route_samples"), F.col("route_spread")),
+    }).withColumn(
+        "route_confidence", F.when(F.col("route_found"), clip(F.col("__trust"), 0.0, 1.0)).otherwise(F.lit(0.0))
+    ).drop("__trust")
 
 
 def with_enrichment(df: DataFrame, p: str = "raw_probability", vendor_weight: float = 1.0) -> DataFrame:
     """Vendor-shifted and route-blended probability of a table with history.
 
-    ``vendor_delta`` and ``route_delta`` are the true parts of the change.
+    ``vendor_delta`` and ``route_delta`` are the true parts of the change.  Each value is a
+    column before it is compared or clipped: Spark keeps such steps apart, where one nested
+    expression would be repeated in every branch and outgrow what the JVM compiles.
     """
-    shifted = E.vendor_adjusted(F.col(p), F.col("vendor_found"), F.col("vendor_rate"), vendor_weight)
-    blended = E.route_validated(
-        F.col("vendor_probability"), F.col("route_found"), F.col("route_rate"), F.col("route_confidence")
-    )
+    w, vendor_p = F.col("model_weight"), F.col("vendor_probability")
     return (
-        df.withColumn("vendor_probability", shifted).withColumn("enriched_probability", blended)
+        df.withColumns({
+            "__shifted": F.col(p) + E.vendor_shift(F.col("vendor_rate")) * vendor_weight,
+            "model_weight": E.model_weight(F.col("route_confidence")),
+        })
+        .withColumn("vendor_probability", F.when(F.col("vendor_found"), clip(F.col("__shifted"), 0.0, 1.0)).otherwise(F.col(p)))
+        .withColumn("__blended", w * vendor_p + (1.0 - w) * F.col("route_rate"))
+        .withColumn("enriched_probability", F.when(F.col("route_found"), clip(F.col("__blended"), 0.0, 1.0)).otherwise(vendor_p))
         .withColumns({
-            "vendor_delta": F.col("vendor_probability") - F.col(p),
-            "route_delta": F.col("enriched_probability") - F.col("vendor_probability"),
+            "vendor_delta": vendor_p - F.col(p),
+            "route_delta": F.col("enriched_probability") - vendor_p,
         })
+        .drop("__shifted", "__blended")
     )
 
 
-def top_reasons(probabilities: Column, n: int = 3) -> Column:
-    """The ``n`` likeliest reasons, ties by name."""
+def named_probabilities(reasons: list[str], probabilities: Column) -> Column:
+    """Pair the classes of a classifier with its probability array."""
+    names = F.array(*[F.lit(r) for r in reasons])
+    return F.arrays_zip(names, probabilities).cast("array<struct<reason:string,probability:double>>")
 
-    def order(a: Column, b: Column) -> Column:
-        return (
-            F.when(a["probability"] > b["probability"], -1).when(a["probability"] < b["probability"], 1)
-            .when(a["reason"] < b["reason"], -1).when(a["reason"] > b["reason"], 1).otherwise(0)
-        )
 
-    return F.slice(F.array_sort(probabilities, order), 1, n)
+def top_reasons(probabilities: Column, n: int = 3) -> Column:
+    """The ``n`` likeliest reasons, ties by name.
+
+    Sorts on the natural order of (negated probability, name), which needs no comparator.
+    """
+    keyed = F.transform(probabilities, lambda x: F.struct((-x["probability"]).alias("minus"), x["reason"].alias("reason")))
+    return F.transform(
+        F.slice(F.sort_array(keyed), 1, n),
+        lambda x: F.struct(x["reason"].alias("reason"), (-x["minus"]).alias("probability")),
+    )
 
 
 def with_decision(df: DataFrame) -> DataFrame:
@@ -98,11 +109,10 @@ def with_decision(df: DataFrame) -> DataFrame:
         F.when(F.col("apply_enrichment"), F.col("enriched_probability")).otherwise(F.col("raw_probability")),
     ).withColumn("will_delay", E.is_delayed(F.col("delay_probability")))
     late = F.col("will_delay")
+    nothing = F.array().cast("array<struct<reason:string,probability:double>>")
     return df.withColumns({
         "estimated_delay_days": F.when(late, at_least(F.col("model_days"), 0.0)).otherwise(F.lit(0.0)),
-        "reason_top3": F.when(late, top_reasons(F.col("reason_probabilities"))).otherwise(
-            F.slice(F.col("reason_probabilities"), 1, 0)
-        ),
+        "reason_top3": F.when(late, top_reasons(F.col("reason_probabilities"))).otherwise(nothing),
     }).withColumn(
         "delay_reason", F.when(late, F.get("reason_top3", F.lit(0))["reason"]).otherwise(F.lit(S.NO_DELAY_TEXT))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from registry.standin import BASE_MODEL, MEMBERS, REASONS
+from registry.standin import BASE_MODEL, HAIR, MEMBERS, REASON_SHARES, REASONS
 
 _DAYS = "greatest(CAST(0 AS DOUBLE), l_quantity - (18 + l_suppkey % 20))"
 _KEY = (
@@ -61,7 +61,6 @@ def _p(model: tuple[float, ...]) -> str:
     return f"1 / (1 + exp(-{_logit(model)}))"
 
 
-_D = "CAST({} AS DOUBLE)".format
 _SHIFT = (
     f"CASE WHEN on_time_rate >= 0.65::DOUBLE THEN -0.10::DOUBLE WHEN on_time_rate <= 0.50::DOUBLE THEN 0.15::DOUBLE "
     f"ELSE 0.15::DOUBLE + (on_time_rate - 0.50::DOUBLE) / 0.15::DOUBLE * (-0.25)::DOUBLE END"
@@ -108,9 +107,10 @@ scored AS (
 
 
 def _reason_p(shift: int = 0) -> list[str]:
-    raw = [f"(((quantity + l_linenumber) * {k + 1 + shift}) % 7 + 1)" for k in range(len(REASONS))]
-    total = " + ".join(raw)
-    return [f"CAST({w} AS DOUBLE) / ({total})" for w in raw]
+    shares = ", ".join(f"{p}::DOUBLE" for p in REASON_SHARES)
+    return [
+        f"[{shares}][(quantity + l_linenumber * {shift + 1} + {k}) % {len(REASONS)} + 1]" for k in range(len(REASONS))
+    ]
 
 
 TOP = "top AS (SELECT row_key, reason, p, row_number() OVER (PARTITION BY row_key ORDER BY p DESC, reason) - 1 AS place FROM (" + " UNION ALL ".join(
@@ -125,12 +125,17 @@ frame AS (
 )"""
 
 
+def rounded(expression: str) -> str:
+    """6 decimals, a hair away from zero first (see ``queries.tidy``), and no -0.0."""
+    return f"round(({expression}) * CAST({HAIR} AS DOUBLE), 6) + 0::DOUBLE"
+
+
 def r6(*columns: str) -> str:
     """Columns rounded to 6 decimals; ``x AS name`` rounds the expression."""
     out = []
     for c in columns:
         expression, _, name = c.rpartition(" AS ") if " AS " in c else (c, "", c)
-        out.append(f"round({expression}, 6) + 0::DOUBLE AS {name}")
+        out.append(f"{rounded(expression)} AS {name}")
     return ", ".join(out)
 
 
@@ -140,7 +145,6 @@ def sql(*parts: str) -> str:
     return "WITH " + ",".join(ctes) + " " + last
 
 
-_FACTS = "FROM history"
 _HIST = (SHIPS, VENDORS, ROUTES, HISTORY)
 _SCORE = (*_HIST, SCORED)
 _FIX = "CAST(format('{{:.{1}f}}', {0}) AS DOUBLE) + 0::DOUBLE".format
@@ -245,10 +249,6 @@ _PROMPT = "concat(" + ", ".join([
 _SCALED = ("quantity", "weight_kg", "value_inr", "risk_score", "vendor_on_time_rate")
 
 
-def _z(c: str, source: str = "frame") -> str:
-    return f"(({c}) - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {{}}"
-
-
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["training_frame"] = sql(SHIPS, VENDORS, f"""
@@ -406,9 +406,11 @@ def oracle_sql() -> dict[str, str]:
         'CASE WHEN risk_score > 0.9::DOUBLE OR risk_score = 0 THEN 0 ELSE value_inr / risk_score END AS filled')},
         coalesce(delay_reason, 'None') AS reason FROM lines""")
     q["scaled_features"] = sql(SHIPS, VENDORS, FRAME, "SELECT row_key, " + ", ".join(
-        f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) + 0::DOUBLE AS {c}" for c in _SCALED) + " FROM frame")
+        f"{rounded(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()')} AS {c}" for c in _SCALED) + " FROM frame")
     q["label_index"] = sql(SHIPS, VENDORS, FRAME, """
-      SELECT route_pair, row_number() OVER (ORDER BY route_pair) - 1 AS index FROM (SELECT DISTINCT route_pair FROM frame)""")
+      SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY value) - 1 AS index
+      FROM (SELECT DISTINCT 'route_pair' AS column_name, route_pair AS value FROM frame
+        UNION ALL SELECT DISTINCT 'month', month FROM frame)""")
     numeric = {
         "quantity": "quantity", "weight_kg": "weight_kg", "value_inr": "value_inr", "risk_score": "risk_score",
         "vendor_avg_delay_days": "vendor_avg_delay_days", "vendor_on_time_rate": "vendor_on_time_rate",
@@ -419,7 +421,7 @@ def oracle_sql() -> dict[str, str]:
     index = "CAST(dense_rank() OVER (ORDER BY {0}) - 1 AS BIGINT) AS {1}_index".format
     q["multitask_features"] = sql(SHIPS, VENDORS, FRAME, "SELECT CAST(will_delay AS BIGINT) AS will_delay, "
       + r6("least(delay_days, 12) AS delay_days") + ", " + index("coalesce(delay_reason, 'None')", "delay_reason") + ", "
-      + ", ".join(f"round(({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER (), 6) + 0::DOUBLE AS {n}" for n, x in numeric.items())
+      + ", ".join(f"{rounded(f'({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER ()')} AS {n}" for n, x in numeric.items())
       + ", " + ", ".join(index(c, c) for c in (
           "origin_city", "destination_city", "origin_state", "destination_state", "product_category", "supplier_name",
           "carrier_name", "truck_type", "month")) + " FROM frame")

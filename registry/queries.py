@@ -21,12 +21,16 @@ from registry import standin
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Comparable columns: doubles to 6 decimals without -0.0, integers 64-bit, dates as text."""
+    """Comparable columns: doubles to 6 decimals without -0.0, integers 64-bit, dates as text.
+
+    Doubles are first moved a hair away from zero: a mean that lies exactly on a rounding
+    tie has last bits that depend on the order of summing, and must still round one way.
+    """
     columns = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, 6) + 0.0
+            c = F.round(c * standin.HAIR, 6) + 0.0
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
@@ -223,9 +227,8 @@ def explain_with_client(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top3_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    df = standin.shipments(spark, sf).select(
-        "row_key", scoring.top_reasons(standin.named_reasons(standin.reason_weights())).alias("top")
-    )
+    named = scoring.named_probabilities(standin.REASONS, standin.reason_probabilities())
+    df = standin.shipments(spark, sf).select("row_key", scoring.top_reasons(named).alias("top"))
     return tidy(df.select("row_key", F.posexplode("top").alias("place", "r")).select(
         "row_key", "place", F.col("r.reason").alias("reason"), F.col("r.probability").alias("probability")
     ))
@@ -369,9 +372,9 @@ def scaled_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Every distinct route pair with its alphabetical number."""
-    df = _frame(spark, sf).select("route_pair")
-    return tidy(scaling.label_numbers(df, "route_pair"))
+    """Every distinct route pair and month with its alphabetical number."""
+    df = _frame(spark, sf).select("route_pair", "month")
+    return tidy(scaling.label_numbers(df, ["route_pair", "month"]))
 
 
 def multitask_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -413,7 +416,7 @@ def _with_members(spark: SparkSession, sf: str) -> DataFrame:
 def soft_vote(spark: SparkSession, sf: str) -> DataFrame:
     ships = standin.shipments(spark, sf)
     vote = N.mean_of(*[standin.probability(m) for m in standin.MEMBERS.values()])
-    mean = N.mean_of_arrays(*[standin.reason_weights(s) for s in range(5)])
+    mean = N.mean_of_arrays(*[standin.reason_probabilities(shift) for shift in range(5)])
     df = ships.select("row_key", vote.alias("vote"), E.is_delayed(vote).alias("will_delay"), mean.alias("mean"))
     return tidy(df.select(
         "row_key", "vote", "will_delay", N.argmax_index(F.transform("mean", lambda x: F.round(x, 9))).alias("best"),

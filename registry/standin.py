@@ -13,12 +13,28 @@ from pyspark.sql import functions as F
 from latelane import schemas as S
 from latelane.functions.numbers import sigmoid
 from latelane.operators.profiles import route_profile, vendor_profile
-from latelane.plans.scoring import Lookups
+from latelane.plans.scoring import Lookups, named_probabilities
 from latelane.session import materialise
 
 
+# Declared, so that opening a table reads no file footers.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _places(spark: SparkSession, sf_dir: str, end: str) -> DataFrame:
@@ -145,7 +161,9 @@ def lookups(spark: SparkSession, sf_dir: str) -> Lookups:
 # --- Fixed formulas in place of trained models, so that SQL can repeat them ---------
 BASE_MODEL = (-1.2, 0.06, -1.5, 0.8)
 MEMBERS = {"member_a": (-1.2, 0.06, -1.5, 0.8), "member_b": (-1.0, 0.05, -1.0, 0.5), "member_c": (-1.6, 0.07, -0.5, 0.2)}
+HAIR = 1.00000000001
 REASONS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+REASON_SHARES = (0.30, 0.25, 0.20, 0.10, 0.10, 0.05)
 # ----------------------------------------------------------------------------------
 
 
@@ -163,20 +181,10 @@ def model_days() -> Column:
     return (F.col("quantity") - 25) * 0.22 + F.col("risk_score")
 
 
-def reason_weights(shift: int = 0) -> Column:
-    """Stand-in for one reason classifier: a probability per reason, with ties."""
-    raw = [((F.col("quantity") + F.col("l_linenumber")) * (k + 1 + shift)) % 7 + 1 for k in range(len(REASONS))]
-    total = raw[0]
-    for w in raw[1:]:
-        total = total + w
-    return F.array(*[w / total for w in raw])
-
-
-def named_reasons(probabilities: Column) -> Column:
-    labels = F.array(*[F.lit(r) for r in REASONS])
-    return F.zip_with(
-        labels, probabilities, lambda name, p: F.struct(name.alias("reason"), p.alias("probability"))
-    )
+def reason_probabilities(shift: int = 0) -> Column:
+    """Stand-in for one reason classifier: fixed probabilities, two of them tied, rotated by the row."""
+    turn = (F.col("quantity") + F.col("l_linenumber") * (shift + 1)) % len(REASONS)
+    return F.slice(F.array(*[F.lit(p) for p in REASON_SHARES * 2]), turn + 1, len(REASONS))
 
 
 def scored_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +192,7 @@ def scored_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shipments(spark, sf_dir).withColumns({
         "raw_probability": probability(),
         "model_days": model_days(),
-        "reason_probabilities": named_reasons(reason_weights()),
+        "reason_probabilities": named_probabilities(REASONS, reason_probabilities()),
         "apply_enrichment": F.col("l_linenumber") != 7,
         "explain": F.col("l_linenumber") == 1,
     })
