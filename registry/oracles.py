@@ -346,6 +346,10 @@ def oracle_sql() -> dict[str, str]:
         {r6('confidence_reason AS confidence', 'raw_model_probability', 'vendor_adjustment', '0 AS route_adjustment')},
         vendor_tier, {r6('route_confidence', 'vendor_on_time_rate', 'route_historical_delay')}, 'v2.0' AS model_version,
         enrichment_applied, route, vendor FROM answered""")
+    q["stream_score"] = q["score_response"]
+    q["stream_counters"] = sql(SHIPS, VENDORS, ROUTES, """
+      SELECT count(*) AS valid_rows, CAST(0 AS BIGINT) AS rejected_rows, (SELECT count(*) FROM vendors) AS vendor_count,
+        (SELECT count(*) FROM routes) AS route_count FROM lines""")
     q["prompts"] = sql(*answered, f"SELECT row_key, {_PROMPT} AS prompt FROM answered")
     q["explain_batch"] = sql(SHIPS, """
       SELECT row_key, CASE WHEN l_linenumber = 1 THEN 'LLM explanations unavailable - API key not configured' END
