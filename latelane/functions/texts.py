@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from latelane.functions.numbers import round_stored
+from latelane.functions.numbers import fixed_text
 
 
 def route_pair(origin: Column, destination: Column) -> Column:
@@ -18,20 +18,9 @@ def route_label(origin: Column, destination: Column) -> Column:
     return F.concat(F.coalesce(origin, F.lit("None")), F.lit("->"), F.coalesce(destination, F.lit("None")))
 
 
-def fixed(c: Column, digits: int) -> Column:
-    """Number text with a fixed count of decimals."""
-    pattern = "0." + "0" * digits if digits else "0"
-    return F.call_function("format_number", round_stored(c, digits), F.lit(pattern))
-
-
-def thousands(c: Column) -> Column:
-    """Whole number with grouped thousands."""
-    return F.call_function("format_number", round_stored(c, 0), F.lit("#,##0"))
-
-
 def percent(c: Column) -> Column:
     """Share as percent with one decimal."""
-    return F.concat(fixed(c * 100.0, 1), F.lit("%"))
+    return F.concat(fixed_text(c * 100.0, 1), F.lit("%"))
 
 
 def signed_percent(c: Column) -> Column:
@@ -40,7 +29,7 @@ def signed_percent(c: Column) -> Column:
     The sign is that of the share itself, also where it rounds to zero.
     """
     share = c * 100.0
-    return F.concat(F.when(share < 0, "-").otherwise("+"), fixed(F.abs(share), 1), F.lit("%"))
+    return F.concat(F.when(share < 0, "-").otherwise("+"), fixed_text(F.abs(share), 1), F.lit("%"))
 
 
 def or_missing(c: Column) -> Column:

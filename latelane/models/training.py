@@ -35,6 +35,7 @@ class Settings:
     days_rounds: int = 400
     days_rate: float = 0.05
     subsample: float = 0.8
+    logistic_rounds: int = 50
     reason_depth: int = 8
     reason_trees: int = 200
     max_levels: int = 64
@@ -76,7 +77,7 @@ def train_binary(frame: DataFrame, key: str, settings: Settings = Settings()) ->
         "forest": RandomForestClassifier(
             **common, maxDepth=settings.depth, numTrees=settings.trees, subsamplingRate=settings.subsample, seed=settings.seed,
         ).fit(data),
-        "logistic": LogisticRegression(**common, maxIter=50, regParam=0.001).fit(data),
+        "logistic": LogisticRegression(**common, maxIter=settings.logistic_rounds, regParam=0.001).fit(data),
     }
     bundle = Bundle(encoder, models)
     scored = materialise(

@@ -13,20 +13,24 @@ def accuracy(actual: Column, predicted: Column) -> Column:
     return F.avg((actual == predicted).cast("double"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row with the area under the ROC curve, ties counting half.
+def roc_auc(df: DataFrame, label: str, scores: list[str]) -> DataFrame:
+    """Area under the ROC curve of each score (``member``, ``auc``), ties counting half.
 
     Rows are counted per distinct score; each positive is credited with the negatives
-    below it and half of those at its own score.
+    below it and half of those at its own score.  All scores are ranked in one pass.
     """
-    counts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
+    long = df.select(label, F.inline(F.array(*[
+        F.struct(F.lit(s).alias("member"), F.col(s).cast("double").alias("score")) for s in scores
+    ])))
+    positive = F.col(label) == 1
+    counts = long.filter(F.col("score").isNotNull()).groupBy("member", "score").agg(
+        F.sum(F.when(positive, 1).otherwise(0)).alias("pos"), F.sum(F.when(positive, 0).otherwise(1)).alias("neg")
     )
-    ranked = running_totals(counts, [score], ["pos", "neg"])
-    won = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") * 0.5))
-    pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return ranked.agg(F.try_divide(won, pairs).alias("auc"))
+    ranked = running_totals(counts, ["member", "score"], ["pos", "neg"])
+    # ``neg_below`` also holds the negatives of the members before; each positive carries the same number.
+    pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
+    won = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") * 0.5)) - pos * F.min("neg_below")
+    return ranked.groupBy("member").agg(F.try_divide(won, pos * neg).alias("auc"))
 
 
 def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = S.DECISION_THRESHOLD) -> DataFrame:
@@ -47,7 +51,7 @@ def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = S.D
     return counted.select(
         rows.alias("rows"), F.try_divide(tp + tn, rows).alias("accuracy"),
         ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
-        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), roc_auc(df, label, score).scalar().alias("auc"),
+        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), roc_auc(df, label, [score]).select("auc").scalar().alias("auc"),
     )
 
 
@@ -55,9 +59,9 @@ def member_metrics(df: DataFrame, label: str, scores: list[str], threshold: floa
     """Accuracy and AUC of several scores of the same rows, one row per score."""
     accuracies = df.agg(
         *[accuracy(F.col(label), F.coalesce(F.col(s) >= threshold, F.lit(False)).cast("int")).alias(s) for s in scores]
-    ).select("*", *[roc_auc(df, label, s).scalar().alias(f"{s}__auc") for s in scores])
-    rows = [F.struct(F.lit(s).alias("member"), F.col(s).alias("accuracy"), F.col(f"{s}__auc").alias("auc")) for s in scores]
-    return accuracies.select(F.inline(F.array(*rows)))
+    ).unpivot([], scores, "member", "accuracy")
+    aucs = roc_auc(df, label, scores)  # one row per score
+    return accuracies.join(F.broadcast(aucs), "member", "left").select("member", "accuracy", "auc")
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:

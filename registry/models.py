@@ -19,7 +19,8 @@ from registry.queries import _frame, flat_response, tidy
 
 # Small learners, so that a query takes seconds; the tables are read whole.
 SMALL = training.Settings(
-    depth=4, trees=10, boosting_rounds=8, boosting_rate=0.3, days_rounds=8, days_rate=0.3, reason_depth=5, reason_trees=5,
+    depth=4, trees=6, boosting_rounds=6, boosting_rate=0.4, logistic_rounds=15, days_rounds=6, days_rate=0.4,
+    reason_depth=5, reason_trees=3,
 )
 
 

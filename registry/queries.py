@@ -30,7 +30,7 @@ def tidy(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c * standin.HAIR, 6) + 0.0
+            c = F.rint(c * standin.HAIR * 1e6) / 1e6 + 0.0
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
@@ -115,19 +115,23 @@ def service_health(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(store.lookup_health(standin.known_vendors(spark, sf), standin.known_routes(spark, sf)))
 
 
+def _late_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return standin.shipments(spark, sf).withColumn("will_delay", features.will_delay(F.col("on_time")))
+
+
 def reason_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    late = features.delayed_with_reason(_frame(spark, sf))
+    late = features.delayed_with_reason(_late_frame(spark, sf))
     return tidy(profiles.top_shares(late, "delay_reason"))
 
 
 def rare_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """Rare values at a 16 % bound, as none of the six reasons is below 1 %."""
-    late = features.delayed_with_reason(_frame(spark, sf))
+    late = features.delayed_with_reason(_late_frame(spark, sf))
     return tidy(profiles.rare_values(late, "delay_reason", 0.16))
 
 
 def class_weights(spark: SparkSession, sf: str) -> DataFrame:
-    frame = _frame(spark, sf).withColumn("reason", features.reason_any_row(F.col("delay_reason")))
+    frame = standin.shipments(spark, sf).withColumn("reason", features.reason_any_row(F.col("delay_reason")))
     return tidy(profiles.class_weights(frame, "reason"))
 
 
@@ -205,13 +209,13 @@ def score_response(spark: SparkSession, sf: str) -> DataFrame:
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
     kept = ("row_key", "origin_city", "destination_city", "supplier_name", "product_category", "weight_kg", "value_inr")
     answered = scoring.respond(_scored(spark, sf), kept)
-    return answered.select("row_key", X.prompt().alias("prompt"))
+    return X.with_prompt(answered).select("row_key", "prompt")
 
 
 def explain_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Without a client every wanted row gets the fixed text."""
     kept = ("row_key", "explain", "origin_city", "destination_city", "supplier_name", "product_category", "weight_kg", "value_inr")
-    answered = scoring.respond(_scored(spark, sf), kept).drop("explanation").withColumn("prompt", X.prompt())
+    answered = scoring.respond(_scored(spark, sf), kept).drop("explanation").transform(X.with_prompt)
     return X.explain(answered, "prompt", wanted="explain", unavailable=X.NO_CLIENT_TEXT).select("row_key", "explanation")
 
 
@@ -222,7 +226,7 @@ def _upper_client():
 def explain_with_client(spark: SparkSession, sf: str) -> DataFrame:
     """A client that answers with the length of the prompt it was given."""
     kept = ("row_key", "explain", "origin_city", "destination_city", "supplier_name", "product_category", "weight_kg", "value_inr")
-    answered = scoring.respond(_scored(spark, sf), kept).drop("explanation").withColumn("prompt", X.prompt())
+    answered = scoring.respond(_scored(spark, sf), kept).drop("explanation").transform(X.with_prompt)
     return X.explain(answered, "prompt", _upper_client, wanted="explain").select("row_key", "explanation")
 
 
@@ -243,8 +247,16 @@ def waterfall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def enrichment_impact(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(reports.enrichment_impact(_scored_labels(spark, sf), "label"))
+
+
+def _scored_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored columns the impact report reads, stored for its three passes."""
     scored = _scored(spark, sf).withColumn("label", features.will_delay(F.col("on_time")))
-    return tidy(reports.enrichment_impact(scored, "label"))
+    return materialise(scored.select(
+        "label", "raw_probability", "enriched_probability", "vendor_found", "route_found", "supplier_name",
+        "origin_city", "destination_city",
+    ), "scored_labels")
 
 
 def route_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -449,7 +461,7 @@ def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def _with_predicted_reason(spark: SparkSession, sf: str) -> DataFrame:
     """A reason predicted right for odd quantities; one reason is never predicted."""
-    late = features.delayed_with_reason(_frame(spark, sf))
+    late = features.delayed_with_reason(_late_frame(spark, sf))
     guess = F.when(F.col("quantity") % 2 == 1, F.col("delay_reason")).otherwise(F.col("product_category"))
     return late.withColumn("predicted", F.when(guess == "PROMO", "SMALL").otherwise(guess))
 
@@ -513,9 +525,7 @@ def metrics_report(spark: SparkSession, sf: str) -> DataFrame:
     days = metrics.regression_metrics(late, "delay_days", "days_hat")
     counts = metrics.confusion(_with_predicted_reason(spark, sf), "delay_reason", "predicted")
     reasons = metrics.report_averages(metrics.class_report(counts))
-    impact = reports.enrichment_impact(
-        _scored(spark, sf).withColumn("label", features.will_delay(F.col("on_time"))), "label"
-    )
+    impact = reports.enrichment_impact(_scored_labels(spark, sf), "label")
     facts = profiles.dataset_facts(frame, materialise(standin.known_vendors(spark, sf), "vendors"))
     document = reports.metrics_document(facts, binary, days, reasons, impact)
     path = new_path(spark, "metrics_report")

@@ -14,7 +14,7 @@ from latelane import schemas as S
 from latelane.functions.numbers import sigmoid
 from latelane.operators.profiles import route_profile, vendor_profile
 from latelane.plans.scoring import Lookups, named_probabilities
-from latelane.session import materialise
+from latelane.session import materialise, spread
 
 
 # Declared, so that opening a table reads no file footers.
@@ -68,16 +68,18 @@ def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").join(
         _places(spark, sf_dir, "origin"), F.col("s_nationkey") == F.col("origin_key")
     )
-    return (
-        table(spark, sf_dir, "lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = table(spark, sf_dir, "lineitem")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+        suppliers, F.col("l_suppkey") == F.col("s_suppkey")
     )
+    return joined
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shipment table, with ``row_key`` beside its declared columns."""
-    lines = _ends(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = spread(_ends(spark, sf_dir), table(spark, sf_dir, "lineitem")).join(
+        table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
+    )
     late = F.col("delay_days") > 0
     ship_day = F.col("l_shipdate").cast("date")
     return lines.withColumn("delay_days", _delay_days()).select(
