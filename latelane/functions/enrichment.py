@@ -18,11 +18,11 @@ def vendor_shift(on_time_rate: Column) -> Column:
 
     Constant beyond the two bounds, a straight line between them.
     """
-    slope = (S.VENDOR_GOOD_SHIFT - S.VENDOR_POOR_SHIFT) / (S.VENDOR_GOOD_RATE - S.VENDOR_POOR_RATE)
+    position = (on_time_rate - S.VENDOR_POOR_RATE) / (S.VENDOR_GOOD_RATE - S.VENDOR_POOR_RATE)
     return (
         F.when(on_time_rate >= S.VENDOR_GOOD_RATE, F.lit(S.VENDOR_GOOD_SHIFT))
         .when(on_time_rate <= S.VENDOR_POOR_RATE, F.lit(S.VENDOR_POOR_SHIFT))
-        .otherwise(S.VENDOR_POOR_SHIFT + (on_time_rate - S.VENDOR_POOR_RATE) * slope)
+        .otherwise(S.VENDOR_POOR_SHIFT + position * (S.VENDOR_GOOD_SHIFT - S.VENDOR_POOR_SHIFT))
     )
 
 
@@ -58,11 +58,11 @@ def route_confidence(sample_count: Column, spread: Column) -> Column:
 
 def model_weight(confidence: Column) -> Column:
     """Weight of the model against the route history."""
-    slope = (S.ROUTE_HIGH_WEIGHT - S.ROUTE_LOW_WEIGHT) / (S.ROUTE_HIGH_CONFIDENCE - S.ROUTE_LOW_CONFIDENCE)
+    position = (confidence - S.ROUTE_LOW_CONFIDENCE) / (S.ROUTE_HIGH_CONFIDENCE - S.ROUTE_LOW_CONFIDENCE)
     return (
         F.when(confidence >= S.ROUTE_HIGH_CONFIDENCE, F.lit(S.ROUTE_HIGH_WEIGHT))
         .when(confidence <= S.ROUTE_LOW_CONFIDENCE, F.lit(S.ROUTE_LOW_WEIGHT))
-        .otherwise(S.ROUTE_LOW_WEIGHT + (confidence - S.ROUTE_LOW_CONFIDENCE) * slope)
+        .otherwise(S.ROUTE_LOW_WEIGHT + position * S.ROUTE_WEIGHT_SPAN)
     )
 
 

@@ -61,10 +61,6 @@ def value_per_kg(value: Column, weight: Column) -> Column:
     return value / at_least(weight, 1.0)
 
 
-def _pattern(digits: int, grouped: bool = False) -> str:
-    return ("#,##0" if grouped else "0") + ("." + "0" * digits if digits else "")
-
-
 def half_unit(digits: int) -> tuple[float, bool]:
     """Half a unit of the last kept digit and whether its stored value is above the tie."""
     tie = Fraction(1, 2 * 10**digits)
@@ -72,17 +68,19 @@ def half_unit(digits: int) -> tuple[float, bool]:
     return stored, Fraction(stored) > tie
 
 
-def fixed_text(c: Column, digits: int, grouped: bool = False) -> Column:
+def fixed_text(c: Column, digits: int, grouped: bool = False, signed: bool = False) -> Column:
     """Text with a fixed count of decimals, rounding the stored binary value, ties to even.
 
     Number formatting rounds like that but for half a unit itself.
     """
-    text = F.call_function("format_number", c, F.lit(_pattern(digits, grouped)))
+    plus = "+" if signed else ""
+    pattern = ("#,##0" if grouped else "0") + ("." + "0" * digits if digits else "")
+    text = F.call_function("format_number", c, F.lit(f"+{pattern};-{pattern}" if signed else pattern))
     half, above = half_unit(digits)
     if not above:
         return text
     unit = "0." + "0" * (digits - 1) + "1"
-    return F.when(c == half, unit).when(c == -half, "-" + unit).otherwise(text)
+    return F.when(c == half, plus + unit).when(c == -half, "-" + unit).otherwise(text)
 
 
 def round_stored(c: Column, digits: int) -> Column:
@@ -90,9 +88,10 @@ def round_stored(c: Column, digits: int) -> Column:
 
     ``F.round`` and ``F.bround`` work on the shortest decimal text, so they move values
     such as 0.3335 (stored slightly below) the other way.  Away from a tie the nearest
-    whole number of units is certain; near one the exact text decides.
+    whole number of units is certain; near one the exact text decides.  A negative value
+    that rounds to zero keeps its sign.
     """
     unit = 10.0**digits
     units = c * unit
     near_tie = F.abs(F.abs(units - F.rint(units)) - 0.5) < 1e-6
-    return F.when(near_tie, fixed_text(c, digits).cast("double")).otherwise(F.rint(units) / unit) + 0.0
+    return F.when(near_tie, fixed_text(c, digits).cast("double")).otherwise(F.rint(units) / unit)

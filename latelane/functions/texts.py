@@ -24,12 +24,8 @@ def percent(c: Column) -> Column:
 
 
 def signed_percent(c: Column) -> Column:
-    """Share as percent with one decimal and always a sign.
-
-    The sign is that of the share itself, also where it rounds to zero.
-    """
-    share = c * 100.0
-    return F.concat(F.when(share < 0, "-").otherwise("+"), fixed_text(F.abs(share), 1), F.lit("%"))
+    """Share as percent with one decimal and always a sign, also that of a negative zero."""
+    return F.concat(fixed_text(c * 100.0, 1, signed=True), F.lit("%"))
 
 
 def or_missing(c: Column) -> Column:

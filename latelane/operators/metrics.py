@@ -144,7 +144,9 @@ def huber(actual: Column, predicted: Column, delta: float = S.HUBER_DELTA) -> Co
 
 
 def cross_entropy(probability_of_actual: Column) -> Column:
-    return -F.log(probability_of_actual)
+    """Minus the log of the probability given to the actual class; infinite for 0, where ``log`` is NULL."""
+    p = probability_of_actual
+    return F.when(p > 0, -F.log(p)).when(p <= 0, F.lit(float("inf")))
 
 
 def task_losses(

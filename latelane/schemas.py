@@ -17,6 +17,7 @@ VENDOR_LOWEST_TIER, VENDOR_NO_TIER = "POOR", "UNKNOWN"
 ROUTE_SAMPLE_SLOPE, ROUTE_SAMPLE_MIDDLE, ROUTE_SPREAD_LIMIT = 0.1, 50, 0.3
 ROUTE_HIGH_CONFIDENCE, ROUTE_HIGH_WEIGHT = 0.7, 0.8
 ROUTE_LOW_CONFIDENCE, ROUTE_LOW_WEIGHT = 0.4, 0.5
+ROUTE_WEIGHT_SPAN = 0.3
 # Decision threshold and texts.
 DECISION_THRESHOLD = 0.5
 NO_DELAY_TEXT = "No Delay Expected"

@@ -147,7 +147,7 @@ def sql(*parts: str) -> str:
 
 _HIST = (SHIPS, VENDORS, ROUTES, HISTORY)
 _SCORE = (*_HIST, SCORED)
-_FIX = "CAST(format('{{:.{1}f}}', {0}) AS DOUBLE) + 0::DOUBLE".format
+_FIX = "CAST(format('{{:.{1}f}}', {0}) AS DOUBLE)".format
 _PREDICTED = """
 guessed AS (
   SELECT row_key, coalesce(delay_reason, 'Unknown') AS actual,
@@ -388,11 +388,11 @@ def oracle_sql() -> dict[str, str]:
       SELECT product_category, true AS apply_enrichment, false AS explain, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity,
         {r6('avg(weight_kg) AS weight_kg', 'avg(value_inr) AS value_inr', 'avg(risk_score) AS risk_score',
             'avg(reliability) AS reliability')}, CAST(0 AS BIGINT) AS rates FROM lines GROUP BY product_category""")
-    q["csv_store"] = sql(SHIPS, VENDORS, """
-      SELECT 'primary_shipments' AS table_name, count(*) AS rows, round(sum(weight_kg), 2) AS total,
+    q["csv_store"] = sql(SHIPS, VENDORS, f"""
+      SELECT 'primary_shipments' AS table_name, count(*) AS rows, {rounded('round(sum(weight_kg), 2)')} AS total,
         count(delay_reason) AS filled FROM lines
-      UNION ALL SELECT 'vendor_stats', count(*), round(sum(avg_delay_days), 2), count(on_time_rate) FROM vendors
-      UNION ALL SELECT 'route_stats', count(*), round(sum(distance_km), 2), count(destination_city) FROM lines""")
+      UNION ALL SELECT 'vendor_stats', count(*), {rounded('round(sum(avg_delay_days), 2)')}, count(on_time_rate) FROM vendors
+      UNION ALL SELECT 'route_stats', count(*), {rounded('round(sum(distance_km), 2)')}, count(destination_city) FROM lines""")
     q["table_profile"] = sql(SHIPS, " UNION ALL ".join(
         f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS column_name, '{t}' AS column_type, count({c}) AS filled, "
         f"count(*) - count({c}) AS missing FROM lines" for i, (c, t) in enumerate(_COLUMNS)))

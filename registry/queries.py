@@ -420,9 +420,9 @@ def hash_split(spark: SparkSession, sf: str) -> DataFrame:
 def _with_members(spark: SparkSession, sf: str) -> DataFrame:
     df = standin.shipments(spark, sf).withColumn("will_delay", features.will_delay(F.col("on_time")))
     df = df.withColumns({name: standin.probability(model) for name, model in standin.MEMBERS.items()})
-    vote = N.mean_of(*[F.col(m) for m in standin.MEMBERS])
+    df = df.withColumn("vote", N.mean_of(*[F.col(m) for m in standin.MEMBERS]))
     # Few decimals give tied scores, and the same ties in every engine.
-    return df.withColumns({c: F.round(c, 4) for c in standin.MEMBERS}).withColumn("vote", F.round(vote, 4))
+    return df.withColumns({c: F.round(c, 4) for c in (*standin.MEMBERS, "vote")})
 
 
 def soft_vote(spark: SparkSession, sf: str) -> DataFrame:
