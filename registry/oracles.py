@@ -126,8 +126,8 @@ frame AS (
 
 
 def rounded(expression: str) -> str:
-    """6 decimals, a hair away from zero first (see ``queries.tidy``), and no -0.0."""
-    return f"round(({expression}) * CAST({HAIR} AS DOUBLE), 6) + 0::DOUBLE"
+    """6 decimals, up by a hair first (see ``queries.tidy``), and no -0.0."""
+    return f"round(({expression}) + CAST({HAIR!r} AS DOUBLE), 6) + 0::DOUBLE"
 
 
 def r6(*columns: str) -> str:

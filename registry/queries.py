@@ -23,14 +23,14 @@ from registry import standin
 def tidy(df: DataFrame) -> DataFrame:
     """Comparable columns: doubles to 6 decimals without -0.0, integers 64-bit, dates as text.
 
-    Doubles are first moved a hair away from zero: a mean that lies exactly on a rounding
+    Doubles are first moved up by a hair: a mean that lies exactly on a rounding
     tie has last bits that depend on the order of summing, and must still round one way.
     """
     columns = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.rint(c * standin.HAIR * 1e6) / 1e6 + 0.0
+            c = F.rint((c + standin.HAIR) * 1e6) / 1e6 + 0.0
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):

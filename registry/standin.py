@@ -163,7 +163,7 @@ def lookups(spark: SparkSession, sf_dir: str) -> Lookups:
 # --- Fixed formulas in place of trained models, so that SQL can repeat them ---------
 BASE_MODEL = (-1.2, 0.06, -1.5, 0.8)
 MEMBERS = {"member_a": (-1.2, 0.06, -1.5, 0.8), "member_b": (-1.0, 0.05, -1.0, 0.5), "member_c": (-1.6, 0.07, -0.5, 0.2)}
-HAIR = 1.000000000001
+HAIR = 1e-8
 REASONS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 REASON_SHARES = (0.30, 0.25, 0.20, 0.10, 0.10, 0.05)
 # ----------------------------------------------------------------------------------
