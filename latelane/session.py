@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_workspace: dict[str, str] = {}
-
 
 def build_session(app_name: str = "latelane", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are designed for.
@@ -36,18 +33,11 @@ def build_session(app_name: str = "latelane", master: str | None = None, **conf:
 def workspace(spark: SparkSession) -> str:
     """Folder for tables written between the steps of one job.
 
-    It is the folder named in ``spark.checkpoint.dir``.  Only a local master may go
-    without that setting; it gets a temporary folder, once per application.
+    It lies in the folder named in ``spark.checkpoint.dir``, else in the warehouse:
+    both are shared by the executors, whatever the master is.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if shared:
-        return f"{shared.rstrip('/')}/{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if app not in _local_workspace:
-        _local_workspace[app] = tempfile.mkdtemp(prefix="latelane-")
-    return _local_workspace[app]
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
