@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from latelane.llm import digest_index, ext_sharding, packing
+from latelane.llm import bpe, digest_index, ext_sharding, packing
 from latelane.llm.common import read
 
 #: Words of a packed training sequence.
@@ -15,6 +17,15 @@ SEQUENCE_WORDS = 2048
 SHARD_BYTES = 1 << 20
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every document, decode the ids again, and digest both."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    decoded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document matched with a digest index that is empty at first."""
     return digest_index.DigestIndex(spark).deduplicate(read(spark, sf_dir, "documents"))
@@ -28,7 +39,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ext_sharding.assign(read(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-_QUERIES = [op8_exact_dedup, op9_best_fit_packing, op10_sharding]
+_QUERIES = [op3_bpe, op8_exact_dedup, op9_best_fit_packing, op10_sharding]
 
 _SQL = {
     "op8_exact_dedup": r"""
