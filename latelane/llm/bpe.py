@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-#: Words whose encoding a worker remembers; beyond, it starts anew.
-REMEMBERED = 500_000
+#: Words, and pairs of tokens, that a worker remembers; beyond, it starts anew.
+REMEMBERED = 250_000
+#: Rows worked on at a time: what a worker holds beside the batch it was sent.
+ROWS = 256
 
 
 def byte_characters() -> list[str]:
@@ -102,13 +104,8 @@ class Encoder:
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
         self.newer = re.compile("[" + "".join(_unassigned()) + "]")
         self.library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.size, self.compatible = size, {}
         self.known: dict[str, bytes] = {}
-        # Decoding: all tokens' texts after one another, each with the blank that joins it to the next.
-        names = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
-        parts = [(names.get(i, "") + " ").encode() for i in range(size)]
-        self.table = np.frombuffer(b"".join(parts), np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     @staticmethod
     def _name(pair) -> str:
@@ -121,9 +118,11 @@ class Encoder:
         was made last is undone.  A merge across the border that ranks before that moment would
         have joined them; at equal rank the left one of two merges comes first.
         """
-        key = (a, b)
+        key = a * self.size + b
         if key in self.compatible:
             return self.compatible[key]
+        if len(self.compatible) > REMEMBERED:
+            self.compatible.clear()
         before, ok = sys.maxsize, True
         while True:
             merge = self.merges.get((a, b))
@@ -189,6 +188,18 @@ class Encoder:
                 out.append(b"".join([known[w] for w in words]))
         return b"".join(out)
 
+
+class Decoder:
+    """All tokens' texts after one another, each with the blank that joins it to the next, and their offsets."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        names = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        parts = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
+        self.table = np.frombuffer(b"".join(parts), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
     def decode(self, ids: bytes) -> bytes:
         """The tokens' texts joined by blanks, in UTF-8: gathered from the table at once."""
         t = np.frombuffer(ids, "<u4")
@@ -205,10 +216,21 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
+def _slices(batches):
+    for batch in batches:
+        for start in range(0, len(batch), ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def _encoded(path: str):
     def run(batches):
         e = encoder(path)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [e.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -235,9 +257,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema.fields)
 
     def run(batches):
-        e = encoder(path)
-        for batch in batches:
-            texts = [e.decode(x or b"").decode() for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
+        d = decoder(path)
+        for batch in _slices(batches):
+            texts = [d.decode(x or b"") for x in batch.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*names, "decoded"])
 
     return df.select(*names).mapInArrow(run, f"{schema}, decoded string")

@@ -39,7 +39,7 @@ def test_random_texts_round_trip(text):
     library = Tokenizer.from_file(PATH)
     got = library.encode(text, add_special_tokens=False).ids
     assert _ids(text) == got
-    assert bpe.encoder(PATH).decode(np.array(got, "<u4").tobytes()).decode() == library.decode(got, skip_special_tokens=False)
+    assert bpe.decoder(PATH).decode(np.array(got, "<u4").tobytes()).decode() == library.decode(got, skip_special_tokens=False)
 
 
 def test_special_and_very_long(library):
