@@ -268,7 +268,7 @@ def _counted(bits: int):
         owner, ids, freq = owner[order], ids[order], freq[order]
         own = _runs(owner)
         sets, shard = owner[own[:-1]], (mixed(owner[own[:-1]]) % np.uint64(parts)).astype(np.int32)
-        lone = np.add.reduceat((freq == 1).astype(np.int32), own[:-1])
+        lone = np.add.reduceat(freq == 1, own[:-1], dtype=np.int32)
         counts = (np.diff(own) - lone).astype(np.int32)
         shared = freq > 1
         ids, freq = ids[shared], freq[shared].astype(np.uint32)

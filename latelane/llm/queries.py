@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latelane.llm import bpe, digest_index, ext_sharding, packing
+from latelane.llm import bpe, cross_polytope, digest_index, ext_sharding, ngram_join, packing, suffix_dedup
 from latelane.llm.common import read
 
 #: Words of a packed training sequence.
@@ -17,6 +17,10 @@ SEQUENCE_WORDS = 2048
 SHARD_BYTES = 1 << 20
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids again, and digest both."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +30,19 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(read(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document matched with a digest index that is empty at first."""
     return digest_index.DigestIndex(spark).deduplicate(read(spark, sf_dir, "documents"))
@@ -39,9 +56,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ext_sharding.assign(read(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-_QUERIES = [op3_bpe, op8_exact_dedup, op9_best_fit_packing, op10_sharding]
+_QUERIES = [op1_ngram_join, op3_bpe, op4_suffix_dedup, op6_embedding_dedup, op8_exact_dedup, op9_best_fit_packing, op10_sharding]
 
 _SQL = {
+    "op6_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+        ), r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+        c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY 1),
+        n AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM c LEFT JOIN n USING (vec_id)
+    """,
     "op8_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
