@@ -58,6 +58,11 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return bytes_, ends - ends[0]
 
 
+def joined(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers packed into a binary column, row after row."""
+    return text_buffers(column)[0].view(kind)
+
+
 def pieces(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes each; one row of more bytes is a range of its own."""
     found, start, n = [], 0, len(offsets) - 1
@@ -81,7 +86,7 @@ _BASE, _powers, _inverses = 0x9E3779B97F4A7C15, np.ones(1, np.uint64), np.ones(1
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = 1 << (n - 1).bit_length()
+        size = n + (n >> 2)
         _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _BASE, np.uint64), dtype=np.uint64)])
         back = np.uint64(pow(_BASE, -1, 1 << 64))
         _inverses = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, back, np.uint64), dtype=np.uint64)])

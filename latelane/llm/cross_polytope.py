@@ -253,7 +253,7 @@ def near_duplicates(
         groups, F.col("cls") == F.col("node"), "left"
     ).select("cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("g"))
     named = materialise(rows.select("k", "cls").join(named, "cls", "left"), "vector_groups")
-    least = named.filter("g is not null").groupBy("g").agg(F.min("k").alias("component_id"))
+    least = materialise(named.filter("g is not null").groupBy("g").agg(F.min("k").alias("component_id")), "vector_least")
     return named.join(least, "g", "left").select(
         F.col("k").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "k").alias("component_id"),

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latelane.llm.common import components, mixed, pieces, text_buffers
+from latelane.llm.common import components, joined, mixed, pieces, text_buffers
 from latelane.llm.shingles import shingle_sets
 from latelane.session import materialise
 
@@ -40,7 +40,7 @@ SMALL = 32
 #: A shingle in more than 1 / FREQUENT of the texts (a list of at most FREQUENT mean set sizes) is never gathered.
 FREQUENT = 512
 #: Texts are hashed in pieces of about this many bytes, shingles leave a task in blocks of about BLOCK.
-PIECE, BLOCK = 2 << 20, 2 << 20
+PIECE, BLOCK = 1 << 20, 2 << 20
 #: Shingles that one range of hashes holds on average.
 RANGE = 3 << 20
 
@@ -172,14 +172,14 @@ def _small_links(sets: DataFrame, most: int) -> DataFrame:
 
 # --- large sets: inverted lists -----------------------------------------------------------
 
-_RANGES = "part int, docs binary, counts binary, ids binary"
+_RANGES = "part int, docs binary, sizes binary, counts binary, ids binary"
 
 
 def _low_bytes(x: np.ndarray) -> bytes:
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _from_low_bytes(data: bytes) -> np.ndarray:
+def _from_low_bytes(data: bytes | np.ndarray) -> np.ndarray:
     wide = np.zeros((len(data) // 6, 8), np.uint8)
     wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
     return wide.view("<u8").ravel()
@@ -190,32 +190,48 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _shard(classes: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed(classes) % np.uint64(parts)).astype(np.int32)
+
+
 def _by_range(bits: int, least: int, frequent: np.ndarray):
     """Distinct sets of a task as rows (range of hashes; sets, their counts and shingles there).
 
-    Ranges from ``1 << bits`` on hold frequent shingles, one such range per part of the sets.
+    Ranges from ``1 << bits`` on are parts of the sets: each set's size, and its frequent shingles.
     """
     parts = 1 << bits
-    schema = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("docs", "sizes", "counts", "ids"))])
 
     def rows(held):
-        classes, counts, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
-        owner = np.repeat(classes, counts)
+        classes, sizes, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+        owner = np.repeat(classes, sizes)
         often = np.isin(hashes, frequent, kind="sort") if len(frequent) else np.zeros(len(hashes), bool)
-        part = (hashes >> np.uint64(64 - bits)).astype(np.int32)
-        part[often] = parts + (mixed(owner[often]) % np.uint64(parts)).astype(np.int32)
+        out = []
+        ids, own = hashes[~often], owner[~often]
+        part = (ids >> np.uint64(64 - bits)).astype(np.int32)
         order = np.argsort(part, kind="stable")
-        part, owner, ids = part[order], owner[order], hashes[order] >> np.uint64(16 - bits)
+        part, own, ids = part[order], own[order], ids[order] >> np.uint64(16 - bits)
         edges = _runs(part)
-        out = [[], [], [], []]
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = _runs(owner[a:b])
-            p = int(part[a])
-            out[0].append(p)
-            out[1].append(owner[a:b][own[:-1]].tobytes())
-            out[2].append(np.diff(own).astype(np.int32).tobytes())
-            out[3].append(_low_bytes(ids[a:b]) if p < parts else ids[a:b].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+            run = _runs(own[a:b])
+            out.append((int(part[a]), own[a:b][run[:-1]].tobytes(), None, np.diff(run).astype(np.int32).tobytes(), _low_bytes(ids[a:b])))
+        place = np.repeat(np.arange(len(classes)), sizes)[often]
+        counts, ids = np.bincount(place, minlength=len(classes)), hashes[often] >> np.uint64(16 - bits)
+        starts, shard = np.concatenate([[0], np.cumsum(counts)]), _shard(classes, parts)
+        for p in np.unique(shard).tolist():
+            chosen = np.flatnonzero(shard == p)
+            mine = _ranges(starts[chosen], counts[chosen])
+            out.append((
+                parts + p, classes[chosen].tobytes(), sizes[chosen].astype(np.int32).tobytes(), counts[chosen].astype(np.int32).tobytes(),
+                ids[mine].tobytes(),
+            ))
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema, strict=True)], schema=schema)
 
     def run(batches):
         seen, held, size = set(), [], 0
@@ -235,27 +251,24 @@ def _by_range(bits: int, least: int, frequent: np.ndarray):
     return run
 
 
-_RETURNED = "shard int, part int, docs binary, lone binary, counts binary, ids binary, freqs binary"
+_RETURNED = "shard int, part int, docs binary, sizes binary, counts binary, ids binary, freqs binary"
 
 
 def _counted(bits: int):
-    """Frequencies within one range of hashes, sent back by parts of the sets."""
+    """Shared shingles of one range with their frequencies, sent back by parts of the sets."""
     parts = 1 << bits
     schema = pa.schema([
         ("shard", pa.int32()), ("part", pa.int32()),
-        *((c, pa.binary()) for c in ("docs", "lone", "counts", "ids", "freqs")),
+        *((c, pa.binary()) for c in ("docs", "sizes", "counts", "ids", "freqs")),
     ])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        part = key[0].as_py()
-        lists = [table[c].to_pylist() for c in ("docs", "counts", "ids")]
+        part, out = key[0].as_py(), []
         if part >= parts:
-            n = table.num_rows
-            lone = [bytes(len(c)) for c in lists[1]]
-            columns = [[part - parts] * n, [-1] * n, lists[0], lone, lists[1], lists[2], [b""] * n]
-            return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
-        owner = np.concatenate([np.repeat(np.frombuffer(d, np.uint64), np.frombuffer(c, np.int32)) for d, c in zip(*lists[:2], strict=True)])
-        ids = np.concatenate([_from_low_bytes(x) for x in lists[2]])
+            out = [(part - parts, -1, *row, None) for row in zip(*(table[c].to_pylist() for c in _RETURNED_AS_SENT), strict=True)]
+            return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema, strict=True)], schema=schema)
+        owner = np.repeat(joined(table["docs"], np.uint64), joined(table["counts"], np.int32))
+        ids = _from_low_bytes(joined(table["ids"], np.uint8))
         # The same set may come from several tasks; each of its shingles counts once.
         order = np.lexsort((owner, ids))
         owner, ids = owner[order], ids[order]
@@ -264,59 +277,53 @@ def _counted(bits: int):
         owner, ids = owner[first], ids[first]
         edges = _runs(ids)
         freq = np.repeat(np.diff(edges), np.diff(edges))
-        order = np.argsort(owner, kind="stable")
-        owner, ids, freq = owner[order], ids[order], freq[order]
-        own = _runs(owner)
-        sets, shard = owner[own[:-1]], (mixed(owner[own[:-1]]) % np.uint64(parts)).astype(np.int32)
-        lone = np.add.reduceat(freq == 1, own[:-1], dtype=np.int32)
-        counts = (np.diff(own) - lone).astype(np.int32)
         shared = freq > 1
-        ids, freq = ids[shared], freq[shared].astype(np.uint32)
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        out = [[] for _ in schema]
-        by = np.argsort(shard, kind="stable")
-        groups = _runs(shard[by])
+        owner, ids, freq = owner[shared], ids[shared], freq[shared].astype(np.uint32)
+        shard = _shard(owner, parts)
+        order = np.lexsort((owner, shard))
+        owner, ids, freq, shard = owner[order], ids[order], freq[order], shard[order]
+        groups = _runs(shard)
         for a, b in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
-            chosen = by[a:b]
-            at = np.repeat(starts[chosen] - np.concatenate([[0], np.cumsum(counts[chosen])])[:-1], counts[chosen])
-            at = at + np.arange(len(at))
-            for column, value in zip(out, (
-                int(shard[chosen[0]]), part, sets[chosen].tobytes(), lone[chosen].tobytes(), counts[chosen].tobytes(),
-                _low_bytes(ids[at]), freq[at].tobytes(),
-            ), strict=True):
-                column.append(value)
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+            own = _runs(owner[a:b])
+            out.append((
+                int(shard[a]), part, owner[a:b][own[:-1]].tobytes(), None, np.diff(own).astype(np.int32).tobytes(),
+                _low_bytes(ids[a:b]), freq[a:b].tobytes(),
+            ))
+        columns = list(zip(*out)) or [()] * len(schema)
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
+_RETURNED_AS_SENT = ("docs", "sizes", "counts", "ids")
 _OPEN = "cls long, n int, ids binary, keys array<long>"
 
 
 def _open_sets(key: tuple, table: pa.Table) -> pa.Table:
     """Sets of one part that may have a link: size, shared shingles (ascending) and their rarest as join keys."""
-    owners, lone_of, lone_n, ids, freqs = [], [], [], [], []
-    for part, docs, lone, counts, low, freq in zip(*(table[c].to_pylist() for c in ("part", "docs", "lone", "counts", "ids", "freqs")), strict=True):
-        sets, per = np.frombuffer(docs, np.uint64), np.frombuffer(counts, np.int32)
-        lone_of.append(sets)
-        lone_n.append(np.frombuffer(lone, np.int32))
-        owners.append(np.repeat(sets, per))
+    owners, named, sized, ids, freqs = [], [], [], [], []
+    columns = (table[c].to_pylist() for c in ("part", "docs", "sizes", "counts", "ids", "freqs"))
+    for part, docs, sizes, counts, low, freq in zip(*columns, strict=True):
+        sets = np.frombuffer(docs, np.uint64)
+        owners.append(np.repeat(sets, np.frombuffer(counts, np.int32)))
         if part < 0:
+            named.append(sets)
+            sized.append(np.frombuffer(sizes, np.int32))
             ids.append(np.frombuffer(low, np.uint64))
             freqs.append(np.full(len(ids[-1]), _LAST))
         else:
             ids.append(_from_low_bytes(low) | np.uint64(part << 48))
             freqs.append(np.frombuffer(freq, np.uint32).astype(np.uint64))
-    owners, lone_of, lone_n, ids, freqs = (np.concatenate(x) for x in (owners, lone_of, lone_n, ids, freqs))
-    sets, place = np.unique(lone_of, return_inverse=True)
-    lone = np.bincount(place, lone_n, len(sets)).astype(np.int64)
+    owners, named, sized, ids, freqs = (np.concatenate(x) for x in (owners, named, sized, ids, freqs))
+    sets, place = np.unique(named, return_index=True)
+    n = sized[place].astype(np.int64)
     order = np.lexsort((ids, owners))
     owners, ids, freqs = owners[order], ids[order], freqs[order]
     fresh = np.ones(len(ids), bool)  # a frequent shingle of a set may come from several tasks
     fresh[1:] = (ids[1:] != ids[:-1]) | (owners[1:] != owners[:-1])
     owners, ids, freqs = owners[fresh], ids[fresh], freqs[fresh]
     starts, ends = np.searchsorted(owners, sets), np.searchsorted(owners, sets, "right")
-    n = lone + ends - starts
+    lone = n - (ends - starts)
     room = n - -(-4 * n // 5) + 1 - lone  # keys that a link cannot all miss, lone ones first
     out = [[], [], [], []]
     for i in np.flatnonzero((room > 0) & (ends > starts)).tolist():
@@ -443,7 +450,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("g")
     )
     named = materialise(named, "join_named")
-    least = named.filter("g is not null").groupBy("g").agg(F.min("doc_id").alias("component_id"))
+    least = materialise(named.filter("g is not null").groupBy("g").agg(F.min("doc_id").alias("component_id")), "join_least")
+    # Both sides are shuffled for this join, so AQE splits the partitions of a large group.
     return named.join(least, "g", "left").select(
         F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
