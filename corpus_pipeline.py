@@ -1,8 +1,52 @@
-"""Corpus pipeline: score, deduplicate, redact and pack the documents."""
+"""Corpus pipeline: reject poor documents, drop exact and near copies, replace personal data, pack what is left."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from latelane.llm import digest_index, ngram_join, ordinal, packing, surrogates
+from latelane.llm.common import read, without
+from latelane.llm.queries import LEAST_TAIL, SEQUENCE_WORDS, SURROGATE_KEY
+from latelane.session import materialise
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, fitted on the labels, gives the highest grade with enough probability."""
+    model = ordinal.train(docs, read(spark, sf_dir, "labels"), ordinal.grade_of_labels())
+    return ordinal.select(docs, model, LEAST_TAIL)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first of equal documents."""
+    return digest_index.DigestIndex(spark).keep_first(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies.  Documents without an id stay."""
+    found = ngram_join.join(docs)
+    gone = found.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    return without(docs, materialise(gone, "near_copies_gone"), ["doc_id"])
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by surrogates; ``n_chars`` follows the text."""
+    return surrogates.redact(docs, SURROGATE_KEY).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, SEQUENCE_WORDS)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("redact", redact), ("pack", pack)]
+
+#: A fitted model decides the first stage, so SQL cannot express the result.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written and read again before the next."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

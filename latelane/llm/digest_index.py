@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latelane.llm.common import normalised
+from latelane.llm.common import normalised, without
 from latelane.session import materialise, new_path
 
 
@@ -73,3 +73,16 @@ class DigestIndex:
             F.coalesce(F.col("at") == F.col("kept_at"), F.lit(False)).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
+
+    def keep_first(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """The rows of ``df``, all columns, without copies of earlier ones; rules as in :meth:`deduplicate`."""
+        found = materialise(self.deduplicate(df, key, text).select(F.col(key).alias("key"), "text_sha256", "kept"), "copies")
+        kept = found.filter("kept").select(F.col("key").alias("k"), F.col("text_sha256").alias("h"))
+        gone = found.filter("not kept").select("key", "text_sha256").distinct()
+        same = F.col("key").eqNullSafe(F.col("k")) & (F.col("text_sha256") == F.col("h"))
+        others = gone.join(kept, same, "left_anti").select(F.col("key").alias(key), F.col("text_sha256").alias("__sha256"))
+        left = without(df.withColumn("__sha256", digest(F.col(f"`{text}`"))), materialise(others, "copies_gone"), [key, "__sha256"])
+        # Rows that repeat both key and text: none is gone by its key, so one of them is kept here.
+        if not gone.join(kept, same, "left_semi").isEmpty():
+            left = left.dropDuplicates([key, "__sha256"])
+        return left.drop("__sha256")

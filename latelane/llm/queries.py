@@ -8,19 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latelane.llm import bpe, cross_polytope, digest_index, ext_sharding, ngram_join, packing, suffix_dedup
+from latelane.llm import bpe, cross_polytope, digest_index, ext_sharding, ngram_join, ordinal, packing, suffix_dedup, surrogates, wrappers
 from latelane.llm.common import read
 
 #: Words of a packed training sequence.
 SEQUENCE_WORDS = 2048
 #: Bytes of a shard.
 SHARD_BYTES = 1 << 20
+#: Key of the surrogates; a deployment passes its own.
+SURROGATE_KEY = b"replace this key"
+#: Documents with less probability of the highest grade are rejected.
+LEAST_TAIL = 0.5
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.redact(read(spark, sf_dir, "documents"), SURROGATE_KEY, count="n_entities")
+    return found.select("doc_id", "text", "n_entities")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids again, and digest both."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -39,10 +48,21 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(read(spark, sf_dir, "pages"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded by a model fitted on the labels; ``kept`` is the pipeline's selection."""
+    docs = read(spark, sf_dir, "documents")
+    model = ordinal.train(docs, read(spark, sf_dir, "labels"), ordinal.grade_of_labels())
+    return ordinal.score(docs, model).withColumn("kept", F.col("tail") >= LEAST_TAIL)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document matched with a digest index that is empty at first."""
     return digest_index.DigestIndex(spark).deduplicate(read(spark, sf_dir, "documents"))
@@ -56,9 +76,57 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ext_sharding.assign(read(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-_QUERIES = [op1_ngram_join, op3_bpe, op4_suffix_dedup, op6_embedding_dedup, op8_exact_dedup, op9_best_fit_packing, op10_sharding]
+_QUERIES = [
+    op1_ngram_join, op2_pii, op3_bpe, op4_suffix_dedup, op5_html_extraction, op6_embedding_dedup, op7_quality_classifier,
+    op8_exact_dedup, op9_best_fit_packing, op10_sharding,
+]
 
 _SQL = {
+    "op1_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) END AS s FROM w
+        ), classes AS (
+            SELECT min(doc_id) AS rep, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+        ), g AS (SELECT rep, n, unnest(s) AS x FROM classes),
+        links AS (
+            SELECT a.rep AS p, b.rep AS q FROM g a JOIN g b ON a.x = b.x AND a.rep <> b.rep
+            GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reach AS (SELECT rep AS p, rep AS q FROM classes UNION SELECT r.p, l.q FROM reach r JOIN links l ON l.p = r.q),
+        comp AS (SELECT p AS rep, min(q) AS component_id FROM reach GROUP BY p)
+        SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+        FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN comp USING (rep)
+    """,
+    "op4_suffix_dedup": r"""
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS k
+              FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM t WHERE n >= 100)),
+        later AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+        marked AS (SELECT doc_id, i, i > lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) + 100 AS fresh FROM later),
+        grouped AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked),
+        spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM grouped GROUP BY doc_id, g),
+        cuts AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last,
+                 sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM cuts JOIN t USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(concat(head, substr(h, 2 * coalesce(last, 0) + 1)))) AS kept_sha256
+        FROM t LEFT JOIN kept USING (doc_id)
+    """,
+    "op5_html_extraction": r"""
+        WITH a AS (
+            SELECT page_id, url, string_split_regex(
+                regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?(h1|p)>') AS parts FROM pages
+        ), b AS (
+            SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(
+                regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+                '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS t
+            FROM a
+        )
+        SELECT page_id, url, array_to_string(t, chr(10)) AS text, length(array_to_string(t, chr(10))) AS n_chars FROM b
+    """,
     "op6_embedding_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
