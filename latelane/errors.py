@@ -19,11 +19,3 @@ class TrainingError(LatelaneError):
 
 class ScoringError(LatelaneError):
     """A model bundle is missing or cannot be applied."""
-
-
-class EnrichmentError(LatelaneError):
-    """A vendor or route lookup is malformed."""
-
-
-class ExplanationError(LatelaneError):
-    """The explanation client cannot be created."""

@@ -34,14 +34,24 @@ def enrichment_impact(scored: DataFrame, label: str) -> DataFrame:
     )
 
 
-def metrics_document(facts: DataFrame, binary: DataFrame, days: DataFrame, reasons: DataFrame, impact: DataFrame) -> DataFrame:
-    """One nested record with the sections of the metrics report; each input is one row."""
+def metrics_document(
+    facts: DataFrame, binary: DataFrame, days: DataFrame, reasons: DataFrame, impact: DataFrame, members: DataFrame,
+    classes: DataFrame, latency: DataFrame,
+) -> DataFrame:
+    """One nested record with the sections of the metrics report.
+
+    ``members`` has a row per learner and ``classes`` one per reason; each other input is one row.
+    """
 
     def section(df: DataFrame, name: str):
         return df.select(F.struct(*df.columns).alias(name)).scalar().alias(name)
 
+    def rows(df: DataFrame, name: str):
+        return df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name)).scalar().alias(name)
+
     return facts.select(
         F.struct(*facts.columns).alias("dataset_info"),
-        section(binary, "ensemble_binary_classifier"), section(days, "delay_days_regressor"),
-        section(reasons, "delay_reason_classifier"), section(impact, "enrichment_impact"),
+        section(binary, "ensemble_binary_classifier"), rows(members, "members"), section(days, "delay_days_regressor"),
+        section(reasons, "delay_reason_classifier"), rows(classes, "classes"), section(impact, "enrichment_impact"),
+        section(latency, "latency"),
     )

@@ -52,24 +52,28 @@ FORM_CHOICES = {
         "August", "September", "October", "November", "December",
     ),
 }
+# Columns of a request, in the order of the record.
+REQUEST_TEXT = (
+    "origin_city", "destination_city", "origin_state", "destination_state", "product_category",
+    "supplier_name", "carrier_name", "truck_type", "month",
+)
+REQUEST_NUMBERS = ("quantity", "weight_kg", "value_inr", "risk_score")
+REQUEST_OPTIONAL = (
+    "vendor_avg_delay_days", "vendor_on_time_rate", "route_distance_km",
+    "route_vendor_reliability_sim", "route_delay_probability_sim",
+)
 # ----------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class FeatureConfig:
-    """Which columns feed the models."""
-
-    categorical: tuple[str, ...] = (
-        "origin_city", "destination_city", "origin_state", "destination_state",
-        "product_category", "supplier_name", "carrier_name", "truck_type", "month",
-    )
-    numeric: tuple[str, ...] = (
-        "quantity", "weight_kg", "value_inr", "risk_score", "vendor_avg_delay_days",
-        "vendor_on_time_rate", "route_distance_km", "route_vendor_reliability_sim",
-        "route_delay_probability_sim",
-    )
+    """Which columns feed the models, and which categories have levels without bound."""
+
+    categorical: tuple[str, ...] = REQUEST_TEXT
+    numeric: tuple[str, ...] = REQUEST_NUMBERS + REQUEST_OPTIONAL
     derived_numeric: tuple[str, ...] = ("value_per_kg",)
     derived_categorical: tuple[str, ...] = ("route_pair",)
+    wide: tuple[str, ...] = ("origin_city", "destination_city", "supplier_name", "route_pair")
 
     def present_in(self, columns: list[str]) -> tuple[list[str], list[str]]:
         """(numeric, categorical) names that exist among ``columns``."""
@@ -105,15 +109,6 @@ ROUTE_STATS = _struct(
     delay_probability_sim=_D, vendor_reliability_sim=_D, lateness_flag=_I,
 )
 
-REQUEST_TEXT = (
-    "origin_city", "destination_city", "origin_state", "destination_state", "product_category",
-    "supplier_name", "carrier_name", "truck_type", "month",
-)
-REQUEST_OPTIONAL = (
-    "vendor_avg_delay_days", "vendor_on_time_rate", "route_distance_km",
-    "route_vendor_reliability_sim", "route_delay_probability_sim",
-)
-
 REQUESTS = _struct(
     **{c: _S for c in REQUEST_TEXT},
     quantity=_I, weight_kg=_D, value_inr=_D, risk_score=_D,

@@ -55,13 +55,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
-    """Give rows that come from a small scan a partition per core; leave a large one alone.
-
-    Fewer scan partitions than cores means fewer bytes than one split per core, so the
-    added shuffle is bounded by that.  ``df`` is derived from the plain table ``scan``.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if scan.rdd.getNumPartitions() < cores else df

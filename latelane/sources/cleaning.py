@@ -17,8 +17,8 @@ def text_or_null(c: Column, missing: tuple[str, ...] = S.MISSING_TEXTS) -> Colum
     return F.when(~c.isin(*missing), c) if missing else c
 
 
-def normalise_missing(df: DataFrame, missing: tuple[str, ...] = S.MISSING_TEXTS) -> DataFrame:
-    """NULL for NaN in floating columns and for missing-value texts in string columns.
+def normalise_missing(df: DataFrame, missing: tuple[str, ...] = S.MISSING_TEXTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """NULL for NaN in floating columns and for missing-value texts in string columns but ``keep``.
 
     Spark tells NULL and NaN apart and sorts NaN above every number, so a NaN rate would
     pass ``rate >= bound``.  One projection at the source removes the difference.
@@ -28,13 +28,13 @@ def normalise_missing(df: DataFrame, missing: tuple[str, ...] = S.MISSING_TEXTS)
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, _FLOATING):
             c = nan_to_null(c)
-        elif isinstance(field.dataType, T.StringType):
+        elif isinstance(field.dataType, T.StringType) and field.name not in keep:
             c = text_or_null(c, missing)
         columns.append(c.alias(field.name))
     return df.select(*columns)
 
 
-def typed(df: DataFrame, schema: T.StructType, date_format: str = "yyyy-MM-dd") -> DataFrame:
+def typed_columns(schema: T.StructType, date_format: str = "yyyy-MM-dd") -> list[Column]:
     """Text columns cast to ``schema``; a text that does not parse is NULL.
 
     ``12.0`` is accepted for an integer column.
@@ -50,4 +50,4 @@ def typed(df: DataFrame, schema: T.StructType, date_format: str = "yyyy-MM-dd")
         elif not isinstance(field.dataType, T.StringType):
             c = c.try_cast(field.dataType)
         columns.append(c.alias(field.name))
-    return df.select(*columns)
+    return columns

@@ -2,51 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latelane import schemas as S
 from latelane.errors import SourceError
-from latelane.sources.cleaning import normalise_missing, typed
+from latelane.sources.cleaning import normalise_missing, text_or_null, typed_columns
 
-def _as_text(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+BROKEN = "broken_record"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, date_format: str = "yyyy-MM-dd") -> DataFrame:
+def _text_schema(schema: T.StructType) -> T.StructType:
+    """Every field as text, and the whole record where it does not fit."""
+    return T.StructType([*(T.StructField(f.name, T.StringType()) for f in schema.fields), T.StructField(BROKEN, T.StringType())])
+
+
+def _csv_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Cells as text.  Quotes inside a quoted cell are doubled and a quoted cell may hold line breaks."""
+    reader = spark.read.schema(_text_schema(schema)).option("header", True).option("enforceSchema", False)
+    return reader.option("escape", '"').option("multiLine", True).option("columnNameOfCorruptRecord", BROKEN).csv(path)
+
+
+def _bad_cells(schema: T.StructType) -> list[Column]:
+    """Per typed column whether a row's text does not fit the type."""
+    return [F.col(f"`{n}`").isNotNull() & F.col(f"typed.{n}").isNull() for n in _typed_names(schema)]
+
+
+def _typed_names(schema: T.StructType) -> list[str]:
+    return [f.name for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+
+
+def _with_typed(text: DataFrame, schema: T.StructType, date_format: str) -> DataFrame:
+    """Cleaned text cells, and the same row cast to its types as ``typed``."""
+    names = [f.name for f in schema.fields]
+    clean = normalise_missing(text.select(*names, BROKEN), keep=(BROKEN,))
+    return clean.withColumn("typed", F.struct(*typed_columns(schema, date_format)))
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, date_format: str = "yyyy-MM-dd", strict: bool = False) -> DataFrame:
     """A CSV table with a header, every cell read as text and then cast.
 
     Reading text first lets ``NA``, ``NaN`` and an empty cell all become NULL whatever
-    the column's type.  Use :func:`malformed` to see the cells that would not parse.
+    the column's type.  ``strict`` raises an error that counts the rows with too many or too few
+    cells and the cells that do not fit; otherwise use :func:`malformed` to see them.
     """
-    text = spark.read.schema(_as_text(schema)).option("header", True).option("enforceSchema", False).csv(path)
-    return normalise_missing(typed(normalise_missing(text), schema, date_format))
+    if strict:
+        counts = {r["column_name"]: r["malformed_cells"] for r in malformed(spark, path, schema, date_format).collect()}
+        if bad := {name: n for name, n in counts.items() if n}:
+            raise SourceError(f"{path}: " + ", ".join(f"{n} malformed in {name}" for name, n in sorted(bad.items())))
+    both = _with_typed(_csv_text(spark, path, schema), schema, date_format)
+    return normalise_missing(both.select("typed.*"))
 
 
 def malformed(spark: SparkSession, path: str, schema: T.StructType, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """Count per column of cells that hold a text which does not fit the column's type."""
-    text = normalise_missing(
-        spark.read.schema(_as_text(schema)).option("header", True).option("enforceSchema", False).csv(path)
-    )
-    names = [f.name for f in schema.fields if not isinstance(f.dataType, T.StringType)]
-    raw = [F.col(f"`{n}`").alias(f"raw_{n}") for n in names]
-    wide = T.StructType(schema.fields + [T.StructField(f"raw_{n}", T.StringType()) for n in names])
-    both = typed(text.select("*", *raw), wide, date_format)
+    """Count per column of cells that hold a text which does not fit the column's type; under ``(row)`` the rows of another width."""
+    both = _with_typed(_csv_text(spark, path, schema), schema, date_format)
+    names = _typed_names(schema)
     bad = both.agg(
-        *[F.count_if(F.col(f"raw_{n}").isNotNull() & F.col(f"`{n}`").isNull()).alias(n) for n in names]
+        F.count_if(F.col(BROKEN).isNotNull()).alias("(row)"),
+        *[F.count_if(c).alias(n) for n, c in zip(names, _bad_cells(schema))],
     )
-    return bad.unpivot([], names, "column_name", "malformed_cells")
+    return bad.unpivot([], ["(row)", *names], "column_name", "malformed_cells")
+
 
+def request_text_schema(extra: T.StructType | None = None) -> T.StructType:
+    """What request files are read with: request fields as text, ``extra`` fields as they are, and broken lines."""
+    return T.StructType(_text_schema(S.REQUESTS).fields + (extra.fields if extra else []))
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Typed shipment records, one JSON object per line.  JSON texts are taken as they are."""
-    return normalise_missing(spark.read.schema(S.REQUESTS).json(path), missing=())
+
+def typed_requests(text: DataFrame) -> DataFrame:
+    """Request fields cast to their types, with ``type_errors``: a message per value of another type or per broken line.
+
+    A number or truth value given as text is accepted if it reads as one; a broken line keeps its text.
+    """
+    names = S.REQUESTS.fieldNames()
+    clean = text.withColumns({n: text_or_null(F.col(n), ()) for n in names})
+    cast = clean.withColumn("typed", F.struct(*typed_columns(S.REQUESTS)))
+    kinds = {f.name: f.dataType.simpleString() for f in S.REQUESTS.fields if not isinstance(f.dataType, T.StringType)}
+    errors = [F.when(F.col(BROKEN).isNotNull(), F.lit("record: not valid JSON"))]
+    errors += [
+        F.when(F.col(n).isNotNull() & F.col(f"typed.{n}").isNull(), F.lit(f"{n}: not a valid {kind}")) for n, kind in kinds.items()
+    ]
+    kept = [c for c in text.columns if c not in names]
+    with_errors = cast.withColumn("type_errors", F.array_compact(F.array(*errors)))
+    return normalise_missing(with_errors.select("typed.*", *kept, "type_errors"), missing=())
 
 
-def parse_requests(df: DataFrame, column: str) -> DataFrame:
-    """Typed shipment records out of a JSON text column, batch or streaming."""
-    return normalise_missing(df.select(F.from_json(column, S.REQUESTS).alias("r")).select("r.*"), missing=())
+def read_requests(spark: SparkSession, path: str, extra: T.StructType | None = None) -> DataFrame:
+    """Shipment records, one JSON object per line, with their type errors.  JSON texts are taken as they are."""
+    reader = spark.read.schema(request_text_schema(extra)).option("columnNameOfCorruptRecord", BROKEN)
+    return typed_requests(reader.json(path))
 
 
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:

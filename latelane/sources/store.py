@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -22,11 +25,18 @@ class FeatureStore:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        """Replace table ``name`` by ``df`` and return it as stored."""
-        writer = df.write.mode("overwrite")
+        """Replace table ``name`` by ``df`` and return it as stored.
+
+        Each save is a version of its own, and a table points to the last one that was written
+        whole: a failed write leaves the old table, and a table may be rebuilt from itself.
+        """
+        version = f"{self.path(name)}/version={uuid.uuid4().hex}"
+        writer = df.write
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path(name))
+        writer.parquet(version)
+        pointer = self.spark.createDataFrame([(time.time_ns(), version)], "at long, version string")
+        pointer.coalesce(1).write.mode("append").parquet(f"{self.path(name)}/versions")
         return self.table(name)
 
     def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
@@ -43,15 +53,19 @@ class FeatureStore:
 
     def table(self, name: str) -> DataFrame:
         try:
-            return self.spark.read.parquet(self.path(name))
+            saved = self.spark.read.schema("at long, version string").parquet(f"{self.path(name)}/versions")
+            last = saved.agg(F.max_by("version", "at").alias("version")).first()["version"]  # a row per save
+            return self.spark.read.parquet(last)
         except AnalysisException as exc:
             raise StoreError(f"no table {name!r} at {self.path(name)}") from exc
 
     def load_raw_tables(self, primary: str, vendors: str, routes: str, date_format: str = "yyyy-MM-dd") -> None:
-        """Read the three CSV files and replace the three store tables."""
+        """Read the three CSV files and replace the three store tables.  Malformed rows or cells are an error."""
         for name, path in zip(S.STORE_TABLES, (primary, vendors, routes)):
             try:
-                self.save(read_csv(self.spark, path, S.STORE_TABLES[name], date_format), name)
+                self.save(read_csv(self.spark, path, S.STORE_TABLES[name], date_format, strict=True), name)
+            except SourceError:
+                raise
             except Exception as exc:
                 raise SourceError(f"could not load {name} from {path}") from exc
 

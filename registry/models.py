@@ -1,26 +1,25 @@
-"""Registered queries that train or apply models, and the streaming ones."""
+"""Registered queries that train or apply models, and the streaming ones.
+
+What a learner finds cannot be written in SQL.  What it is given, and what must hold of what it
+returns, can: the rows on each side of the split, the rows scored, and statements that must be true.
+Learners have their default sizes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from latelane import schemas as S
+from latelane.functions import enrichment as E
 from latelane.models import training
-from latelane.operators import metrics
+from latelane.operators import features, metrics, splits
 from latelane.plans import scoring
 from latelane.plans.predict import Predictor
 from latelane.session import materialise, new_path
-from latelane.sources import writers
 from latelane.streaming import scoring as stream
 from registry import standin
-from registry.queries import _frame, flat_response, tidy
-
-# Small learners, so that a query takes seconds; the tables are read whole.
-SMALL = training.Settings(
-    depth=4, trees=6, boosting_rounds=6, boosting_rate=0.4, logistic_rounds=15, days_rounds=6, days_rate=0.4,
-    reason_depth=5, reason_trees=3,
+from registry.queries import (
+    REQUEST_EXTRA, SCORED_AT, _frame, flat_rejected, flat_response, model_outputs, request_files, tidy,
 )
 
 
@@ -28,74 +27,143 @@ def _stored_frame(spark: SparkSession, sf: str) -> DataFrame:
     return materialise(_frame(spark, sf), "training_frame")
 
 
+def _sides(rows: DataFrame, label: str, holds: dict[str, bool]) -> DataFrame:
+    """Rows per label and side of a split, and the statements."""
+    counted = rows.groupBy(F.col(label).cast("string").alias("label"), "is_test").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.withColumns({name: F.lit(bool(value)) for name, value in holds.items()})
+
+
 def ml_binary(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(training.train_binary(_stored_frame(spark, sf), "row_key", SMALL)[1])
+    frame = _stored_frame(spark, sf)
+    bundle, scores = training.train_binary(frame, "row_key")
+    got = {r["member"]: r for r in scores.collect()}  # one row per member
+    share = frame.agg(F.avg("will_delay").alias("s")).first()["s"]
+    split = splits.stratified_split(frame.select("row_key", "will_delay"), "row_key", "will_delay")
+    return _sides(split, "will_delay", {
+        "four_members": set(got) == {"boosted", "forest", "logistic", "vote"},
+        "beats_majority": got["vote"]["accuracy"] > max(share, 1 - share), "ranks_well": got["vote"]["auc"] > 0.8,
+        "scores_are_kept": bundle.scores["vote_auc"] == got["vote"]["auc"],
+    })
 
 
 def ml_days(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(training.train_days(_stored_frame(spark, sf), "row_key", SMALL)[1])
+    frame = _stored_frame(spark, sf)
+    bundle, scores = training.train_days(frame, "row_key")
+    split = splits.hash_split(features.delayed_by_days(frame).withColumn("all", F.lit("late")), "row_key")
+    return _sides(split, "all", {"beats_the_mean": scores.first()["r2"] > 0.3, "scores_are_kept": bundle.scores["r2"] > 0.3})
+
+
+def _reasons(spark: SparkSession, sf: str, seeds: int) -> DataFrame:
+    """Split and statements, and the support of each class in the report."""
+    frame = _stored_frame(spark, sf)
+    bundle, report = training.train_reasons(frame, "row_key", seeds)
+    rows = features.delayed_with_reason(frame)
+    split = _sides(splits.stratified_split(rows, "row_key", "delay_reason"), "delay_reason", {
+        "forests": len(bundle.models) == seeds, "classes_in_order": bundle.classes == sorted(bundle.classes),
+        "beats_majority": bundle.scores["macro_f1"] > 0.3,
+    })
+    return split.join(report.select("label", "support"), "label", "left")
 
 
 def ml_reason(spark: SparkSession, sf: str) -> DataFrame:
     """One forest: the baseline."""
-    return tidy(training.train_reasons(_stored_frame(spark, sf), "row_key", 1, SMALL)[1])
+    return tidy(_reasons(spark, sf, 1))
 
 
 def ml_seed_ensemble(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(training.train_reasons(_stored_frame(spark, sf), "row_key", 5, SMALL)[1])
+    return tidy(_reasons(spark, sf, 5))
 
 
 def ml_cv(spark: SparkSession, sf: str) -> DataFrame:
-    folds = training.cross_validate_reasons(_stored_frame(spark, sf), "row_key", settings=SMALL)
-    return tidy(metrics.cv_summary(folds))
+    frame = _stored_frame(spark, sf)
+    scores = training.cross_validate_reasons(frame, "row_key")
+    rows = features.delayed_with_reason(frame).select("row_key", "delay_reason")
+    sizes = splits.stratified_folds(rows, "row_key", "delay_reason").groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
+    named = scores.select("fold", (F.col("macro_f1") > 0.3).alias("beats_majority"))
+    passed = metrics.cv_summary(scores).first()["passed"]
+    return tidy(sizes.join(named, "fold").withColumn("passed", F.lit(passed)))
 
 
-def ml_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Train the three bundles, save and load them, and score every shipment."""
+def _enriched(p: Column) -> Column:
+    """The two rules over a row's own probability, written out once more."""
+    shifted = F.when(F.col("vendor_found"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p + E.vendor_shift(F.col("vendor_rate"))))).otherwise(p)
+    w = E.model_weight(F.col("route_confidence"))
+    mixed = F.least(F.lit(1.0), F.greatest(F.lit(0.0), w * shifted + (1 - w) * F.col("route_rate")))
+    return F.when(F.col("route_found"), mixed).otherwise(shifted)
+
+
+def _predictors(spark: SparkSession, sf: str) -> tuple[DataFrame, Predictor, Predictor]:
     frame = _stored_frame(spark, sf)
     look = standin.lookups(spark, sf)
     trained = Predictor(
-        training.train_binary(frame, "row_key", SMALL)[0], training.train_days(frame, "row_key", SMALL)[0],
-        training.train_reasons(frame, "row_key", 2, SMALL)[0], look,
+        training.train_binary(frame, "row_key")[0], training.train_days(frame, "row_key")[0],
+        training.train_reasons(frame, "row_key")[0], look,
     )
     folder = new_path(spark, "bundles")
     trained.save(spark, folder)
-    scored = Predictor.load(spark, folder, look).predict(frame)
-    return tidy(flat_response(scoring.respond(scored, ("row_key",)), "row_key"))
+    return frame, trained, Predictor.load(spark, folder, look)
 
 
-_EXTRA = T.StructType([T.StructField("row_key", T.StringType()), T.StructField("l_linenumber", T.IntegerType())])
+def ml_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Train the three bundles, save and load them, and score every shipment; per row what must hold."""
+    frame, trained, loaded = _predictors(spark, sf)
+    scored = loaded.predict(frame)
+    before = trained.predict(frame).select("row_key", F.struct("delay_probability", "estimated_delay_days", "delay_reason").alias("before"))
+    p, late = F.col("delay_probability"), F.col("will_delay")
+    own = scored.select(
+        "row_key", F.struct("delay_probability", "estimated_delay_days", "delay_reason").alias("after"),
+        (late == (p >= 0.5)).alias("decision_follows"),
+        (late | ((F.col("estimated_delay_days") == 0) & (F.col("delay_reason") == "No Delay Expected") & (F.size("reason_top3") == 0))).alias("gated"),
+        (F.abs(p - _enriched(F.col("raw_probability"))) < 1e-9).alias("enriched"),
+        (F.abs(F.aggregate("reason_probabilities", F.lit(0.0), lambda t, r: t + r["probability"]) - 1) < 1e-6).alias("shares_sum"),
+    )
+    first = before.groupBy("row_key").agg(F.first("before").alias("before"))  # copies of a row score alike
+    return own.join(first, "row_key").select(
+        "row_key", "decision_follows", "gated", "enriched", "shares_sum",
+        ((F.abs(F.col("after.delay_probability") - F.col("before.delay_probability")) < 1e-12)
+         & (F.col("after.delay_reason") == F.col("before.delay_reason"))).alias("loaded_equals_saved"),
+    )
 
 
-def _stand_in_outputs(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "raw_probability": standin.probability(), "model_days": standin.model_days(),
-        "reason_probabilities": scoring.named_probabilities(standin.REASONS, standin.reason_probabilities()),
-    })
+def ml_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Loaded bundles answer the requests of a stream; every valid request is answered once."""
+    _, _, loaded = _predictors(spark, sf)
+    arriving = stream.read_requests(spark, request_files(spark, sf), REQUEST_EXTRA)
+    out, refused = new_path(spark, "ml_scored"), new_path(spark, "ml_refused")
+    stream.write_answers(
+        arriving, loaded.model_outputs, loaded.lookups, out, refused, new_path(spark, "stream_state"), ("row_key",), once=True
+    ).awaitTermination()
+    p = F.col("prediction.delay_probability")
+    return spark.read.parquet(f"{out}/run=*").select(
+        "row_key", (F.col("prediction.will_delay") | (F.col("prediction.estimated_delay_days") == 0)).alias("gated"),
+        p.between(0, 1).alias("is_probability"),
+    )
 
 
-def _request_files(spark: SparkSession, sf: str) -> str:
-    """Every shipment as a JSON request."""
-    names = [*S.REQUEST_TEXT, "quantity", "weight_kg", "value_inr", "risk_score", "route_vendor_reliability_sim",
-             "row_key", "l_linenumber"]
-    path = new_path(spark, "arriving")
-    ships = standin.shipments(spark, sf).withColumn("apply_enrichment", F.col("l_linenumber") != 7)
-    writers.write_json(ships.select(*names, "apply_enrichment"), path)
-    return path
+def _streamed(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """The request files answered by a stream: folders of the answers and of the rejected requests."""
+    arriving = stream.read_requests(spark, request_files(spark, sf), REQUEST_EXTRA)
+    out, refused = new_path(spark, "scored"), new_path(spark, "refused")
+    stream.write_answers(
+        arriving, model_outputs, standin.lookups(spark, sf), out, refused, new_path(spark, "stream_state"), ("row_key",), once=True,
+        scored_at=F.lit(SCORED_AT).cast("timestamp"),
+    ).awaitTermination()
+    return out, refused
 
 
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
-    """The shipments as arriving files, scored by a stream; equal to the batch result."""
-    arriving = stream.read_requests(spark, _request_files(spark, sf), _EXTRA)
-    out = new_path(spark, "scored")
-    responses = stream.score_stream(arriving, _stand_in_outputs, standin.lookups(spark, sf), ("row_key",))
-    stream.write_scored(responses, out, new_path(spark, "stream_state"), once=True).awaitTermination()
-    return tidy(flat_response(spark.read.parquet(out), "row_key"))
+    """The requests as arriving files, answered by a stream; equal to the batch result."""
+    return tidy(flat_response(spark.read.parquet(f"{_streamed(spark, sf)[0]}/run=*"), "row_key"))
+
+
+def stream_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests that the stream refuses, with the rules they break."""
+    return flat_rejected(spark.read.parquet(f"{_streamed(spark, sf)[1]}/run=*"))
 
 
 def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Counters over all micro-batches of the same stream."""
-    arriving = stream.read_requests(spark, _request_files(spark, sf), _EXTRA)
+    arriving = stream.read_requests(spark, request_files(spark, sf), REQUEST_EXTRA)
     out = new_path(spark, "counters")
     stream.write_counters(
         arriving, standin.lookups(spark, sf), out, new_path(spark, "stream_state"), once=True
@@ -106,4 +174,6 @@ def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
     ))
 
 
-QUERIES = [ml_binary, ml_days, ml_reason, ml_seed_ensemble, ml_cv, ml_score, stream_score, stream_counters]
+QUERIES = [
+    ml_binary, ml_days, ml_reason, ml_seed_ensemble, ml_cv, ml_score, ml_stream, stream_score, stream_rejected, stream_counters,
+]

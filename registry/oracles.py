@@ -199,14 +199,22 @@ def _auc(score: str) -> str:
     )
 
 
-_BAD = "CASE WHEN {0} THEN '{1}' END".format
-_DEFECTS = """
+_REQUIRED = (
+    "origin_city", "destination_city", "origin_state", "destination_state", "product_category", "supplier_name", "carrier_name",
+    "truck_type", "month", "quantity", "weight_kg", "value_inr", "risk_score",
+)
+_DEFECTS = f"""
 asked AS (
-  SELECT * REPLACE (CASE WHEN l_linenumber <> 3 THEN destination_city END AS destination_city,
-    CASE WHEN l_linenumber = 4 THEN -weight_kg ELSE weight_kg END AS weight_kg,
-    CASE WHEN l_linenumber = 5 THEN risk_score + 0.5::DOUBLE ELSE risk_score END AS risk_score,
-    CASE WHEN l_linenumber = 6 THEN 0 ELSE quantity END AS quantity) FROM lines
+  SELECT *, (l_orderkey * 7 + l_linenumber) % 48 AS n, CASE (l_orderkey * 7 + l_linenumber) % 48
+    {' '.join(f"WHEN {i} THEN '{c}: field required'" for i, c in enumerate(_REQUIRED))}
+    WHEN 13 THEN 'quantity: must be greater than 0' WHEN 14 THEN 'weight_kg: must be greater than 0'
+    WHEN 15 THEN 'value_inr: must be greater than 0' WHEN 16 THEN 'risk_score: must be between 0 and 1'
+    WHEN 17 THEN 'quantity: not a valid int' WHEN 18 THEN 'weight_kg: not a valid double'
+    WHEN 19 THEN 'apply_enrichment: not a valid boolean' WHEN 20 THEN 'record: not valid JSON' ELSE '' END AS violations,
+    CASE WHEN (l_orderkey * 7 + l_linenumber) % 48 = 20 THEN concat('{{"row_key":"', row_key, '","quantity":') END AS broken_record
+  FROM lines
 )"""
+_CHECKED = "SELECT CASE WHEN broken_record IS NULL THEN row_key END AS row_key, violations, broken_record FROM asked"
 
 _COLUMNS = [
     ("shipment_id", "string"), ("order_date", "date"), ("expected_delivery_date", "date"),
@@ -227,12 +235,18 @@ answered AS (
     CASE WHEN vendor_found THEN {_TIER} ELSE 'UNKNOWN' END AS vendor_tier, {_FIX('confidence', 3)} AS route_confidence,
     CASE WHEN vendor_found THEN {_FIX('on_time_rate', 3)} ELSE 0 END AS vendor_on_time_rate,
     CASE WHEN route_found THEN {_FIX('actual_delay_rate', 3)} ELSE 0 END AS route_historical_delay,
-    l_linenumber <> 7 AS enrichment_applied, l_linenumber = 1 AS explain,
+    l_linenumber <> 7 AS enrichment_applied, l_linenumber = 1 AS explain, (l_orderkey * 7 + l_linenumber) % 48 AS n,
+    vendor_p - raw AS vendor_delta, enriched_p - vendor_p AS route_delta, CASE WHEN late THEN t.names ELSE '' END AS reason_top3,
+    CASE WHEN late THEN t.total ELSE 0 END AS top3_probability,
     concat(origin_city, '->', destination_city) AS route, supplier_name AS vendor,
     origin_city, destination_city, product_category, weight_kg, value_inr
-  FROM scored JOIN (SELECT row_key, reason, p FROM top WHERE place = 0) t USING (row_key)
+  FROM scored JOIN (SELECT row_key, first(reason ORDER BY place) AS reason, first(p ORDER BY place) AS p,
+    string_agg(reason, '>' ORDER BY place) AS names, sum(p) AS total FROM (SELECT DISTINCT * FROM top WHERE place < 3) GROUP BY row_key) t USING (row_key)
 )"""
 
+_FIELDS = """row_key, will_delay, {0}, delay_reason, {1}, vendor_tier, {2}, 'v2.0' AS model_version, enrichment_applied, route, vendor,
+  reason_top3, '2025-01-31 12:00:00' AS scored_at"""
+
 _PCT = "format('{{:.1f}}%', {0} * 100)".format
 _PROMPT = "concat(" + ", ".join([
     "'Explain this shipment delay prediction:\n\n**SHIPMENT:**\n- Route: '", "origin_city", "'→'", "destination_city",
@@ -341,15 +355,39 @@ def oracle_sql() -> dict[str, str]:
             found('route_found', 'confidence') + ' AS confidence', 'avg_distance AS avg_distance_km')},
         {found('NOT route_found', "'Unknown route - no historical data'")} AS route_message FROM history""")
     answered = (*_SCORE, TOP, _RESPONSE)
-    q["score_response"] = sql(*answered, f"""
-      SELECT row_key, will_delay, {r6('delay_probability', 'estimated_delay_days')}, delay_reason,
-        {r6('confidence_reason AS confidence', 'raw_model_probability', 'vendor_adjustment', '0 AS route_adjustment')},
-        vendor_tier, {r6('route_confidence', 'vendor_on_time_rate', 'route_historical_delay')}, 'v2.0' AS model_version,
-        enrichment_applied, route, vendor FROM answered""")
-    q["stream_score"] = q["score_response"]
-    q["stream_counters"] = sql(SHIPS, VENDORS, ROUTES, """
-      SELECT count(*) AS valid_rows, CAST(0 AS BIGINT) AS rejected_rows, (SELECT count(*) FROM vendors) AS vendor_count,
-        (SELECT count(*) FROM routes) AS route_count FROM lines""")
+    fields = _FIELDS.format(r6("delay_probability", "estimated_delay_days"), r6(
+        "confidence_reason AS confidence", "raw_model_probability", "vendor_adjustment", "0 AS route_adjustment"),
+        r6("route_confidence", "vendor_on_time_rate", "route_historical_delay", "vendor_delta", "route_delta", "top3_probability"))
+    q["score_response"] = sql(*answered, f"SELECT {fields}, NULL::VARCHAR AS explanation FROM answered")
+    valid = "n > 20"
+    q["request_answers"] = sql(*answered, f"""
+      SELECT {fields}, CASE WHEN n = 21 THEN 'LLM explanations unavailable - API key not configured' END AS explanation
+      FROM answered WHERE {valid}""")
+    q["stream_score"] = q["request_answers"]
+    q["rejected_requests"] = sql(SHIPS, _DEFECTS, f"{_CHECKED} WHERE NOT {valid}")
+    q["stream_rejected"] = q["rejected_requests"]
+    q["stream_counters"] = sql(SHIPS, VENDORS, ROUTES, _DEFECTS, f"""
+      SELECT count(*) FILTER ({valid}) AS valid_rows, count(*) FILTER (NOT {valid}) AS rejected_rows,
+        (SELECT count(*) FROM vendors) AS vendor_count, (SELECT count(*) FROM routes) AS route_count FROM asked""")
+    q["ml_stream"] = sql(SHIPS, _DEFECTS, f"SELECT row_key, true AS gated, true AS is_probability FROM asked WHERE {valid}")
+    sides = """
+      SELECT CAST({0} AS VARCHAR) AS label, is_test, count(*) AS rows{2} FROM (
+        SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY md5(concat(row_key, '|42')))
+          <= floor(count(*) OVER (PARTITION BY {0}) * 0.2::DOUBLE + 0.5::DOUBLE) AS is_test FROM {1}) GROUP BY ALL""".format
+    q["ml_binary"] = sql(SHIPS, sides("lateness_flag", "lines", "".join(
+        f", true AS {c}" for c in ("four_members", "beats_majority", "ranks_well", "scores_are_kept"))))
+    q["ml_days"] = sql(SHIPS, f"""
+      SELECT 'late' AS label, CAST(concat('0x', substr(md5(concat(row_key, '|42')), 1, 8)) AS BIGINT) < {int(0.2 * 2**32)} AS is_test,
+        count(*) AS rows, true AS beats_the_mean, true AS scores_are_kept FROM lines WHERE delay_days > 0 GROUP BY ALL""")
+    named = "named AS (SELECT row_key, coalesce(delay_reason, 'Unknown') AS reason FROM lines WHERE lateness_flag = 1)"
+    parts = "parts AS (" + sides("reason", "named", ", true AS forests, true AS classes_in_order, true AS beats_majority") + ")"
+    q["ml_reason"] = sql(SHIPS, named, parts, """
+      SELECT *, (SELECT max(rows) FROM parts t WHERE t.label = parts.label AND t.is_test) AS support FROM parts""")
+    q["ml_seed_ensemble"] = q["ml_reason"]
+    q["ml_cv"] = sql(SHIPS, named, _FOLDS.format(label="reason", source="named"), """
+      SELECT fold, count(*) AS rows, true AS beats_majority, true AS passed FROM folded GROUP BY fold""")
+    q["ml_score"] = sql(SHIPS, "SELECT row_key, " + ", ".join(
+        f"true AS {c}" for c in ("decision_follows", "gated", "enriched", "shares_sum", "loaded_equals_saved")) + " FROM lines")
     q["prompts"] = sql(*answered, f"SELECT row_key, {_PROMPT} AS prompt FROM answered")
     q["explain_batch"] = sql(SHIPS, """
       SELECT row_key, CASE WHEN l_linenumber = 1 THEN 'LLM explanations unavailable - API key not configured' END
@@ -374,25 +412,33 @@ def oracle_sql() -> dict[str, str]:
       SELECT row_key, CASE WHEN l_linenumber % 3 <> 0 THEN origin_city || '->' || destination_city END AS route_pair,
         concat(origin_city, '->', CASE WHEN l_linenumber % 3 <> 0 THEN destination_city ELSE 'None' END) AS route_label
       FROM lines""")
-    q["validate_requests"] = sql(SHIPS, _DEFECTS, f"""
-      SELECT row_key, concat_ws('; ', {_BAD('destination_city IS NULL', 'destination_city: field required')},
-        {_BAD('NOT quantity > 0', 'quantity: must be greater than 0')},
-        {_BAD('NOT weight_kg > 0', 'weight_kg: must be greater than 0')},
-        {_BAD('NOT value_inr > 0', 'value_inr: must be greater than 0')},
-        {_BAD('NOT risk_score BETWEEN 0 AND 1', 'risk_score: must be between 0 and 1')}) AS violations FROM asked""")
+    q["validate_requests"] = sql(SHIPS, _DEFECTS, _CHECKED)
     q["request_choices"] = sql(SHIPS, """
       SELECT 'truck_type: not an allowed value' AS violation, count(*) AS n FROM lines
       WHERE truck_type NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE') HAVING count(*) > 0""")
-    q["request_defaults"] = sql(SHIPS, "SELECT row_key, l_linenumber <> 7 AS apply_enrichment, false AS explain FROM lines")
+    q["request_defaults"] = sql(SHIPS, "SELECT row_key, l_linenumber <> 7 AS apply_enrichment, l_linenumber = 1 AS explain FROM lines")
+    nothing = ", ".join(f"NULL::DOUBLE AS {c}" for c in (
+        "vendor_avg_delay_days", "vendor_on_time_rate", "route_distance_km", "route_delay_probability_sim"))
     q["json_requests"] = sql(SHIPS, f"""
-      SELECT product_category, true AS apply_enrichment, false AS explain, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity,
-        {r6('avg(weight_kg) AS weight_kg', 'avg(value_inr) AS value_inr', 'avg(risk_score) AS risk_score',
-            'avg(reliability) AS reliability')}, CAST(0 AS BIGINT) AS rates FROM lines GROUP BY product_category""")
-    q["csv_store"] = sql(SHIPS, VENDORS, f"""
+      SELECT row_key, {', '.join(_REQUIRED[:10])}, {r6('weight_kg', 'value_inr', 'risk_score', 'reliability AS route_vendor_reliability_sim')},
+        {nothing}, true AS apply_enrichment, false AS explain FROM lines""")
+    awkward = "CASE WHEN l_linenumber % 3 = 0 THEN concat(notes, ' \"fragile\", \n keep dry') ELSE notes END AS notes"
+    q["csv_store"] = sql(SHIPS, "SELECT " + ", ".join(
+        awkward if c == "notes" else r6(c) if t == "double" else c for c, t in _COLUMNS) + " FROM lines")
+    q["csv_store_counts"] = sql(SHIPS, VENDORS, f"""
       SELECT 'primary_shipments' AS table_name, count(*) AS rows, {rounded('round(sum(weight_kg), 2)')} AS total,
         count(delay_reason) AS filled FROM lines
       UNION ALL SELECT 'vendor_stats', count(*), {rounded('round(sum(avg_delay_days), 2)')}, count(on_time_rate) FROM vendors
       UNION ALL SELECT 'route_stats', count(*), {rounded('round(sum(distance_km), 2)')}, count(destination_city) FROM lines""")
+    q["store_lookups"] = sql(SHIPS, VENDORS, f"routes AS ({_ROUTE_AGG} GROUP BY ALL)", f"""
+      SELECT vendor_id AS key, shipments AS n, {r6('on_time_rate AS rate')} FROM vendors
+      UNION ALL SELECT concat(origin, '->', destination), sample_count, {rounded('actual_delay_rate')} FROM routes""")
+    q["registered_tables"] = sql(SHIPS, VENDORS, f"""
+      SELECT vendor_id, shipments, {r6('on_time_rate')} FROM vendors WHERE on_time_rate >= 0.5::DOUBLE""")
+    typed = [c for c, t in _COLUMNS if t != "string"]
+    q["malformed_cells"] = sql(SHIPS, "SELECT '(row)' AS column_name, 0::BIGINT AS malformed_cells" + "".join(
+        f" UNION ALL SELECT '{c}', " + (f"(SELECT count(*) FROM lines WHERE l_linenumber = {2 if c == 'quantity' else 4})"
+        if c in ("quantity", "order_date") else "0") for c in typed))
     q["table_profile"] = sql(SHIPS, " UNION ALL ".join(
         f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS column_name, '{t}' AS column_type, count({c}) AS filled, "
         f"count(*) - count({c}) AS missing FROM lines" for i, (c, t) in enumerate(_COLUMNS)))
@@ -435,6 +481,17 @@ def oracle_sql() -> dict[str, str]:
           <= floor(count(*) OVER (PARTITION BY lateness_flag) * 0.2::DOUBLE + 0.5::DOUBLE) AS is_test FROM lines""")
     q["folds"] = sql(SHIPS, _FOLDS.format(label="product_category", source="lines"),
       "SELECT row_key, CAST(lateness_flag AS BIGINT) AS will_delay, product_category, fold FROM folded")
+    q["hash_split_missing_keys"] = f"""
+      SELECT row_key, CAST(concat('0x', substr(md5(concat(coalesce(row_key, ''), '|42')), 1, 8)) AS BIGINT)
+        < {int(0.2 * 2**32)} AS is_test FROM (SELECT CASE WHEN l_linenumber <> 1 THEN {_KEY} END AS row_key FROM lineitem)"""
+    q["finite_guard"] = sql(SHIPS, """
+      SELECT 'raw' AS column_name, count(*) FILTER (risk_score > 0.9::DOUBLE OR quantity = 1) AS not_finite FROM lines
+      UNION ALL SELECT 'filled', 0""")
+    q["some_columns"] = sql(SHIPS, VENDORS, FRAME, f"""
+      SELECT row_key, quantity, {r6('weight_kg', 'value_inr', 'vendor_avg_delay_days', 'vendor_on_time_rate',
+        'distance_km AS route_distance_km', 'reliability AS route_vendor_reliability_sim',
+        'delay_probability_sim AS route_delay_probability_sim', 'value_inr / greatest(weight_kg, 1) AS value_per_kg')},
+        origin_city, destination_city, origin_state, destination_state, product_category, supplier_name, carrier_name, month FROM frame""")
     q["hash_split"] = f"""
       SELECT {_KEY} AS row_key, CAST(concat('0x', substr(md5(concat({_KEY}, '|42')), 1, 8)) AS BIGINT)
         < {int(0.2 * 2**32)} AS is_test FROM lineitem"""
@@ -492,9 +549,24 @@ def oracle_sql() -> dict[str, str]:
     q["latency_percentiles"] = f"""
       SELECT {r6(*[f'quantile_cont(value, {p}) AS {n}' for n, p in (('p50', 0.5), ('p95', 0.95), ('p99', 0.99))],
         'avg(value) AS average')} FROM events"""
-    q["metrics_report"] = sql(*_SCORE, FRAME, _PREDICTED, _MEMBERS, errors, cases, _report(), f"""
-      SELECT (SELECT count(*) FROM lines) AS rows, {r6('(SELECT avg(CAST(lateness_flag AS DOUBLE)) FROM lines) AS delay_rate',
-        f'(SELECT avg(CASE WHEN {said} = (y = 1) THEN 1 ELSE 0 END::DOUBLE) FROM members) AS accuracy',
-        '(SELECT avg(abs(y - f)) FROM errors) AS mae', '(SELECT avg(f1) FROM rated) AS macro_f1',
-        '(SELECT avg(abs(enriched_p - raw)) FROM scored) AS avg_adjustment')}""")
+    # The document's sections are the results of other queries; each field becomes a row.
+    report = [("dataset_info", "dataset_facts", ("rows", "delay_rate", "vendor_on_time_min", "vendor_on_time_max", "busiest_route_rows"))]
+    report += [("ensemble_binary_classifier", "binary_metrics", ("rows", "accuracy", "precision", "recall", "f1", "auc"))]
+    report += [("delay_days_regressor", "regression_metrics", ("rows", "mae", "rmse", "r2", "median_error"))]
+    report += [("delay_reason_classifier", "report_averages", (
+        *(f"{a}_{m}" for a in ("macro", "weighted") for m in ("precision", "recall", "f1")), "support"))]
+    report += [("enrichment_impact", "enrichment_impact", (
+        "avg_adjustment", "accuracy_without_enrichment", "accuracy_with_enrichment", "improved_accuracy", "vendors_adjusted", "routes_validated"))]
+    report += [("latency", "latency_percentiles", ("p50", "p95", "p99", "average"))]
+    rows = [
+        f"SELECT '{section}' AS section, '{f}' AS field, CAST({f} AS DOUBLE) AS value, NULL::VARCHAR AS text FROM ({q[name]})"
+        for section, name, names in report for f in names
+    ]
+    rows += [f"SELECT 'dataset_info', 'busiest_route', NULL, busiest_route FROM ({q['dataset_facts']})"]
+    rows += [f"SELECT 'members', concat(member, '.{f}'), {f}, NULL FROM ({q['member_metrics']})" for f in ("accuracy", "auc")]
+    rows += [
+        f"SELECT 'classes', concat(label, '.{f}'), CAST({f} AS DOUBLE), NULL FROM ({q['class_report']})"
+        for f in ("support", "precision", "recall", "f1")
+    ]
+    q["metrics_report"] = " UNION ALL ".join(rows)
     return q

@@ -14,7 +14,7 @@ from latelane.operators import explain as X
 from latelane.operators import features, metrics, profiles, scaling, splits
 from latelane.operators.joins import lookup_join
 from latelane.operators.ranks import percentiles
-from latelane.plans import reports, scoring
+from latelane.plans import reports, scoring, service
 from latelane.session import materialise, new_path
 from latelane.sources import readers, requests, store, writers
 from registry import standin
@@ -143,25 +143,27 @@ def dataset_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vendor_adjust(spark: SparkSession, sf: str) -> DataFrame:
+    """The vendor step of the scoring plan, at full and at half weight."""
     df = scoring.with_history(standin.scored_inputs(spark, sf), standin.lookups(spark, sf))
+    half = scoring.with_enrichment(df, vendor_weight=0.5).withColumnRenamed("vendor_probability", "half_adjusted")
+    whole = scoring.with_enrichment(half.drop("model_weight", "enriched_probability", "vendor_delta", "route_delta"))
     rate = F.col("vendor_rate")
-    return tidy(df.select(
+    return tidy(whole.select(
         "row_key", "vendor_found",
         F.when(F.col("vendor_found"), E.vendor_shift(rate)).otherwise(F.lit(0.0)).alias("shift"),
-        E.vendor_adjusted(F.col("raw_probability"), F.col("vendor_found"), rate).alias("adjusted"),
-        E.vendor_adjusted(F.col("raw_probability"), F.col("vendor_found"), rate, 0.5).alias("half_adjusted"),
+        F.col("vendor_probability").alias("adjusted"), "half_adjusted",
         F.when(F.col("vendor_found"), E.vendor_tier(rate)).otherwise(S.VENDOR_NO_TIER).alias("tier"),
     ))
 
 
 def route_blend(spark: SparkSession, sf: str) -> DataFrame:
+    """The route step of the scoring plan alone: the vendor step has no weight."""
     df = scoring.with_history(standin.scored_inputs(spark, sf), standin.lookups(spark, sf))
+    df = scoring.with_enrichment(df, vendor_weight=0.0)
     return tidy(df.select(
         "row_key", "route_found", "route_confidence",
-        F.when(F.col("route_found"), E.model_weight(F.col("route_confidence"))).otherwise(F.lit(1.0)).alias("model_weight"),
-        E.route_validated(
-            F.col("raw_probability"), F.col("route_found"), F.col("route_rate"), F.col("route_confidence")
-        ).alias("blended"),
+        F.when(F.col("route_found"), F.col("model_weight")).otherwise(F.lit(1.0)).alias("model_weight"),
+        F.col("enriched_probability").alias("blended"),
     ))
 
 
@@ -197,13 +199,17 @@ def flat_response(df: DataFrame, *keep: str) -> DataFrame:
             "will_delay", "delay_probability", "estimated_delay_days", "delay_reason", "confidence")],
         *[F.col(f"enrichment.{c}").alias(c) for c in (
             "raw_model_probability", "vendor_adjustment", "route_adjustment", "vendor_tier", "route_confidence",
-            "vendor_on_time_rate", "route_historical_delay")],
+            "vendor_on_time_rate", "route_historical_delay", "vendor_delta", "route_delta")],
         *[F.col(f"metadata.{c}").alias(c) for c in ("model_version", "enrichment_applied", "route", "vendor")],
+        F.date_format("metadata.timestamp", "yyyy-MM-dd HH:mm:ss").alias("scored_at"), "explanation",
+        F.array_join(F.transform("reason_top3", lambda r: r["reason"]), ">").alias("reason_top3"),
+        F.aggregate("reason_top3", F.lit(0.0), lambda t, r: t + r["probability"]).alias("top3_probability"),
     )
 
 
 def score_response(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(flat_response(scoring.respond(_scored(spark, sf), ("row_key",)), "row_key"))
+    at = F.lit(SCORED_AT).cast("timestamp")
+    return tidy(flat_response(scoring.respond(_scored(spark, sf), ("row_key",), at), "row_key"))
 
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,7 +233,7 @@ def explain_with_client(spark: SparkSession, sf: str) -> DataFrame:
     """A client that answers with the length of the prompt it was given."""
     kept = ("row_key", "explain", "origin_city", "destination_city", "supplier_name", "product_category", "weight_kg", "value_inr")
     answered = scoring.respond(_scored(spark, sf), kept).drop("explanation").transform(X.with_prompt)
-    return X.explain(answered, "prompt", _upper_client, wanted="explain").select("row_key", "explanation")
+    return X.explain(answered, "prompt", "Answer briefly.", _upper_client, wanted="explain").select("row_key", "explanation")
 
 
 def top3_reasons(spark: SparkSession, sf: str) -> DataFrame:
@@ -271,21 +277,87 @@ def route_labels(spark: SparkSession, sf: str) -> DataFrame:
 # --- Requests -----------------------------------------------------------------------
 
 
-def _requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests with defects: by line number a missing city, weight, risk or quantity is wrong."""
-    n = F.col("l_linenumber")
-    return standin.shipments(spark, sf).withColumns({
-        "destination_city": F.when(n != 3, F.col("destination_city")),
-        "weight_kg": F.when(n == 4, -F.col("weight_kg")).otherwise(F.col("weight_kg")),
-        "risk_score": F.when(n == 5, F.col("risk_score") + 0.5).otherwise(F.col("risk_score")),
-        "quantity": F.when(n == 6, F.lit(0)).otherwise(F.col("quantity")),
-        "apply_enrichment": F.when(n == 7, F.lit(False)),
-    })
+REQUIRED = (*S.REQUEST_TEXT, *S.REQUEST_NUMBERS)
+#: Beside a missing field each: value out of range, value of another type, broken line, explanation asked for.
+DEFECTS = 24
+
+
+def _case() -> Column:
+    """0-12 a missing field, 13-16 out of range, 17-19 another type, 20 broken, 21 explained, beyond: in order."""
+    return F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(2 * DEFECTS))
+
+
+def request_files(spark: SparkSession, sf: str) -> str:
+    """Every shipment as a line of JSON, half of them with one of the defects."""
+    n = _case()
+    ships = standin.shipments(spark, sf)
+    given = {c: F.when(n != i, F.col(c)) for i, c in enumerate(REQUIRED)}
+    given["quantity"] = F.when(n == 13, F.lit(0)).when(~n.isin(9, 17), F.col("quantity"))
+    given["weight_kg"] = F.when(n == 14, -F.col("weight_kg") - 1).when(~n.isin(10, 18), F.col("weight_kg"))
+    given["value_inr"] = F.when(n == 15, F.lit(0.0)).when(n != 11, F.col("value_inr"))
+    given["risk_score"] = F.when(n == 16, F.col("risk_score") + 1.5).when(n != 12, F.col("risk_score"))
+    record = F.to_json(F.struct(
+        "row_key", "l_linenumber", *[c.alias(name) for name, c in given.items()], "route_vendor_reliability_sim",
+        F.when(n != 19, F.col("l_linenumber") != 7).alias("apply_enrichment"), F.when(n == 21, F.lit(True)).alias("explain"),
+    ), {"ignoreNullFields": "false"})
+    line = (
+        F.when(n == 17, F.replace(record, F.lit('"quantity":null'), F.lit('"quantity":1.5')))
+        .when(n == 18, F.replace(record, F.lit('"weight_kg":null'), F.lit('"weight_kg":"heavy"')))
+        .when(n == 19, F.replace(record, F.lit('"apply_enrichment":null'), F.lit('"apply_enrichment":"maybe"')))
+        .when(n == 20, F.concat(F.lit('{"row_key":"'), F.col("row_key"), F.lit('","quantity":')))
+        .otherwise(record)
+    )
+    path = new_path(spark, "request_files")
+    ships.select(line.alias("value")).write.text(path)
+    return path
+
+
+REQUEST_EXTRA = T.StructType([T.StructField("row_key", T.StringType()), T.StructField("l_linenumber", T.IntegerType())])
 
 
 def validate_requests(spark: SparkSession, sf: str) -> DataFrame:
-    checked = requests.check(_requests(spark, sf))
-    return tidy(checked.select("row_key", F.array_join("violations", "; ").alias("violations")))
+    """Every rule broken in turn, by missing values, ranges, types and broken lines."""
+    checked = requests.check(readers.read_requests(spark, request_files(spark, sf), REQUEST_EXTRA))
+    broken = F.col(readers.BROKEN).isNotNull()
+    return checked.select(
+        F.when(~broken, F.col("row_key")).alias("row_key"), F.array_join("violations", "; ").alias("violations"), readers.BROKEN
+    )
+
+
+def model_outputs(df: DataFrame) -> DataFrame:
+    """The fixed formulas in place of trained models."""
+    return df.withColumns({
+        "raw_probability": standin.probability(), "model_days": standin.model_days(),
+        "reason_probabilities": scoring.named_probabilities(standin.REASONS, standin.reason_probabilities()),
+    })
+
+
+SCORED_AT = "2025-01-31 12:00:00"
+
+
+def request_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole call for the valid requests: records written as nested JSON, read back, every field."""
+    arrived = readers.read_requests(spark, request_files(spark, sf), REQUEST_EXTRA)
+    records, _ = service.answer(
+        arrived, model_outputs, standin.lookups(spark, sf), ("row_key",), scored_at=F.lit(SCORED_AT).cast("timestamp")
+    )
+    path = new_path(spark, "answers")
+    writers.write_json(records, path)
+    return tidy(flat_response(spark.read.schema(records.schema).json(path), "row_key"))
+
+
+def rejected_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests that the same call refuses, with the rules they break."""
+    arrived = readers.read_requests(spark, request_files(spark, sf), REQUEST_EXTRA)
+    _, refused = service.answer(arrived, model_outputs, standin.lookups(spark, sf))
+    return flat_rejected(refused)
+
+
+def flat_rejected(refused: DataFrame) -> DataFrame:
+    return refused.select(
+        F.when(F.col(readers.BROKEN).isNull(), F.col("row_key")).alias("row_key"),
+        F.array_join("violations", "; ").alias("violations"), readers.BROKEN,
+    )
 
 
 def request_choices(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,38 +370,56 @@ def request_choices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def request_defaults(spark: SparkSession, sf: str) -> DataFrame:
-    given = _requests(spark, sf).select("row_key", "apply_enrichment")
+    given = standin.shipments(spark, sf).select(
+        "row_key", F.when(F.col("l_linenumber") == 7, F.lit(False)).alias("apply_enrichment"),
+        F.when(F.col("l_linenumber") == 1, F.lit(True)).alias("explain"),
+    )
     return requests.with_defaults(given).select("row_key", "apply_enrichment", "explain")
 
 
 def json_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests written as JSON records and read back with the declared schema."""
+    """Requests written as JSON records and read back with the declared schema, every field."""
     path = new_path(spark, "requests_json")
     names = [c for c in S.REQUESTS.fieldNames() if c not in S.REQUEST_OPTIONAL and c not in ("apply_enrichment", "explain")]
-    writers.write_json(standin.shipments(spark, sf).select(*names, "route_vendor_reliability_sim"), path)
-    back = requests.with_defaults(readers.read_requests(spark, path))
-    return tidy(back.groupBy("product_category", "apply_enrichment", "explain").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("quantity").cast("long")).alias("quantity"),
-        F.avg("weight_kg").alias("weight_kg"), F.avg("value_inr").alias("value_inr"), F.avg("risk_score").alias("risk_score"),
-        F.avg("route_vendor_reliability_sim").alias("reliability"), F.count("vendor_on_time_rate").alias("rates"),
-    ))
+    writers.write_json(standin.shipments(spark, sf).select("row_key", *names, "route_vendor_reliability_sim"), path)
+    back = requests.with_defaults(readers.read_requests(spark, path, REQUEST_EXTRA))
+    return tidy(back.select("row_key", *S.REQUESTS.fieldNames()))
 
 
 # --- Store ----------------------------------------------------------------------------
 
 
-def csv_store(spark: SparkSession, sf: str) -> DataFrame:
-    """The three tables written as CSV, loaded into a store and counted from it."""
+def _csv_files(spark: SparkSession, sf: str) -> dict[str, str]:
+    """The three tables as CSV, with quotes, commas and line breaks in the notes."""
     folder = new_path(spark, "raw_csv")
+    awkward = F.concat("notes", F.lit(' "fragile", \n keep dry'))
     tables = {
-        "primary_shipments": standin.shipments(spark, sf).select(*S.SHIPMENTS.fieldNames()),
+        "primary_shipments": standin.shipments(spark, sf).withColumn(
+            "notes", F.when(F.col("l_linenumber") % 3 == 0, awkward).otherwise(F.col("notes"))
+        ).select(*S.SHIPMENTS.fieldNames()),
         "vendor_stats": standin.known_vendors(spark, sf).withColumn("shipments", F.col("shipments").cast("int")),
         "route_stats": standin.routes(spark, sf).select(*S.ROUTE_STATS.fieldNames()),
     }
     for name, df in tables.items():
-        df.write.option("header", True).option("nullValue", "NA").csv(f"{folder}/{name}")
-    kept = store.FeatureStore(spark, f"{folder}/store")
-    kept.load_raw_tables(*[f"{folder}/{name}" for name in tables])
+        df.write.option("header", True).option("nullValue", "NA").option("escape", '"').csv(f"{folder}/{name}")
+    return {name: f"{folder}/{name}" for name in tables}
+
+
+def _csv_loaded(spark: SparkSession, sf: str) -> store.FeatureStore:
+    files = _csv_files(spark, sf)
+    kept = store.FeatureStore(spark, new_path(spark, "store"))
+    kept.load_raw_tables(*files.values())
+    return kept
+
+
+def csv_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The shipments written as CSV, loaded into a store and read from it, every field."""
+    return tidy(_csv_loaded(spark, sf).table("primary_shipments"))
+
+
+def csv_store_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The three tables written as CSV, loaded into a store and counted from it."""
+    kept = _csv_loaded(spark, sf)
     parts = [
         kept.table(name).agg(F.count(F.lit(1)).alias("rows"), F.sum(total).alias("total"), F.count(some).alias("filled"))
         .select(F.lit(name).alias("table_name"), "rows", F.round("total", 2).alias("total"), "filled")
@@ -341,6 +431,38 @@ def csv_store(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
+def store_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    """The lookups built from the stored vendor and route tables, vendors and routes one under the other."""
+    kept = _csv_loaded(spark, sf)
+    look = scoring.build_lookups(kept.table("vendor_stats"), kept.table("route_stats"))
+    vendors = look.vendors.select(F.col("vendor_id").alias("key"), F.col("shipments").cast("long").alias("n"), F.col("on_time_rate").alias("rate"))
+    routes = look.routes.select(
+        texts.route_pair(F.col("origin"), F.col("destination")).alias("key"), F.col("sample_count").alias("n"),
+        F.col("actual_delay_rate").alias("rate"),
+    )
+    return tidy(vendors.unionByName(routes))
+
+
+def registered_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored tables under their own names in SQL."""
+    kept = store.FeatureStore(spark, new_path(spark, "store"))
+    kept.save(standin.known_vendors(spark, sf), "vendor_stats")
+    kept.register("vendor_stats")
+    return tidy(spark.sql("SELECT vendor_id, shipments, on_time_rate FROM vendor_stats WHERE on_time_rate >= 0.5"))
+
+
+def malformed_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells that do not fit: a word as a quantity, a thirteenth month."""
+    path = new_path(spark, "bad_csv")
+    n = F.col("l_linenumber")
+    ships = standin.shipments(spark, sf).withColumns({
+        "quantity": F.when(n == 2, F.lit("many")).when(n != 3, F.col("quantity").cast("string")),
+        "order_date": F.when(n == 4, F.lit("2024-13-01")).otherwise(F.col("order_date").cast("string")),
+    })
+    ships.select(*S.SHIPMENTS.fieldNames()).write.option("header", True).option("nullValue", "NA").option("escape", '"').csv(path)
+    return readers.malformed(spark, path, S.SHIPMENTS)
+
+
 def table_profile(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(store.describe(standin.shipments(spark, sf).select(*S.SHIPMENTS.fieldNames())))
 
@@ -409,6 +531,26 @@ def folds(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(splits.stratified_folds(_labelled(spark, sf), "row_key", "product_category"))
 
 
+def hash_split_missing_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """A missing key is placed like any other: no row is on neither side."""
+    keys = standin.table(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") != 1, standin._row_key()).alias("row_key"))
+    return splits.hash_split(keys, "row_key")
+
+
+def finite_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that are not finite, per column, before and after they are filled."""
+    ships = standin.shipments(spark, sf)
+    endless = F.when(F.col("risk_score") > 0.9, F.lit(float("inf"))).when(F.col("quantity") == 1, F.lit(float("nan"))).otherwise(F.col("value_inr"))
+    return scaling.not_finite(ships.select(endless.alias("raw"), features.filled(endless).alias("filled")), ["raw", "filled"])
+
+
+def some_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature columns that a frame without some of them has."""
+    frame = _frame(spark, sf).drop("risk_score", "truck_type", "route_pair")
+    numeric, categorical = S.DEFAULT_FEATURES.present_in(frame.columns)
+    return tidy(frame.select("row_key", *numeric, *categorical))
+
+
 def hash_split(spark: SparkSession, sf: str) -> DataFrame:
     keys = standin.table(spark, sf, "lineitem").select(standin._row_key().alias("row_key"))
     return splits.hash_split(keys, "row_key")
@@ -518,32 +660,51 @@ def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metrics_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The report document, with some of its fields taken out again."""
+    """The report document, written as JSON and read back, with every field on a row of its own."""
     frame = materialise(_frame(spark, sf), "report_frame")
-    binary = metrics.binary_metrics(materialise(_with_members(spark, sf).select("will_delay", "vote"), "votes"), "will_delay", "vote")
+    names = [*standin.MEMBERS, "vote"]
+    votes = materialise(_with_members(spark, sf).select("will_delay", *names), "votes")
     late = features.delayed_by_days(frame).withColumn("days_hat", F.round(N.at_least(standin.model_days() + 4, 0.0), 6))
-    days = metrics.regression_metrics(late, "delay_days", "days_hat")
-    counts = metrics.confusion(_with_predicted_reason(spark, sf), "delay_reason", "predicted")
-    reasons = metrics.report_averages(metrics.class_report(counts))
-    impact = reports.enrichment_impact(_scored_labels(spark, sf), "label")
-    facts = profiles.dataset_facts(frame, materialise(standin.known_vendors(spark, sf), "vendors"))
-    document = reports.metrics_document(facts, binary, days, reasons, impact)
+    classes = materialise(
+        metrics.class_report(metrics.confusion(_with_predicted_reason(spark, sf), "delay_reason", "predicted")), "classes"
+    )
+    document = reports.metrics_document(
+        profiles.dataset_facts(frame, materialise(standin.known_vendors(spark, sf), "vendors")),
+        metrics.binary_metrics(votes.select("will_delay", "vote"), "will_delay", "vote"),
+        metrics.regression_metrics(late, "delay_days", "days_hat"), metrics.report_averages(classes),
+        reports.enrichment_impact(_scored_labels(spark, sf), "label"), metrics.member_metrics(votes, "will_delay", names),
+        classes, latency_percentiles(spark, sf),
+    )
     path = new_path(spark, "metrics_report")
     writers.write_json(document, path)
     back = spark.read.schema(document.schema).json(path)
-    return tidy(back.select(
-        "dataset_info.rows", "dataset_info.delay_rate", "ensemble_binary_classifier.accuracy",
-        "delay_days_regressor.mae", "delay_reason_classifier.macro_f1", "enrichment_impact.avg_adjustment",
-    ))
+    fields = []
+    for section in document.schema.fields:
+        if isinstance(section.dataType, T.StructType):
+            fields += [F.struct(
+                F.lit(section.name).alias("section"), F.lit(f.name).alias("field"), F.col(f"{section.name}.{f.name}").cast("string").alias("text"),
+            ) for f in section.dataType.fields]
+    single = back.select(F.explode(F.array(*fields)).alias("f")).select("f.*")
+    many = [
+        back.select(F.explode(name).alias("r")).select(
+            F.lit(name).alias("section"), F.explode(F.array(*[
+                F.struct(F.concat_ws(".", F.col(f"r.{key}"), F.lit(c)).alias("field"), F.col(f"r.{c}").cast("string").alias("text")) for c in values
+            ])).alias("f")).select("section", "f.field", "f.text")
+        for name, key, values in (("members", "member", ("accuracy", "auc")), ("classes", "label", ("support", "precision", "recall", "f1")))
+    ]
+    every = single.unionByName(many[0]).unionByName(many[1])
+    number = F.col("text").try_cast("double")
+    return tidy(every.select("section", "field", number.alias("value"), F.when(number.isNull(), F.col("text")).alias("text")))
 
 
 QUERIES = [
     enriched_score, training_frame, route_profile, vendor_profile, vendor_dedup, unknown_keys, autofill, health, service_health,
     reason_distribution, rare_reasons, class_weights, dataset_facts, vendor_adjust, route_blend, contexts,
     score_response, prompts, explain_batch, explain_with_client, top3_reasons, risk_bands, waterfall,
-    enrichment_impact, route_labels, validate_requests, request_choices, request_defaults, json_requests, csv_store,
-    table_profile, table_preview, training_log, clean_numeric, scaled_features, label_index, multitask_features,
-    stratified_split, folds, hash_split, soft_vote, logits, binary_metrics, member_metrics, regression_metrics,
-    confusion_counts, class_report, report_averages, cv_summary, best_fold, task_losses, latency_percentiles,
-    metrics_report,
+    enrichment_impact, route_labels, validate_requests, request_answers, rejected_requests, request_choices, request_defaults,
+    json_requests, csv_store, csv_store_counts, store_lookups, registered_tables, malformed_cells,
+    table_profile, table_preview, training_log, clean_numeric, finite_guard, some_columns, scaled_features, label_index,
+    multitask_features, stratified_split, folds, hash_split, hash_split_missing_keys, soft_vote, logits, binary_metrics,
+    member_metrics, regression_metrics, confusion_counts, class_report, report_averages, cv_summary, best_fold, task_losses,
+    latency_percentiles, metrics_report,
 ]

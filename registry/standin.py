@@ -14,7 +14,7 @@ from latelane import schemas as S
 from latelane.functions.numbers import sigmoid
 from latelane.operators.profiles import route_profile, vendor_profile
 from latelane.plans.scoring import Lookups, named_probabilities
-from latelane.session import materialise, spread
+from latelane.session import materialise
 
 
 # Declared, so that opening a table reads no file footers.
@@ -77,7 +77,7 @@ def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shipment table, with ``row_key`` beside its declared columns."""
-    lines = spread(_ends(spark, sf_dir), table(spark, sf_dir, "lineitem")).join(
+    lines = _ends(spark, sf_dir).join(
         table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
     )
     late = F.col("delay_days") > 0

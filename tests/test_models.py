@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from latelane.errors import ScoringError
+from latelane.errors import ScoringError, TrainingError
 from latelane.models import training
 from latelane.models.bundles import Bundle
-from latelane.models.encoding import fit_encoder
+from latelane.models.encoding import feature_columns, fit_encoder
 from latelane.plans import scoring
 from latelane.plans.predict import Predictor
 from registry import standin
@@ -15,7 +15,7 @@ from tests.conftest import SF
 
 TINY = training.Settings(
     depth=3, trees=3, boosting_rounds=4, boosting_rate=0.5, logistic_rounds=10, days_rounds=4, days_rate=0.5,
-    reason_depth=4, reason_trees=2, max_levels=30,
+    reason_depth=4, reason_trees=2,
 )
 
 
@@ -31,18 +31,49 @@ def binary(frame):
 
 def test_unseen_level_is_all_zeros(spark):
     train = spark.createDataFrame([("a", 1.0, 1), ("b", None, 0), (None, 3.0, 1)], "c string, x double, y int")
-    encoder = fit_encoder(train, ["x"], ["c"], "y")
+    encoder, encoded = fit_encoder(train, "c", ["x"], ["c"], "y")
     new = spark.createDataFrame([("new", 2.0, 0), ("a", None, 0)], "c string, x double, y int")
     got = [r["features"].toArray().tolist() for r in encoder.transform(new).collect()]
     # x, x missing, then one place per seen level: missing, a, b
     assert got == [[2.0, 0.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 1.0, 0.0]]
+    assert encoded.count() == 3 and encoder.transform(train).count() == 3
 
 
-def test_many_levels_become_target_means(spark):
-    train = spark.range(400).select((F.col("id") % 100).cast("string").alias("c"), (F.col("id") % 2).cast("int").alias("y"))
-    encoder = fit_encoder(train, [], ["c"], "y", max_levels=10, smoothing=0.0)
+def test_wide_category_becomes_target_means(spark):
+    train = spark.range(400).select(
+        F.col("id").cast("string").alias("k"), (F.col("id") % 100).cast("string").alias("c"), (F.col("id") % 2).cast("int").alias("y"))
+    encoder, encoded = fit_encoder(train, "k", [], ["c"], "y", wide=("c",), smoothing=0.0)
     got = {r["c"]: r["features"][0] for r in encoder.transform(spark.createDataFrame([("3",), ("4",), ("new",)], "c string")).collect()}
     assert got == {"3": 1.0, "4": 0.0, "new": 0.5}
+    # A training row's mean is that of the other folds: a level whose rows all share a fold has none.
+    assert {r["features"][0] for r in encoded.filter("y = 1").collect()} <= {1.0, 0.5}
+
+
+def test_own_target_never_enters_its_feature(spark):
+    """Every level once: the other folds know nothing of it, whatever its target."""
+    train = spark.range(200).select(*[F.col("id").cast("string").alias(x) for x in "kc"], (F.col("id") % 2).cast("int").alias("y"))
+    _, encoded = fit_encoder(train, "k", [], ["c"], "y", wide=("c",))
+    assert {round(r["features"][0], 9) for r in encoded.collect()} == {0.5}
+
+
+def test_label_shares_and_too_many_levels(spark, monkeypatch):
+    train = spark.range(300).select(
+        F.col("id").cast("string").alias("k"), (F.col("id") % 3).cast("string").alias("c"), (F.col("id") % 3).cast("double").alias("y"))
+    encoder, _ = fit_encoder(train, "k", [], ["c"], "y", classes=3, wide=("c",), smoothing=0.0)
+    got = {r["c"]: r["features"].toArray().tolist() for r in encoder.transform(train.limit(3)).collect()}
+    assert got == {"0": [1.0, 0.0, 0.0], "1": [0.0, 1.0, 0.0], "2": [0.0, 0.0, 1.0]}
+    monkeypatch.setattr("latelane.models.encoding.MOST_LEVELS", 2)
+    with pytest.raises(TrainingError, match="c has 3 levels"):
+        fit_encoder(train, "k", [], ["c"], "y", wide=())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_same_encoding_at_any_size(spark, sf):
+    frame = _stored_frame(spark, f"/root/testdata/{sf}")
+    numeric, categorical = feature_columns(frame)
+    encoder, _ = fit_encoder(frame, "row_key", numeric, categorical, "will_delay")
+    assert encoder.wide == ["origin_city", "destination_city", "supplier_name", "route_pair"]
+    assert encoder.few_levels == ["origin_state", "destination_state", "product_category", "carrier_name", "truck_type", "month"]
 
 
 def test_binary_beats_majority_and_repeats(frame, binary):

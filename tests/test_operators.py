@@ -138,7 +138,7 @@ def test_subsets_and_guards(spark):
     numbers = spark.createDataFrame([(float("inf"), None), (float("nan"), None), (2.0, None)], "x double, e double")
     assert [r[0] for r in numbers.select(features.filled(F.col("x"))).collect()] == [0.0, 0.0, 2.0]
     assert scaling.drop_entirely_missing(numbers, ["x", "e"]).columns == ["x"]
-    assert scaling.any_not_finite(numbers, ["x"]) and not scaling.any_not_finite(numbers.filter("x = 2"), ["x"])
+    assert [tuple(r) for r in scaling.not_finite(numbers, ["x", "e"]).collect()] == [("x", 2), ("e", 0)]
 
 
 def test_route_profile_of_one_row_has_no_spread(spark):

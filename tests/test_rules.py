@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from latelane.functions import enrichment as E
 from latelane.functions import numbers as N
 from latelane.functions import texts
+from latelane.plans import scoring
 
 VENDORS = [  # on-time rate, shift, tier
     (0.548, 0.07, "AVERAGE"), (0.477, 0.15, "AVERAGE"), (0.551, 0.065, "GOOD"), (0.614, -0.04, "GOOD"),
@@ -25,11 +26,13 @@ def test_vendor_shift_and_tier(spark):
         assert row["t"] == tier
 
 
+HISTORY = "p double, vendor_found boolean, vendor_rate double, route_found boolean, route_rate double, route_confidence double"
+
+
 def test_missing_rate_gives_missing_probability_and_lowest_tier(spark):
-    df = spark.createDataFrame([(0.6, True, None), (0.6, False, None), (0.95, True, 0.4)], "p double, found boolean, r double")
-    got = df.select(
-        E.vendor_adjusted(F.col("p"), F.col("found"), F.col("r")).alias("a"), E.vendor_tier(F.col("r")).alias("t"),
-        E.is_delayed(E.vendor_adjusted(F.col("p"), F.col("found"), F.col("r"))).alias("late"),
+    df = spark.createDataFrame([(p, f, r, False, None, 0.0) for p, f, r in ((0.6, True, None), (0.6, False, None), (0.95, True, 0.4))], HISTORY)
+    got = scoring.with_enrichment(df, "p").select(
+        "vendor_probability", E.vendor_tier(F.col("vendor_rate")), E.is_delayed(F.col("vendor_probability"))
     ).collect()
     assert [tuple(r) for r in got] == [(None, "POOR", False), (0.6, "POOR", True), (1.0, "POOR", True)]
 
@@ -42,19 +45,16 @@ CONFIDENCE = [  # samples, spread, confidence, model weight
 
 def test_route_confidence_and_weight(spark):
     df = spark.createDataFrame([(n, s) for n, s, _, _ in CONFIDENCE], "n long, s double")
-    c = E.route_confidence(F.col("n"), F.col("s"))
+    c = E.route_trust(F.col("n"), F.col("s"))
     for row, (_, _, confidence, weight) in zip(df.select(c.alias("c"), E.model_weight(c).alias("w")).collect(), CONFIDENCE):
         assert row["c"] == pytest.approx(confidence, abs=1e-6)
         assert row["w"] == pytest.approx(weight, abs=1e-6)
 
 
 def test_blend(spark):
-    row = spark.range(1).select(
-        E.blended(F.lit(0.67), F.lit(0.64), F.lit(0.55)).alias("b"),
-        E.route_validated(F.lit(0.5), F.lit(False), F.lit(None).cast("double"), F.lit(0.0)).alias("unknown"),
-        E.route_validated(F.lit(0.5), F.lit(True), F.lit(None).cast("double"), F.lit(0.9)).alias("no_history"),
-    ).first()
-    assert row["b"] == pytest.approx(0.6595) and row["unknown"] == 0.5 and row["no_history"] is None
+    df = spark.createDataFrame([(0.67, False, None, True, 0.64, 0.55), (0.5, False, None, False, None, 0.0), (0.5, False, None, True, None, 0.9)], HISTORY)
+    got = [r["enriched_probability"] for r in scoring.with_enrichment(df, "p").collect()]
+    assert got[0] == pytest.approx(0.6595) and got[1:] == [0.5, None]
 
 
 def test_risk_bands(spark):

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from latelane import schemas as S
 from latelane.operators import explain as X
 from latelane.plans import scoring
+from latelane.plans.service import answer
+from latelane.sources.readers import read_requests
 from latelane.streaming import scoring as stream
 
 VENDORS = {"V001": 0.548, "V025": 0.477, "V050": 0.551, "GOOD": 0.9}
@@ -122,15 +124,25 @@ def test_prompt_and_answers(inputs, lookups):
 
     def factory():
         def client(system, text):
+            assert system == "Be brief."
             if "Nowhere" in text:
                 raise ValueError("busy")
             return f" {len(text)} "
         return client
 
-    for r in X.explain(df, "prompt", factory, wanted="ask").collect():
+    for r in X.explain(df, "prompt", "Be brief.", factory, wanted="ask").collect():
         want = None if not r["ask"] else "Explanation generation failed: busy" if r["destination_city"] == "Nowhere" else str(len(r["prompt"]))
         assert r["explanation"] == want
 
+    def closed():
+        raise OSError("no key")
+
+    got = {(r["ask"], r["explanation"]) for r in X.explain(df, "prompt", "", closed, wanted="ask").collect()}
+    assert got == {(True, "Explanation generation failed: no key"), (False, None)}
+    plan = X.explain(df, "prompt", "", factory, wanted="ask")._jdf.queryExecution().optimizedPlan().toString()
+    sent = plan[plan.index("answers("):].split(")#")[0]
+    assert "CASE WHEN" in plan or "if" in sent  # an unwanted row sends a NULL
+
 
 def test_bands_and_waterfall(inputs, lookups):
     scored = scoring.score(inputs, lookups)
@@ -156,13 +168,17 @@ def test_stream_equals_batch_and_counts_rejects(spark, lookups, tmp_path):
             "reason_probabilities": scoring.named_probabilities(["a", "b"], F.array(F.lit(0.4), F.lit(0.6))),
         })
 
+    (folder / "broken.json").write_text('{"quantity": \n' + json.dumps({**REQUEST, "quantity": 1.5, "month": None}))
     arriving = stream.read_requests(spark, str(folder), max_files=2)
-    out, counters = str(tmp_path / "out"), str(tmp_path / "counters")
-    stream.write_scored(stream.score_stream(arriving, outputs, lookups, ("quantity", "supplier_name")), out, str(tmp_path / "c1"), once=True).awaitTermination()
+    out, refused, counters = (str(tmp_path / n) for n in ("out", "refused", "counters"))
+    keep = ("quantity", "supplier_name")
+    stream.write_answers(arriving, outputs, lookups, out, refused, str(tmp_path / "c1"), keep, once=True).awaitTermination()
     stream.write_counters(arriving, lookups, counters, str(tmp_path / "c2"), once=True).awaitTermination()
-    from latelane.sources.readers import read_requests
-    batch = stream.score_stream(read_requests(spark, str(folder)), outputs, lookups, ("quantity", "supplier_name"))
-    pick = lambda df: sorted(map(str, df.select("quantity", "supplier_name", "prediction", "enrichment").collect()))
-    assert pick(spark.read.parquet(out)) == pick(batch) and batch.count() == 16
+    batch, rejected = answer(read_requests(spark, str(folder)), outputs, lookups, keep)
+    pick = lambda df: sorted(map(str, df.select("quantity", "supplier_name", "prediction", "enrichment", "explanation", "reason_top3").collect()))
+    assert pick(spark.read.parquet(f"{out}/run=*")) == pick(batch) and batch.count() == 16
+    why = lambda df: sorted(str(list(r["violations"])) for r in df.collect())
+    assert why(spark.read.parquet(f"{refused}/run=*")) == why(rejected) == sorted(
+        [str(["quantity: must be greater than 0"])] * 8 + [str(["record: not valid JSON"]), str(["quantity: not a valid int", "month: field required"])])
     totals = spark.read.parquet(f"{counters}/run=*").agg(F.sum("valid_rows"), F.sum("rejected_rows"), F.count("*")).first()
-    assert tuple(totals) == (16, 8, 2)
+    assert tuple(totals) == (16, 10, 3)

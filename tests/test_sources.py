@@ -9,25 +9,37 @@ from latelane import schemas as S
 from latelane.errors import SourceError, StoreError
 from latelane.sources import readers, requests, store, writers
 
-VENDOR_CSV = "vendor_id,shipments,avg_delay_days,on_time_rate,avg_cost\n" \
-    "V001,431,1.45,0.548,2485.02\nV002,,NA,NaN,\nNone,5.0,null,abc,1e3\n"
+HEADER = "vendor_id,shipments,avg_delay_days,on_time_rate,avg_cost\n"
+VENDOR_CSV = HEADER + 'VX9,12,0.5,0.25,99.5\nV002,,NA,NaN,\nNone,5.0,null,abc,1e3\n'
+GOOD_CSV = HEADER + 'VX9,12,0.5,0.25,99.5\n"A ""x"", B",1,1.0,0.5,2\n"two\nlines",5.0,null,,1e3\n'
 
 
 def test_csv_missing_texts_become_null(spark, tmp_path):
     (tmp_path / "v.csv").write_text(VENDOR_CSV)
     rows = [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "v.csv"), S.VENDOR_STATS).collect()]
-    assert rows == [("V001", 431, 1.45, 0.548, 2485.02), ("V002", None, None, None, None), (None, 5, None, None, 1000.0)]
+    assert rows == [("VX9", 12, 0.5, 0.25, 99.5), ("V002", None, None, None, None), (None, 5, None, None, 1000.0)]
     bad = readers.malformed(spark, str(tmp_path / "v.csv"), S.VENDOR_STATS).collect()
     assert {r["column_name"]: r["malformed_cells"] for r in bad} == {
-        "shipments": 0, "avg_delay_days": 0, "on_time_rate": 1, "avg_cost": 0}
+        "(row)": 0, "shipments": 0, "avg_delay_days": 0, "on_time_rate": 1, "avg_cost": 0}
+
+
+def test_quotes_line_breaks_and_surplus_cells(spark, tmp_path):
+    (tmp_path / "v.csv").write_text(GOOD_CSV)
+    rows = [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "v.csv"), S.VENDOR_STATS, strict=True).collect()]
+    assert rows == [("VX9", 12, 0.5, 0.25, 99.5), ('A "x", B', 1, 1.0, 0.5, 2.0), ("two\nlines", 5, None, None, 1000.0)]
+    (tmp_path / "w.csv").write_text(HEADER + "a,1,1,1,1,6,7\nb,x,1,1,1\nc,1\n")
+    bad = {r["column_name"]: r["malformed_cells"] for r in readers.malformed(spark, str(tmp_path / "w.csv"), S.VENDOR_STATS).collect()}
+    assert bad["(row)"] == 2 and bad["shipments"] == 1
+    with pytest.raises(SourceError, match=r"2 malformed in \(row\), 1 malformed in shipments"):
+        readers.read_csv(spark, str(tmp_path / "w.csv"), S.VENDOR_STATS, strict=True)
 
 
 def test_store_round_trip_and_health(spark, tmp_path):
     kept = store.FeatureStore(spark, str(tmp_path / "store"))
     with pytest.raises(StoreError):
         kept.table("vendor_stats")
-    (tmp_path / "v.csv").write_text(VENDOR_CSV)
-    (tmp_path / "p.csv").write_text(",".join(S.SHIPMENTS.fieldNames()) + "\n" + "s1,2024-05-01,bad" + "," * 22 + "\n")
+    (tmp_path / "v.csv").write_text(GOOD_CSV)
+    (tmp_path / "p.csv").write_text(",".join(S.SHIPMENTS.fieldNames()) + "\n" + "s1,2024-05-01,NA" + "," * 22 + "\n")
     (tmp_path / "r.csv").write_text(",".join(S.ROUTE_STATS.fieldNames()) + "\n")
     kept.load_raw_tables(*[str(tmp_path / f"{n}.csv") for n in "pvr"])
     assert str(kept.table("primary_shipments").first()["order_date"]) == "2024-05-01"
@@ -35,6 +47,12 @@ def test_store_round_trip_and_health(spark, tmp_path):
     kept.register("vendor_stats")
     assert spark.sql("select count(*) from vendor_stats").first()[0] == 3
     assert "vendor_stats" in store.list_tables(spark)
+    (tmp_path / "bad.csv").write_text(VENDOR_CSV)
+    with pytest.raises(SourceError, match="1 malformed in on_time_rate"):
+        kept.load_raw_tables(str(tmp_path / "p.csv"), str(tmp_path / "bad.csv"), str(tmp_path / "r.csv"))
+    assert kept.table("vendor_stats").count() == 3
+    kept.save(kept.table("vendor_stats").limit(2), "vendor_stats")  # a table rebuilt from itself
+    assert kept.table("vendor_stats").count() == 2
     with pytest.raises(SourceError):
         kept.load_raw_tables(str(tmp_path / "absent.csv"), str(tmp_path / "v.csv"), str(tmp_path / "r.csv"))
 
@@ -67,8 +85,17 @@ def test_requests_are_checked_and_completed(spark, tmp_path):
     got = {(r["apply_enrichment"], r["explain"]) for r in requests.with_defaults(valid).collect()}
     assert valid.count() == 2 and got == {(True, False), (False, True)}
     assert requests.split_valid(df, S.FORM_CHOICES)[0].count() == 0
-    text = spark.createDataFrame([(json.dumps(REQUEST),)], "body string")
-    assert readers.parse_requests(text, "body").first()["weight_kg"] == 500.0
+
+
+def test_wrong_types_are_named(spark, tmp_path):
+    cases = [{**REQUEST, "quantity": 1.5}, {**REQUEST, "quantity": "12", "explain": "true"}, {**REQUEST, "weight_kg": "heavy", "risk_score": None}]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, cases)) + '\n{"quantity": 3,')
+    valid, rejected = requests.split_valid(readers.read_requests(spark, str(tmp_path / "r.json")))
+    row = valid.first()
+    assert valid.count() == 1 and row["quantity"] == 12 and row["explain"] is True
+    assert sorted(map(str, (list(r["violations"]) for r in rejected.collect()))) == sorted(map(str, [
+        ["quantity: not a valid int"], ["weight_kg: not a valid double", "risk_score: field required"], ["record: not valid JSON"]]))
+    assert rejected.filter("broken_record is not null").first()["broken_record"] == '{"quantity": 3,'
 
 
 def test_training_log(spark, tmp_path):
