@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from latelane import schemas as S
 from latelane.operators.ranks import percentiles, running_totals
+from latelane.session import materialise
 
 
 def accuracy(actual: Column, predicted: Column) -> Column:
@@ -19,13 +20,21 @@ def roc_auc(df: DataFrame, label: str, scores: list[str]) -> DataFrame:
     Rows are counted per distinct score; each positive is credited with the negatives
     below it and half of those at its own score.  All scores are ranked in one pass.
     """
+    return _auc_of(score_counts(df, label, scores))
+
+
+def score_counts(df: DataFrame, label: str, scores: list[str]) -> DataFrame:
+    """Positives and negatives per distinct score of each member, NULL scores too."""
     long = df.select(label, F.inline(F.array(*[
         F.struct(F.lit(s).alias("member"), F.col(s).cast("double").alias("score")) for s in scores
     ])))
-    positive = F.col(label) == 1
-    counts = long.filter(F.col("score").isNotNull()).groupBy("member", "score").agg(
-        F.sum(F.when(positive, 1).otherwise(0)).alias("pos"), F.sum(F.when(positive, 0).otherwise(1)).alias("neg")
+    return long.groupBy("member", "score").agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
+
+
+def _auc_of(counts: DataFrame) -> DataFrame:
+    counts = counts.filter(F.col("score").isNotNull())
     ranked = running_totals(counts, ["member", "score"], ["pos", "neg"])
     # ``neg_below`` also holds the negatives of the members before; each positive carries the same number.
     pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
@@ -35,13 +44,12 @@ def roc_auc(df: DataFrame, label: str, scores: list[str]) -> DataFrame:
 
 def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = S.DECISION_THRESHOLD) -> DataFrame:
     """One row: rows, accuracy, precision, recall, F1 and AUC of the positive class."""
-    predicted = F.coalesce(F.col(score) >= threshold, F.lit(False)).cast("int")
-    actual = F.col(label)
-
-    def count(a: int, p: int) -> Column:
-        return F.count_if((actual == a) & (predicted == p))
-
-    counted = df.agg(count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(0, 0).alias("tn"))
+    counts = materialise(score_counts(df, label, [score]), "score_counts")  # the rows are read once, for this
+    said = F.coalesce(F.col("score") >= threshold, F.lit(False))
+    counted = counts.agg(*[
+        F.coalesce(F.sum(F.when(side, F.col(n))), F.lit(0)).alias(name)
+        for name, side, n in (("tp", said, "pos"), ("fp", said, "neg"), ("fn", ~said, "pos"), ("tn", ~said, "neg"))
+    ])
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     rows = tp + fp + fn + tn
 
@@ -51,7 +59,7 @@ def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = S.D
     return counted.select(
         rows.alias("rows"), F.try_divide(tp + tn, rows).alias("accuracy"),
         ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
-        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), roc_auc(df, label, [score]).select("auc").scalar().alias("auc"),
+        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), _auc_of(counts).select("auc").scalar().alias("auc"),
     )
 
 
