@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from latelane.llm.common import slices
+
 #: Words, and pairs of tokens, that a worker remembers; beyond, it starts anew.
 REMEMBERED = 250_000
-#: Rows worked on at a time: what a worker holds beside the batch it was sent.
-ROWS = 256
 
 
 def byte_characters() -> list[str]:
@@ -221,16 +221,10 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
-def _slices(batches):
-    for batch in batches:
-        for start in range(0, len(batch), ROWS):
-            yield batch.slice(start, ROWS)
-
-
 def _encoded(path: str):
     def run(batches):
         e = encoder(path)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             ids = [e.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("k"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -258,7 +252,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches):
         d = decoder(path)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             texts = [d.decode(x or b"") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*names, "decoded"])
 

@@ -63,6 +63,13 @@ def joined(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
     return text_buffers(column)[0].view(kind)
 
 
+def slices(batches, rows: int = 256):
+    """Batches of few rows: what a worker holds beside the batch it was sent."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 def pieces(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes each; one row of more bytes is a range of its own."""
     found, start, n = [], 0, len(offsets) - 1
