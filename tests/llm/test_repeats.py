@@ -81,6 +81,17 @@ def test_long_text_is_cut_into_parts(spark, monkeypatch):
     check_repeats(spark, rows)
 
 
+def test_ends_of_a_frequent_passage(spark, monkeypatch):
+    """Every text holds one passage between words of its own: the names at its ends have a run per text."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(50))
+    rows = [(i, " ".join([*(word() for _ in range(25)), passage, *(word() for _ in range(25))])) for i in range(80)]
+    rows += [(100 + i, f"{i % 3} " + passage[i % 7 :] + rows[i][1][-120:]) for i in range(40)]
+    monkeypatch.setattr(suffix_dedup, "HOT", 10)
+    check_repeats(spark, rows)
+
+
 def test_suffix_query_on_the_table(spark):
     got = {r.doc_id: r for r in queries.op4_suffix_dedup(spark, SF).collect()}
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
