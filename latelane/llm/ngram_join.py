@@ -12,9 +12,10 @@ Large sets in steps, each a map over whole texts or a shuffle of packed arrays:
 3. a set whose share of such lone shingles exceeds what a link may miss is finished.  The others
    list their rarest shingles (as many as a link cannot all miss) as join keys;
 4. keys are joined as stars around the smallest set, never as all pairs; the connected candidates
-   are verified against one hub, and by the triangle inequality of Jaccard distance a set at more
-   than twice the limit from the hub has no link with any set linked to it.  What this leaves open
-   is compared exactly, group by group.
+   are verified against a hub and then against the member nearest to it.  A group that these two
+   connect is done.  In the others, by the triangle inequality of Jaccard distance, a set at more than
+   twice the limit from the hub has no link with any set linked to it; what is left is compared
+   exactly, group by group.
 
 Shingles in more than one of 512 texts are found first (a list of bounded length) and are never
 gathered in one task: they travel with their sets and come last among the keys.
@@ -342,13 +343,15 @@ def _open_sets(key: tuple, table: pa.Table) -> pa.Table:
 def _against_hub(batches):
     """Each candidate against the hub of its group: linked, near (a set linked to the hub may still reach it) or far."""
     for batch in batches:
-        state = []
+        state, likeness = [], []
         for n, ids, hub_n, hub in zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "hub_n", "hub_ids")), strict=True):
             inter = len(np.intersect1d(np.frombuffer(ids, np.uint64), np.frombuffer(hub, np.uint64), assume_unique=True))
             union = n + hub_n - inter
             state.append(2 if linked(inter, n, hub_n) else 1 if 10 * inter >= 6 * union else 0)
+            likeness.append(inter / union)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("comp"), batch.column("cls"), pa.array(state, pa.int32())], names=["comp", "cls", "state"]
+            [batch.column("comp"), batch.column("cls"), pa.array(state, pa.int32()), pa.array(likeness, pa.float64())],
+            names=["comp", "cls", "state", "likeness"],
         )
 
 
@@ -413,16 +416,34 @@ def _large_links(texts: DataFrame, least: int, total: int, frequent: np.ndarray)
     stars = keyed.join(hubs, "key").filter("a <> cls").select("a", F.col("cls").alias("b")).distinct()
     candidates = components(stars, "join_candidates").select(F.col("node").alias("cls"), F.col("component").alias("comp"))
     grouped = materialise(open_sets.select("cls", "n", "ids").join(candidates, "cls"), "join_grouped")
-    hub = grouped.filter("cls = comp").select("comp", F.col("n").alias("hub_n"), F.col("ids").alias("hub_ids"))
-    seen = grouped.filter("cls <> comp").join(hub, "comp").mapInArrow(_against_hub, "comp long, cls long, state int")
-    seen = materialise(seen, "join_seen")
-    near = seen.filter("state = 1").select("comp").distinct().withColumn("near", F.lit(True))
-    rest = seen.join(near, "comp", "left").filter("state < 2 or near").select("comp", "cls")
+
+    def against(hubs: DataFrame, name: str) -> DataFrame:
+        """Members of the groups of ``hubs`` (comp, hub) against their hub."""
+        hub = grouped.join(hubs.withColumnRenamed("hub", "cls"), ["comp", "cls"]).select(
+            "comp", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("ids").alias("hub_ids"))
+        others = grouped.join(materialise(hub, f"{name}_hubs"), "comp").filter("cls <> hub")
+        return materialise(others.mapInArrow(_against_hub, "comp long, cls long, state int, likeness double"), name)
+
+    groups = grouped.select("comp").distinct()
+    first = against(groups.withColumn("hub", F.col("comp")), "join_first")
+    # Copies of a text are more like it than like each other: where the first hub does not reach all, the member
+    # nearest to it is the better middle of the group.
+    unreached = first.groupBy("comp").agg(F.min("state").alias("least"), F.max_by("cls", F.struct("likeness", "cls")).alias("hub"))
+    middles = materialise(unreached.filter("least < 2").select("comp", "hub"), "join_middles")
+    second = against(middles, "join_second")
+    both = first.join(second.select("comp", "cls", F.col("state").alias("again")), ["comp", "cls"], "left").join(middles, "comp", "left")
+    # A group is done when its hubs are linked and every member is linked with one of them.
+    reached = (F.col("state") == 2) | (F.col("again") == 2)
+    open_groups = both.filter("hub is not null").groupBy("comp").agg(
+        F.bool_and(reached & ((F.col("cls") != F.col("hub")) | (F.col("state") == 2))).alias("done"),
+        F.bool_or(F.col("state") == 1).alias("near"),
+    ).filter("not done").select("comp", "near")
+    rest = first.join(open_groups, "comp").filter("state < 2 or near").select("comp", "cls")
     many = rest.groupBy("comp").count().filter("count > 1").select("comp")
     left = grouped.join(rest.join(many, "comp", "left_semi").select("cls"), "cls", "left_semi")
-    return seen.filter("state = 2").select(F.col("comp").alias("a"), F.col("cls").alias("b")).unionByName(
-        left.groupBy("comp").applyInArrow(_in_group, "a long, b long")
-    )
+    links = first.filter("state = 2").select(F.col("comp").alias("a"), F.col("cls").alias("b"))
+    links = links.unionByName(second.filter("state = 2").join(middles, "comp").select(F.col("hub").alias("a"), F.col("cls").alias("b")))
+    return links.unionByName(left.groupBy("comp").applyInArrow(_in_group, "a long, b long"))
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
