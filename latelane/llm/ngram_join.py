@@ -12,10 +12,11 @@ Large sets in steps, each a map over whole texts or a shuffle of packed arrays:
 3. a set whose share of such lone shingles exceeds what a link may miss is finished.  The others
    list their rarest shingles (as many as a link cannot all miss) as join keys;
 4. keys are joined as stars around the smallest set, never as all pairs; the connected candidates
-   are verified against a hub and then against the member nearest to it.  A group that these two
-   connect is done.  In the others, by the triangle inequality of Jaccard distance, a set at more than
-   twice the limit from the hub has no link with any set linked to it; what is left is compared
-   exactly, group by group.
+   are verified against a hub and then against the member nearest to it, in large groups against further
+   hubs, a round each.  By the triangle inequality of Jaccard distance, a set linked to a hub is settled
+   when no open set is so near to that hub that the two may be linked;
+5. a group whose open sets are known to be connected is done.  In the others, blocks of bounded size are
+   compared with each other, except those whose sets are known to be connected, a task for each two blocks.
 
 Shingles in more than one of 512 texts are found first (a list of bounded length) and are never
 gathered in one task: they travel with their sets and come last among the keys.
@@ -24,6 +25,7 @@ gathered in one task: they travel with their sets and come last among the keys.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -44,6 +46,12 @@ FREQUENT = 512
 PIECE, BLOCK = 1 << 20, 2 << 20
 #: Shingles that one range of hashes holds on average.
 RANGE = 3 << 20
+#: Hubs that a group is verified against at most; beyond the second only while more than SIDE of its sets lack a connection.
+ROUNDS = 6
+#: Sets, and bytes of their shingles, that one side of a comparison of blocks holds on average.
+SIDE, SIDE_BYTES = 1024, 8 << 20
+#: Cells of the matrices in which two blocks are compared.
+CELLS = 1 << 22
 
 _LAST = np.uint64(1 << 40)  # the frequency of a frequent shingle: after all others
 
@@ -341,71 +349,136 @@ def _open_sets(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _against_hub(batches):
-    """Each candidate against the hub of its group: linked, near (a set linked to the hub may still reach it) or far."""
+    """Each candidate against the hub of its group: whether they are linked, and their distance."""
     for batch in batches:
-        state, likeness = [], []
+        near, distance = [], []
         for n, ids, hub_n, hub in zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "hub_n", "hub_ids")), strict=True):
             inter = len(np.intersect1d(np.frombuffer(ids, np.uint64), np.frombuffer(hub, np.uint64), assume_unique=True))
-            union = n + hub_n - inter
-            state.append(2 if linked(inter, n, hub_n) else 1 if 10 * inter >= 6 * union else 0)
-            likeness.append(inter / union)
+            near.append(linked(inter, n, hub_n))
+            distance.append(1 - inter / (n + hub_n - inter))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("comp"), batch.column("cls"), pa.array(state, pa.int32()), pa.array(likeness, pa.float64())],
-            names=["comp", "cls", "state", "likeness"],
+            [*(batch.column(c) for c in ("comp", "hub", "cls")), pa.array(near, pa.bool_()), pa.array(distance, pa.float64())],
+            names=["comp", "hub", "cls", "near", "distance"],
         )
 
 
-def group_links(classes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect exactly the linked sets of a group (a forest of the link graph's components).
-
-    A pivot is compared with all sets left.  Without sets at a distance between one and two
-    limits, those linked to it need no further comparison; otherwise those become pivots too.
-    """
-    parent = list(range(len(sets)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    found, left = [], np.arange(len(sets))
-    flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-
-    def compare(pivot, others):
-        at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in others.tolist()])
-        lengths = starts[others + 1] - starts[others]
-        own = sets[pivot]
-        place = np.minimum(np.searchsorted(own, flat[at]), len(own) - 1)
-        inter = np.add.reduceat((own[place] == flat[at]).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-        union = sizes[others] + sizes[pivot] - inter
-        near = linked(inter, sizes[others], sizes[pivot])
-        for i in others[near].tolist():
-            a, b = root(pivot), root(i)
-            if a != b:
-                parent[b] = a
-                found.append((int(classes[pivot]), int(classes[i])))
-        return near, 10 * inter >= 6 * union
-
-    while len(left) > 1:
-        pivot, left = int(left[0]), left[1:]
-        near, within = compare(pivot, left)
-        border = left[within & ~near].tolist()
-        rest = left[~near]
-        for b in border:
-            left, rest = left[left != b], rest[rest != b]
-            if len(left):
-                compare(b, left)
-        left = rest
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``left`` with those at ``right``."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = counts > 1  # a shingle of one set is in no intersection
+    chosen = several[column]
+    owner, column = owner[chosen], (np.cumsum(several) - 1)[column[chosen]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    inter, width = np.zeros((len(left), len(right)), np.int64), max(1, CELLS // len(sets))
+    for first in range(0, int(several.sum()), width):
+        a, b = np.searchsorted(column, [first, first + width])
+        cells = np.zeros((len(sets), min(width, int(column[b - 1]) + 1 - first)), np.float32)
+        cells[owner[a:b], column[a:b] - first] = 1
+        inter += (cells[left] @ cells[right].T).astype(np.int64)
+    return inter
+
+
+def block_links(classes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect exactly the sets that links between ``left`` and ``right`` (places) connect: a forest of them."""
+    near = np.zeros((len(sets), len(sets)), bool)
+    near[np.ix_(left, right)] = linked(_shared(sets, left, right), sizes[left][:, None], sizes[right][None, :])
+    near |= near.T
+    found, unseen = [], np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        reached = [start] if unseen[start] else []
+        unseen[start] = False
+        while reached:
+            at = reached.pop()
+            further = np.flatnonzero(near[at] & unseen).tolist()
+            unseen[further] = False
+            found += [(int(classes[at]), int(classes[i])) for i in further]
+            reached += further
     return found
 
 
-def _in_group(key: tuple, table: pa.Table) -> pa.Table:
-    sets = [np.frombuffer(x, np.uint64) for x in table["ids"].to_pylist()]
-    found = group_links(table["cls"].to_numpy(), table["n"].to_numpy().astype(np.int64), sets)
+def _between_blocks(key: tuple, table: pa.Table) -> pa.Table:
+    i, j, block = key[1].as_py(), key[2].as_py(), table["block"].to_numpy()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    found = []
+    if len(left) and len(right):
+        sets = [np.frombuffer(x, np.uint64) for x in table["ids"].to_pylist()]
+        found = block_links(table["cls"].to_numpy(), table["n"].to_numpy().astype(np.int64), sets, left, right)
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
+def block_pairs(sets: DataFrame) -> DataFrame:
+    """The stored ``sets`` (comp, cls, main, n, ids) dealt into blocks, once for each two blocks (i, j) of a group to compare.
+
+    Sets of a group with ``main`` are known to be connected, so they only meet those without.
+    """
+    rows, held = F.count_if, lambda main: F.sum(F.when(main, F.octet_length("ids")).otherwise(0))
+
+    def blocks(main):
+        return F.greatest(F.ceil(rows(main) / SIDE), F.ceil(held(main) / SIDE_BYTES)).cast("int")
+
+    cut = materialise(sets.groupBy("comp").agg(blocks(~F.col("main")).alias("others"), blocks(F.col("main")).alias("mains")), "join_blocks")
+    salt = F.xxhash64("cls")
+    block = F.when(F.col("main"), F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others"))).cast("int")
+    dealt = sets.join(cut.filter("others > 0"), "comp").withColumn("block", block)
+    last = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    return met.select("comp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cls", "n", "ids")
+
+
+def _verified(grouped: DataFrame) -> DataFrame:
+    """Links (a, b) that connect exactly the linked sets of each group of the stored ``grouped`` (cls, n, ids, comp)."""
+
+    def against(hubs: DataFrame, name: str) -> DataFrame:
+        """Members of the groups of ``hubs`` (comp, hub) against their hub."""
+        hub = grouped.join(hubs.select("comp", F.col("hub").alias("cls")), ["comp", "cls"]).select(
+            "comp", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("ids").alias("hub_ids"))
+        others = grouped.join(materialise(hub, f"{name}_hubs"), "comp").filter("cls <> hub")
+        return materialise(others.mapInArrow(_against_hub, "comp long, hub long, cls long, near boolean, distance double"), name)
+
+    # Sets with links that may not be implied yet; main: known to be connected with the others so marked.
+    opened = grouped.select("comp", "cls", F.lit(False).alias("main"))
+    hubs = grouped.select("comp", F.col("comp").alias("hub"), F.lit(False).alias("hub_main")).distinct()
+    links, left = [], []
+    for number in range(1, ROUNDS + 1):
+        met = against(hubs, f"join_round{number}")
+        links.append(met.filter("near").select(F.col("hub").alias("a"), F.col("cls").alias("b")))
+        # The hub is settled: all of its links are found.
+        met = opened.join(met.select("comp", "cls", "near", "distance"), ["comp", "cls"]).join(hubs, "comp")
+        groups = met.groupBy("comp").agg(
+            F.min(F.when(~F.col("near"), F.col("distance"))).alias("nearest"),
+            F.bool_or(F.col("hub_main") | (F.col("main") & F.col("near"))).alias("meets"),
+            (F.count_if("near") > F.count_if("main")).alias("more"),
+        )
+        main = F.when(F.col("meets"), F.col("main") | F.col("near")).when(F.col("more"), F.col("near")).otherwise(F.col("main"))
+        # A link of a set linked to the hub leads to one that is at most the limit (0.2) further from the hub.
+        kept = ~F.col("near") | (F.col("distance") + 0.2 + 1e-9 >= F.col("nearest"))
+        met = met.join(materialise(groups, "join_nearest"), "comp").filter(kept).select("comp", "cls", "distance", main.alias("main"))
+        met = materialise(met, "join_opened")
+        choice = F.struct("distance", "cls")
+        # Copies of a text are more like it than like each other: where the first hub does not reach all, the member
+        # nearest to it is the better middle of the group.
+        found = met.groupBy("comp").agg(
+            F.count_if(~F.col("main")).alias("others"), F.count(F.lit(1)).alias("sets"),
+            (F.min(choice) if number == 1 else F.min(F.when(~F.col("main"), choice))).alias("hub"),
+        ).filter("others > 0 and sets > 1")
+        found = materialise(found.select("comp", "others", F.col("hub.cls").alias("hub")), "join_middles")
+        further = F.lit(number < ROUNDS) & (F.lit(number == 1) | (F.col("others") > SIDE))
+        left.append(met.join(found.filter(~further).select("comp"), "comp", "left_semi").select("comp", "cls", "main"))
+        going = found.filter(further)
+        if going.isEmpty():
+            break
+        opened = met.join(going.select("comp"), "comp", "left_semi").select("comp", "cls", "main")
+        hubs = going.select("comp", "hub").join(
+            met.select("comp", F.col("cls").alias("hub"), F.col("main").alias("hub_main")), ["comp", "hub"])
+    rest = materialise(reduce(DataFrame.unionByName, left), "join_left")
+    if not rest.isEmpty():
+        pairs = block_pairs(materialise(grouped.join(rest, ["comp", "cls"]), "join_compared"))
+        links.append(pairs.groupBy("comp", "i", "j").applyInArrow(_between_blocks, "a long, b long"))
+    return reduce(DataFrame.unionByName, links)
+
+
 def _large_links(texts: DataFrame, least: int, total: int, frequent: np.ndarray) -> DataFrame:
     bits = min(16, max(4, (total // RANGE).bit_length()))
     ranged = texts.select("text").mapInArrow(_by_range(bits, least, frequent), _RANGES)
@@ -416,34 +489,7 @@ def _large_links(texts: DataFrame, least: int, total: int, frequent: np.ndarray)
     stars = keyed.join(hubs, "key").filter("a <> cls").select("a", F.col("cls").alias("b")).distinct()
     candidates = components(stars, "join_candidates").select(F.col("node").alias("cls"), F.col("component").alias("comp"))
     grouped = materialise(open_sets.select("cls", "n", "ids").join(candidates, "cls"), "join_grouped")
-
-    def against(hubs: DataFrame, name: str) -> DataFrame:
-        """Members of the groups of ``hubs`` (comp, hub) against their hub."""
-        hub = grouped.join(hubs.withColumnRenamed("hub", "cls"), ["comp", "cls"]).select(
-            "comp", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("ids").alias("hub_ids"))
-        others = grouped.join(materialise(hub, f"{name}_hubs"), "comp").filter("cls <> hub")
-        return materialise(others.mapInArrow(_against_hub, "comp long, cls long, state int, likeness double"), name)
-
-    groups = grouped.select("comp").distinct()
-    first = against(groups.withColumn("hub", F.col("comp")), "join_first")
-    # Copies of a text are more like it than like each other: where the first hub does not reach all, the member
-    # nearest to it is the better middle of the group.
-    unreached = first.groupBy("comp").agg(F.min("state").alias("least"), F.max_by("cls", F.struct("likeness", "cls")).alias("hub"))
-    middles = materialise(unreached.filter("least < 2").select("comp", "hub"), "join_middles")
-    second = against(middles, "join_second")
-    both = first.join(second.select("comp", "cls", F.col("state").alias("again")), ["comp", "cls"], "left").join(middles, "comp", "left")
-    # A group is done when its hubs are linked and every member is linked with one of them.
-    reached = (F.col("state") == 2) | (F.col("again") == 2)
-    open_groups = both.filter("hub is not null").groupBy("comp").agg(
-        F.bool_and(reached & ((F.col("cls") != F.col("hub")) | (F.col("state") == 2))).alias("done"),
-        F.bool_or(F.col("state") == 1).alias("near"),
-    ).filter("not done").select("comp", "near")
-    rest = first.join(open_groups, "comp").filter("state < 2 or near").select("comp", "cls")
-    many = rest.groupBy("comp").count().filter("count > 1").select("comp")
-    left = grouped.join(rest.join(many, "comp", "left_semi").select("cls"), "cls", "left_semi")
-    links = first.filter("state = 2").select(F.col("comp").alias("a"), F.col("cls").alias("b"))
-    links = links.unionByName(second.filter("state = 2").join(middles, "comp").select(F.col("hub").alias("a"), F.col("cls").alias("b")))
-    return links.unionByName(left.groupBy("comp").applyInArrow(_in_group, "a long, b long"))
+    return _verified(grouped)
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

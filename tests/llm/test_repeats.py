@@ -183,6 +183,43 @@ def test_frequent_shingles_and_group_without_a_hub(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_join(rows)
 
 
+@pytest.mark.parametrize("rounds", [2, 4])
+def test_no_group_is_one_task(spark, monkeypatch, rounds):
+    """A group that no hub settles, some of it linked to hubs, is compared block by block; each two blocks are of bounded size."""
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(edited(rnd, base, rnd.choice([0, 1, 2, 3, 4, 6])))) for i in range(150)]
+    compared, dealt = [], ngram_join.block_pairs
+
+    def watched(sets):
+        pairs = dealt(sets)
+        groups = sets.groupBy("comp").agg({"*": "count"}).collect()
+        compared.append((max(r[1] for r in groups), pairs.groupBy("comp", "i", "j").count().agg({"count": "max"}).first()[0]))
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "block_pairs", watched)
+    monkeypatch.setattr(ngram_join, "SIDE", 10)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    got = ngram_join.join(docs(spark, rows).repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_join(rows)
+    whole, largest = compared[0]
+    assert whole > 60 and largest <= 45
+
+
+def test_block_links(monkeypatch):
+    rnd = random.Random(4)
+    sets = [np.array(sorted(rnd.sample(range(60), rnd.randrange(1, 60))), np.uint64) for _ in range(40)] + [np.arange(50, dtype=np.uint64)] * 3
+    monkeypatch.setattr(ngram_join, "CELLS", 43 * 7)
+    every = np.arange(len(sets))
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert (ngram_join._shared(sets, every, every) == want).all()
+    sizes = np.array([len(s) for s in sets])
+    links = ngram_join.block_links(every + 100, sizes, sets, every[:20], every[20:])
+    assert len(links) < len(sets) and all(ngram_join.linked(want[a - 100][b - 100], sizes[a - 100], sizes[b - 100]) for a, b in links)
+    equal = {frozenset((a - 100, b - 100)) for a, b in ngram_join.block_links(every + 100, sizes, sets, every[40:], every[40:])}
+    assert len(equal) == 2 and frozenset.union(*equal) == {40, 41, 42}
+
+
 def test_boundary_weighs_enumeration_against_lists():
     assert ngram_join.enumerated(1) == 1 and ngram_join.boundary({}) == ngram_join.SMALL
     assert ngram_join.boundary({n: 10 for n in range(1, 33)}) < 12
