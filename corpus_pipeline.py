@@ -23,10 +23,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies.  Documents without an id stay."""
-    found = ngram_join.join(docs)
-    gone = found.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return without(docs, materialise(gone, "near_copies_gone"), ["doc_id"])
+    """The row with the smallest id, null ids last, of each group of near copies.  Rows are told apart by their place, not their id."""
+    placed = materialise(docs.withColumn("__place", F.monotonically_increasing_id()), "near_placed")
+    found = ngram_join.join(placed, key="__place").withColumnRenamed("component_id", "group")
+    named = materialise(found.join(placed.select("__place", "doc_id"), "__place").select("__place", "doc_id", "group"), "near_named")
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__place")).alias("first"))
+    # Both sides are shuffled for this join, so AQE splits the partitions of a large group.
+    gone = named.join(first, "group").filter(F.col("__place") != F.col("first.__place")).select("__place")
+    return without(placed, materialise(gone, "near_copies_gone"), ["__place"]).drop("__place")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,3 +85,15 @@ def test_awkward_rows(spark):
         assert stage(spark, spark.createDataFrame([], steps_schema), SF).count() == 0
     kept = corpus_pipeline.exact_dedup(spark, df, SF).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3"]
+
+
+def test_near_copies_go_by_row(spark):
+    """An id on several rows, and rows without an id: only near copies go, and one row of each group stays."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " end"), (2, "a clean text that nothing else is like"), (5, text.replace("w7", "x")), (5, "short of five"),
+            (None, text + " more"), *((None, " ".join(f"n{j}" for j in range(50)) + f" {i}") for i in range(9)),
+            (7, " ".join(f"s{j}" for j in range(50))), (7, " ".join(f"s{j}" for j in range(50)) + " t"), (8, None), (None, None)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, df.repartition(4), SF).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "2", "5", "7", "8", "None", "None"]
+    assert {r.text for r in got if r.doc_id in (1, 2, 5)} == {rows[0][1], rows[2][1], rows[4][1]}
