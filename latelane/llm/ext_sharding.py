@@ -43,7 +43,7 @@ def _leaves(cells: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     return placed, sums.filter((F.col("d") == STEP) & ~whole).select("region", F.col("prefix").alias("cell"))
 
 
-def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text", place: str | None = None) -> DataFrame:
     """The shard of every row: ``key``, ``n_bytes``, ``shard`` (bits), ``depth``, ``shard_bytes``, ``shard_docs``, ``oversized``.
 
     ``shard`` is the text of the leading bits ('' when one shard holds all).  A shard has at
@@ -51,8 +51,9 @@ def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -
     its text's in UTF-8; null has none.  Rows with the same key share all 60 bits; when they
     exceed a shard, splitting goes on over the bits of their place in the written table, so
     even one key with a third of all rows ends in small shards.  An empty table has no shards.
+    ``place`` names a column of a stored ``df`` that tells its rows apart; it is then returned as well.
     """
-    at = F.monotonically_increasing_id()
+    at = F.col(f"`{place}`") if place else F.monotonically_increasing_id()
     rows = df.select(
         F.col(f"`{key}`").alias("k"), F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"),
         key_bits(F.col(f"`{key}`")).alias("bits"), at.alias("at"),
@@ -70,6 +71,7 @@ def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -
         done.append(rows.join(leaves, ["region", "cell"]).select(
             F.col("k").alias(key), "n_bytes", F.concat("region", bits).alias("shard"), (F.col("d") + used).alias("depth"),
             F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"), (F.col("bytes") > limit).alias("oversized"),
+            *([F.col("at").alias(place)] if place else []),
         ))
         full = materialise(full, "shard_splits")
         if full.isEmpty():
@@ -88,9 +90,10 @@ def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -
 
 
 def write_shards(df: DataFrame, limit: int, path: str | None = None, key: str = "doc_id", text: str = "text") -> str:
-    """Write the rows of ``df`` (unique keys) into one folder per shard; returns the path.  A null key is left out."""
+    """Write every row of ``df`` once, into one folder per shard; returns the path.  Keys may repeat or be null."""
     path = path or new_path(df.sparkSession, "shards")
-    shards = materialise(assign(df, limit, key, text).select(F.col(key).alias("__key"), "shard"), "shard_of")
-    placed = df.join(shards, F.col(f"`{key}`") == F.col("__key")).drop("__key")
+    stored = materialise(df.withColumn("__place", F.monotonically_increasing_id()), "shard_input")
+    shards = materialise(assign(stored, limit, key, text, "__place").select("__place", "shard"), "shard_of")
+    placed = stored.join(shards, "__place").drop("__place")
     placed.repartition("shard").write.partitionBy("shard").parquet(path)
     return path

@@ -92,6 +92,18 @@ def test_write_shards(spark):
     assert sorted(r.doc_id for r in spark.read.parquet(path).collect()) == list(range(30))
 
 
+def test_write_shards_writes_every_row_once(spark):
+    """A third of the rows under one key, a third under none."""
+    rows = [(i if i % 3 == 0 else 7 if i % 3 == 1 else None, f"{i:03d}", "s") for i in range(90)]
+    written = spark.read.parquet(ext_sharding.write_shards(docs(spark, rows).repartition(3), 20))
+    got = written.selectExpr("doc_id", "text", "regexp_extract(input_file_name(), 'shard=([^/]*)', 1) as folder").collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(d), t) for d, t, _ in rows)
+    held = {}
+    for r in got:
+        held[r.folder] = held.get(r.folder, 0) + len(r.text)
+    assert max(held.values()) <= 20
+
+
 def _naive(lengths, bits, capacity):
     bins = []
     for n, b in zip(lengths, bits):
