@@ -329,9 +329,6 @@ def written(kind: str, mention: str, new: str) -> str:
 
 # --- on tables -----------------------------------------------------------------------------
 
-_NO_KEY = (1 << 63) - 1
-
-
 def _mentions(batches):
     for batch in batches:
         docs, kinds, values = [], [], []
@@ -417,7 +414,8 @@ def redact(df: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text"
     entities of a type have different ones.  Null keys and repeated rows are treated like others;
     an empty table gives no rows.  Whole texts are read.
     """
-    doc = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NO_KEY))
+    # By the text's hash, a list is bounded by its text's own entities, whatever the keys; texts of one hash share a list.
+    doc = F.xxhash64(F.col(f"`{text}`"))
     mentions = df.select(doc.alias("doc"), F.col(f"`{text}`").alias("text")).mapInArrow(_mentions, "doc long, kind string, value string")
     mentions = materialise(mentions, "mentions")
     entities = materialise(mentions.select("kind", "value").distinct(), "entities")

@@ -116,6 +116,22 @@ def test_full_format_keeps_a_permutation(spark):
     assert len({r.new for r in got}) == 10 == len({r.value for r in got}) and {r.new for r in got} == {f"sk-_{i}" for i in range(10)}
 
 
+def test_redrawn_entities_are_listed_by_text(spark, monkeypatch):
+    """All rows without an id, most entities drawn again: no list holds more than its own text's entities."""
+    old, stored, write = [f"token=sk-_{a}{b}" for a in "abcdefgh" for b in "abcdefgh"], {}, S.materialise
+
+    def watched(df, name):
+        stored[name] = write(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(S, "materialise", watched)
+    got = S.redact(frame(spark, [(None, t) for t in old]), KEY).collect()
+    new = {r.text for r in got}
+    assert len(got) == len(new) == 64 and not new & set(old)
+    lists = [r["__redrawn"].count("attempt") for r in stored["redrawn"].collect()]
+    assert len(lists) > 1 and set(lists) == {1}
+
+
 def test_query_on_the_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     entities = {(k, v) for t in docs.values() for _, _, k, v in S.find(t or "")}
