@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latelane.llm import bpe, cross_polytope, digest_index, ext_sharding, ngram_join, ordinal, packing, suffix_dedup, surrogates, wrappers
+from latelane.llm import (
+    bpe, cross_polytope, digest_index, ext_sharding, hard_negatives, ngram_join, ordinal, packing, ranked_search, secret_scan, suffix_dedup,
+    surrogates, wrappers,
+)
 from latelane.llm.common import read
 
 #: Words of a packed training sequence.
@@ -76,9 +79,71 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ext_sharding.assign(read(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its spans; the counts and the digest are of the patterns' spans alone."""
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == secret_scan.KINDS.index(kind))).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != secret_scan.KINDS.index("random"))
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in secret_scan.KINDS],
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every hundredth vector; every seventh one counts under the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def _matches_sql(kind: int, pattern: str, group: int = 0) -> str:
+    """DuckDB SQL: each match of a pattern in ``t``, by the lengths of the pieces between the matches."""
+    quoted = pattern.replace("'", "''")
+    size = "list_sum(list_transform({}, lambda x: length(x)))"
+    return f"""SELECT doc_id, {kind} AS kind, a, a + length(f[i]) AS b, f[i] AS m, v[i] AS v FROM (
+        SELECT *, ({size.format('p[1:i]')} + coalesce({size.format('f[1:i - 1]')}, 0))::BIGINT AS a FROM (
+            SELECT doc_id, p, f, v, unnest(range(1, len(f) + 1)) AS i FROM (
+                SELECT doc_id, string_split_regex(text, '{quoted}') AS p, regexp_extract_all(text, '{quoted}', 0) AS f,
+                       regexp_extract_all(text, '{quoted}', {group}) AS v FROM t)))"""
+
+
+_S = secret_scan
+_SECRETS_SQL = f"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    base AS (SELECT * FROM ({_matches_sql(0, _S.ASSIGN, 2)}) WHERE length(v) >= {_S.LEAST_VALUE}
+             UNION ALL {_matches_sql(1, _S.ACCESS)} UNION ALL {_matches_sql(2, _S.HEX)}),
+    runs AS (SELECT * FROM ({_matches_sql(3, _S.RUN)}) r WHERE regexp_matches(m, '[A-Za-z]')
+             AND NOT EXISTS (SELECT 1 FROM base s WHERE s.doc_id = r.doc_id AND s.a < r.b AND s.b > r.a)),
+    sample AS (SELECT text FROM t WHERE (SELECT count(*) FROM t) <= {_S.SAMPLE_DOCS}
+               OR ('0x' || substr(md5(concat(doc_id, '|', text)), 1, 8))::BIGINT::DOUBLE * (SELECT count(*) FROM t) < 4294967296.0 * {_S.SAMPLE_DOCS}),
+    words AS (SELECT DISTINCT unnest(regexp_extract_all(regexp_replace(text, '{_S.ASSIGN.replace("'", "''")}', ' ', 'g'), '{_S.WORD}')) AS w FROM sample),
+    tokens AS (SELECT DISTINCT v AS w, 1 AS r FROM base WHERE length(v) >= {_S.LEAST_RANDOM}
+               UNION ALL SELECT w, 0 FROM words WHERE regexp_matches(w, '[A-Za-z]') AND NOT regexp_matches(w, '{_S.ACCESS}|{_S.HEX}')),
+    pairs AS (SELECT r, CASE WHEN i = 1 THEN 0 ELSE ascii(substr(w, i - 1, 1)) END AS x, ascii(substr(w, i, 1)) AS y
+              FROM (SELECT w, r, unnest(range(1, length(w) + 1)) AS i FROM tokens)),
+    n AS (SELECT x, y, sum(r) AS nr, sum(1 - r) AS n0 FROM pairs GROUP BY 1, 2),
+    l AS (SELECT x, sum(nr) + {0.5 * _S.ALPHABET} AS lr, sum(n0) + {0.5 * _S.ALPHABET} AS l0 FROM n GROUP BY 1),
+    scored AS (
+        SELECT doc_id, a, b, sum(CASE WHEN lr IS NULL THEN 0 ELSE floor(1000 * (
+            ln((coalesce(nr, 0)::DOUBLE + 0.5) / lr::DOUBLE) - ln((coalesce(n0, 0)::DOUBLE + 0.5) / l0::DOUBLE))) END) AS ratio
+        FROM (SELECT doc_id, a, b, CASE WHEN i = 1 THEN 0 ELSE ascii(substr(m, i - 1, 1)) END AS x, ascii(substr(m, i, 1)) AS y
+              FROM (SELECT *, unnest(range(1, length(m) + 1)) AS i FROM runs))
+        LEFT JOIN l USING (x) LEFT JOIN n USING (x, y) GROUP BY 1, 2, 3),
+    spans AS (SELECT doc_id, a, kind, b FROM base UNION ALL SELECT doc_id, a, 3, b FROM scored WHERE ratio >= {_S.LEAST_RATIO}),
+    named AS (SELECT doc_id, kind, a, concat({list(_S.KINDS)!r}[kind + 1], ':', a, ':', b) AS s FROM spans),
+    g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(_S.KINDS))},
+          string_agg(s, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY a, kind) AS spans FROM named GROUP BY 1)
+    SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _S.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM t LEFT JOIN g USING (doc_id)
+"""
+
 _QUERIES = [
     op1_ngram_join, op2_pii, op3_bpe, op4_suffix_dedup, op5_html_extraction, op6_embedding_dedup, op7_quality_classifier,
-    op8_exact_dedup, op9_best_fit_packing, op10_sharding,
+    op8_exact_dedup, op9_best_fit_packing, op10_sharding, op11_secret_scans, op12_hard_negatives, op13_ranked_search,
 ]
 
 _SQL = {
@@ -161,6 +226,41 @@ _SQL = {
                shard_bytes, shard_docs, shard_bytes > {SHARD_BYTES} AS oversized
         FROM fit QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d) = 1
     """,
+    "op11_secret_scans": _SECRETS_SQL,
+    "op12_hard_negatives": """
+        WITH r AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS a, a.label AS la, b.vec_id AS b, b.label AS lb, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), p AS (
+            SELECT a, b AS p, score AS ps FROM s WHERE la = lb QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+        )
+        SELECT a AS anchor_id, p AS positive_id, (row_number() OVER (PARTITION BY a, p ORDER BY score DESC, b))::INT AS rank,
+               b AS negative_id, ps AS positive_score, score AS negative_score
+        FROM p JOIN s USING (a) WHERE la <> lb AND 30 * ps <= 100 * score AND 100 * score <= 90 * ps QUALIFY rank <= 10
+    """,
+    "op13_ranked_search": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+        ), q AS (
+            SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark
+        ), g AS (SELECT count(*)::BIGINT AS docs, sum(len(ws))::BIGINT AS words FROM d WHERE len(ws) > 0),
+        tf AS (
+            SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d)
+            WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3
+        ), w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY term, docs),
+        s AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+            FROM q JOIN w USING (term) JOIN tf USING (term), g GROUP BY 1, 2
+        )
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 50
+    """,
 }
 
 
