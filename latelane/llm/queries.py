@@ -120,19 +120,24 @@ _SECRETS_SQL = f"""
              AND NOT EXISTS (SELECT 1 FROM base s WHERE s.doc_id = r.doc_id AND s.a < r.b AND s.b > r.a)),
     sample AS (SELECT text FROM t WHERE (SELECT count(*) FROM t) <= {_S.SAMPLE_DOCS}
                OR ('0x' || substr(md5(concat(doc_id, '|', text)), 1, 8))::BIGINT::DOUBLE * (SELECT count(*) FROM t) < 4294967296.0 * {_S.SAMPLE_DOCS}),
-    words AS (SELECT DISTINCT unnest(regexp_extract_all(regexp_replace(text, '{_S.ASSIGN.replace("'", "''")}', ' ', 'g'), '{_S.WORD}')) AS w FROM sample),
+    words AS (SELECT w FROM (
+        SELECT text, unnest(regexp_extract_all(regexp_replace(text, '{_S.ASSIGN.replace("'", "''")}', ' ', 'g'), '{_S.WORD}')) AS w FROM sample)
+        GROUP BY w HAVING length(w) < {_S.LEAST_RANDOM} OR min(text) <> max(text)),
     tokens AS (SELECT DISTINCT v AS w, 1 AS r FROM base WHERE length(v) >= {_S.LEAST_RANDOM}
                UNION ALL SELECT w, 0 FROM words WHERE regexp_matches(w, '[A-Za-z]') AND NOT regexp_matches(w, '{_S.ACCESS}|{_S.HEX}')),
     pairs AS (SELECT r, CASE WHEN i = 1 THEN 0 ELSE ascii(substr(w, i - 1, 1)) END AS x, ascii(substr(w, i, 1)) AS y
               FROM (SELECT w, r, unnest(range(1, length(w) + 1)) AS i FROM tokens)),
     n AS (SELECT x, y, sum(r) AS nr, sum(1 - r) AS n0 FROM pairs GROUP BY 1, 2),
-    l AS (SELECT x, sum(nr) + {0.5 * _S.ALPHABET} AS lr, sum(n0) + {0.5 * _S.ALPHABET} AS l0 FROM n GROUP BY 1),
+    l AS (SELECT x, sum(nr) AS lr, sum(n0) AS l0 FROM n GROUP BY 1),
+    c AS (SELECT y, sum(nr) AS cr, sum(n0) AS c0 FROM n GROUP BY 1),
+    w AS (SELECT coalesce(sum(nr), 0)::DOUBLE + {0.5 * _S.ALPHABET} AS wr, coalesce(sum(n0), 0)::DOUBLE + {0.5 * _S.ALPHABET} AS w0 FROM n),
     scored AS (
-        SELECT doc_id, a, b, sum(CASE WHEN lr IS NULL THEN 0 ELSE floor(1000 * (
-            ln((coalesce(nr, 0)::DOUBLE + 0.5) / lr::DOUBLE) - ln((coalesce(n0, 0)::DOUBLE + 0.5) / l0::DOUBLE))) END) AS ratio
+        SELECT doc_id, a, b, sum(floor(1000 * (
+            ln((coalesce(nr, 0)::DOUBLE + {_S.DRAWN} * ((coalesce(cr, 0)::DOUBLE + 0.5) / wr)) / (coalesce(lr, 0)::DOUBLE + {_S.DRAWN}))
+            - ln((coalesce(n0, 0)::DOUBLE + {_S.DRAWN} * ((coalesce(c0, 0)::DOUBLE + 0.5) / w0)) / (coalesce(l0, 0)::DOUBLE + {_S.DRAWN}))))) AS ratio
         FROM (SELECT doc_id, a, b, CASE WHEN i = 1 THEN 0 ELSE ascii(substr(m, i - 1, 1)) END AS x, ascii(substr(m, i, 1)) AS y
               FROM (SELECT *, unnest(range(1, length(m) + 1)) AS i FROM runs))
-        LEFT JOIN l USING (x) LEFT JOIN n USING (x, y) GROUP BY 1, 2, 3),
+        LEFT JOIN l USING (x) LEFT JOIN c USING (y) LEFT JOIN n USING (x, y), w GROUP BY 1, 2, 3),
     spans AS (SELECT doc_id, a, kind, b FROM base UNION ALL SELECT doc_id, a, 3, b FROM scored WHERE ratio >= {_S.LEAST_RATIO}),
     named AS (SELECT doc_id, kind, a, concat({list(_S.KINDS)!r}[kind + 1], ':', a, ':', b) AS s FROM spans),
     g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(_S.KINDS))},

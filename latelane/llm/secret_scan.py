@@ -11,6 +11,8 @@ key characters cut out of them is stored and scored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ LEAST_RANDOM = 16
 SAMPLE_DOCS = 20_000
 #: Characters of the alphabet, with one for the start.
 ALPHABET = 68
+#: Counts with which a character's share anywhere enters its share after another.
+DRAWN = 8.0
 #: A run is a secret from this log-likelihood ratio on, in thousandths of a nat.
 LEAST_RATIO = 10_000
 #: Kinds in the order in which spans of one start are listed.
@@ -122,6 +126,7 @@ def random_samples(stored: DataFrame) -> DataFrame:
 def identifier_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE_DOCS) -> DataFrame:
     """The distinct words, with a letter and outside of all patterns, of about ``most`` documents: labelled ordinary identifiers.
 
+    A word as long as a candidate is taken only if texts that differ have it: what stands in one text may be a secret itself.
     A document is drawn by a hash of its key and text, so the draw repeats and does not depend on the partitions.
     """
     df = docs.select(F.col(f"`{key}`").cast("string").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
@@ -130,8 +135,10 @@ def identifier_samples(docs: DataFrame, key: str = "doc_id", text: str = "text",
         drawn = F.conv(F.substring(F.md5(F.concat(F.coalesce("k", F.lit("")), F.lit("|"), F.col("text"))), 1, 8), 16, 10).cast("double")
         df = df.filter(drawn * n < 2.0**32 * most)
     without = F.regexp_replace("text", ASSIGN, " ")
-    words = df.select(F.explode(F.regexp_extract_all(without, F.lit(WORD), 0)).alias("token")).distinct()
-    return words.filter(F.col("token").rlike("[A-Za-z]") & ~F.col("token").rlike(f"{ACCESS}|{HEX}"))
+    words = df.select(F.xxhash64("text").alias("h"), F.explode(F.regexp_extract_all(without, F.lit(WORD), 0)).alias("token"))
+    words = words.groupBy("token").agg((F.min("h") != F.max("h")).alias("shared"))
+    ordinary = F.col("shared") | (F.char_length("token") < LEAST_RANDOM)
+    return words.filter(ordinary & F.col("token").rlike("[A-Za-z]") & ~F.col("token").rlike(f"{ACCESS}|{HEX}")).select("token")
 
 
 def bigram_counts(random: DataFrame, ordinary: DataFrame) -> DataFrame:
@@ -143,22 +150,27 @@ def bigram_counts(random: DataFrame, ordinary: DataFrame) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame) -> list[int]:
-    """Per pair the thousandths of a nat by which it is likelier in a random string, from counts smoothed by a half.
+    """Per pair the thousandths of a nat by which it is likelier in a random string.
 
-    Pairs of an unknown character say nothing.  At most one row per two characters reaches the driver.
+    A model's share of a character after another is its count there, drawn towards the character's share anywhere with the
+    weight of ``DRAWN`` counts.  At most one row per two characters reaches the driver.
     """
-    found = counts.withColumn("before", F.floor(F.col("pair") / 128).cast("int"))
-    totals = found.groupBy("before").agg(F.sum("in_random").alias("all_random"), F.sum("in_ordinary").alias("all_ordinary"))
-    smoothed = lambda n, of: (n + 0.5) / (F.col(of) + 0.5 * ALPHABET)
-    ratio = lambda r, o: F.floor(1000 * (F.log(smoothed(r, "all_random")) - F.log(smoothed(o, "all_ordinary"))))
-    rows = found.join(totals, "before").select(
-        "pair", "before", ratio(F.col("in_random"), F.col("in_ordinary")).alias("ratio"), ratio(F.lit(0), F.lit(0)).alias("unseen")
-    ).collect()
-    table = [0] * (128 * 128)
-    for r in rows:
-        table[128 * r["before"] : 128 * (r["before"] + 1)] = [r["unseen"]] * 128
+    rows = counts.collect()
+    pair, before, alone = {}, {}, {}
     for r in rows:
-        table[r["pair"]] = r["ratio"]
+        own = r["in_random"], r["in_ordinary"]
+        pair[r["pair"]] = own
+        for total, at in ((before, r["pair"] // 128), (alone, r["pair"] % 128)):
+            total[at] = tuple(x + y for x, y in zip(total.get(at, (0, 0)), own))
+    whole = [sum(x[i] for x in alone.values()) for i in (0, 1)]
+    table = []
+    for b in range(128):
+        for c in range(128):
+            share = []
+            for i in (0, 1):
+                anywhere = (alone.get(c, (0, 0))[i] + 0.5) / (whole[i] + 0.5 * ALPHABET)
+                share.append((pair.get(128 * b + c, (0, 0))[i] + DRAWN * anywhere) / (before.get(b, (0, 0))[i] + DRAWN))
+            table.append(math.floor(1000 * (math.log(share[0]) - math.log(share[1]))))
     return table
 
 
