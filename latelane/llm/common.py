@@ -23,6 +23,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each name, with underscores added until no column has it, whatever the case of its letters."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def normalised(text: Column) -> Column:
     """A text with each run of white space replaced by one blank; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
@@ -35,8 +46,9 @@ def small(keys: DataFrame, limit: int = KEYS_BYTES) -> DataFrame:
 
 def without(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` whose ``on`` is not in the stored table ``keys``.  A null key matches a null key."""
-    renamed = keys.select(*[F.col(c).alias(f"__{c}") for c in on])
-    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"__{c}")) for c in on])
+    names = unused(df.columns, *[f"__{c}" for c in on])
+    renamed = keys.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(on, names)])
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`{n}`")) for c, n in zip(on, names)])
     return df.join(small(renamed), same, "left_anti")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latelane.llm.common import unused
 from latelane.session import materialise, new_path
 
 #: Bits decided per pass: a pass groups rows into 2^20 cells at most, the largest directory kept in one table.
@@ -90,10 +91,12 @@ def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text", p
 
 
 def write_shards(df: DataFrame, limit: int, path: str | None = None, key: str = "doc_id", text: str = "text") -> str:
-    """Write every row of ``df`` once, into one folder per shard; returns the path.  Keys may repeat or be null."""
+    """Write every row of ``df`` once, into one folder per shard (``shard=``, with underscores before it if ``df`` has such a
+    column); returns the path.  Keys may repeat or be null."""
     path = path or new_path(df.sparkSession, "shards")
-    stored = materialise(df.withColumn("__place", F.monotonically_increasing_id()), "shard_input")
-    shards = materialise(assign(stored, limit, key, text, "__place").select("__place", "shard"), "shard_of")
-    placed = stored.join(shards, "__place").drop("__place")
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    place, shard = unused(df.columns, "place", "shard")
+    stored = materialise(df.withColumn(place, F.monotonically_increasing_id()), "shard_input")
+    shards = materialise(assign(stored, limit, key, text, place).select(F.col(place), F.col("shard").alias(shard)), "shard_of")
+    placed = stored.join(shards, place).drop(place)
+    placed.repartition(F.col(shard)).write.partitionBy(shard).parquet(path)
     return path

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from latelane.errors import StoreError
 from latelane.llm import digest_index, ext_sharding, packing
 
 DOCS = "doc_id long, text string, source string, k string, digest string, at long, n_bytes string, region int"
@@ -50,6 +51,49 @@ def test_index_remembers_earlier_batches(spark):
     assert index.deduplicate(docs(spark, [])).count() == 0
 
 
+def test_index_is_opened_again(spark, tmp_path):
+    """By its path, also from another session, with its own buckets; nothing is lost and nothing is written by opening."""
+    path = str(tmp_path / "index")
+    index = digest_index.DigestIndex(spark, path, buckets=3)
+    index.deduplicate(docs(spark, [(10, "one", "s"), (11, "two", "s")])).collect()
+    for session in (spark, spark.newSession()):
+        again = digest_index.DigestIndex.open(session, path)
+        assert again.buckets == 3 and again.rows().count() == 2
+        plan = again.rows().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    other = digest_index.DigestIndex(spark.newSession(), path)
+    rows = other.spark.createDataFrame([(1, "one", 0), (2, "three", 0)], "doc_id long, text string, batch int")
+    got = {r.doc_id: (r.keep_id, r.kept) for r in other.deduplicate(rows).collect()}
+    assert got == {1: (10, False), 2: (2, True)}
+    assert digest_index.DigestIndex.open(spark, path).rows().count() == 3
+    with pytest.raises(StoreError, match="no digest index"):
+        digest_index.DigestIndex.open(spark, str(tmp_path / "absent"))
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "file").write_text("x")
+    with pytest.raises(StoreError, match="holds files"):
+        digest_index.DigestIndex(spark, str(tmp_path / "other"))
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    """A result that was lost is asked for again: the same answer, and no row more in the index."""
+    index = digest_index.DigestIndex(spark, str(tmp_path / "index"), buckets=2)
+    index.deduplicate(docs(spark, [(1, "old", "s")]))
+    batch = docs(spark, [(5, "old", "s"), (6, "new", "s"), (7, "new", "t"), (7, "new", "t"), (None, None, "s")])
+    index.deduplicate(batch)  # never read
+    first = sorted(map(str, index.deduplicate(batch).collect()))
+    second = sorted(map(str, digest_index.DigestIndex.open(spark, str(tmp_path / "index")).deduplicate(batch.repartition(3)).collect()))
+    assert first == second and index.rows().count() == 3
+    assert sum("kept=True" in r for r in first) == 2
+    later = index.deduplicate(docs(spark, [(2, "new", "s")])).first()
+    assert (later.keep_id, later.kept) == (6, False)
+
+
+def test_rows_kept_keep_all_columns(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a ", "y"), (3, "a", "z")], "doc_id long, text string, __sha256 string")
+    got = digest_index.DigestIndex(spark, buckets=2).keep_first(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, "a", "x"), (2, "a ", "y")]
+
+
 def test_index_join_is_a_sort_merge_without_shuffling_the_index(spark):
     index = digest_index.DigestIndex(spark)
     seen = index.rows()
@@ -92,6 +136,13 @@ def test_write_shards(spark):
     assert sorted(r.doc_id for r in spark.read.parquet(path).collect()) == list(range(30))
 
 
+def test_write_shards_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(i, "abc", "mine", "too", "_s") for i in range(9)], "doc_id long, text string, shard string, place string, _shard string")
+    got = spark.read.parquet(ext_sharding.write_shards(df, 9))
+    assert got.count() == 9 and {(r.shard, r.place, r["_shard"]) for r in got.select("shard", "place", "_shard").collect()} == {("mine", "too", "_s")}
+    assert "__shard" in got.columns
+
+
 def test_write_shards_writes_every_row_once(spark):
     """A third of the rows under one key, a third under none."""
     rows = [(i if i % 3 == 0 else 7 if i % 3 == 1 else None, f"{i:03d}", "s") for i in range(90)]
