@@ -6,7 +6,8 @@ entity's canonical value, so all its mentions, however written, get the same one
 format.  Values with a format are permuted within it: a keyed Feistel network over exactly the
 values of that format (letters stay letters of their script and case, digits digits, check digits
 hold, addresses stay of their kind), which maps different values to different ones.  Names are composed of
-syllables of their script, with endings of their gender.
+syllables of their script, with endings of their gender: the one that most titles of the name tell over the
+whole corpus, or without any, the one its own ending tells.  A name has one surrogate whatever its title.
 
 The distinct entities of the corpus are then checked: two of one type must not share a surrogate,
 and none may be a value that occurs in the corpus.  Those that do are drawn again with the next
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latelane.llm.common import small
+from latelane.llm.common import small, unused
 from latelane.session import materialise
 
 #: Rounds of drawing again; a format so full that this is not enough keeps the plain permutation (distinct, not new).
 ATTEMPTS = 12
+#: Rounds for names, which grow by a syllable every second round.
+NAME_ATTEMPTS = 40
 #: Longest value that is permuted; longer secrets are shifted by a stream keyed by the whole value.
 PERMUTED = 64
 
@@ -37,12 +40,20 @@ PERMUTED = 64
 _MAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}", re.U)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)", re.A)
-_CARD = re.compile(r"(?<![\d.+-])[3-6](?:[ -]?\d){12,18}(?![\d-])", re.A)
+_DIGIT_RUN = re.compile(r"(?<![\d.+])\d+(?:[ -]\d+)*", re.A)
+_DIGITS = re.compile(r"\d+", re.A)
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A)
-_PHONE = re.compile(
-    r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-    r"|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", re.A,
-)
+_PHONE = re.compile(r"(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", re.A)
+_DIALLED = re.compile(r"(?<![\w+])\+\d+(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d+)*", re.A)
+# Country codes and how many digits follow them.
+_NATIONAL = {
+    "1": (10,), "7": (10,), "20": (9, 10), "27": (9,), "30": (10,), "31": (9,), "32": (8, 9), "33": (9,), "34": (9,), "36": (8, 9),
+    "39": (8, 9, 10, 11), "40": (9,), "41": (9,), "43": (7, 8, 9, 10, 11), "44": (9, 10), "45": (8,), "46": (7, 8, 9), "47": (8,), "48": (9,),
+    "49": (7, 8, 9, 10, 11), "51": (8, 9), "52": (10,), "54": (10, 11), "55": (10, 11), "56": (9,), "57": (8, 10), "60": (8, 9, 10), "61": (9,),
+    "62": (8, 9, 10, 11), "63": (8, 10), "64": (8, 9, 10), "65": (8,), "66": (8, 9), "81": (9, 10), "82": (8, 9, 10), "84": (9, 10),
+    "86": (10, 11), "90": (10,), "91": (10,), "92": (9, 10), "351": (9,), "353": (7, 8, 9), "358": (7, 8, 9, 10), "380": (9,), "420": (9,),
+    "421": (9,), "966": (8, 9), "971": (8, 9), "972": (8, 9),
+}
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
 _SECRET = re.compile(
     r"(?i:\b(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|private[_-]?key)\b[\"']?\s*[:=]\s*)"
@@ -75,6 +86,69 @@ def _iban_rest(value: str) -> int:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
 
 
+def _is_card(value: str) -> bool:
+    prefix = value[0] in "3456" or "2221" <= value[:4] <= "2720"
+    return 13 <= len(value) <= 19 and prefix and luhn(value) == 0 and len(set(value)) > 1
+
+
+def _cards(text: str) -> list[tuple[int, int, str]]:
+    """Card numbers among digit groups with single blanks or hyphens between them.
+
+    A number may begin and end at any group, so a neighbour does not hide it.  Of overlapping ones that are all valid, one
+    group wins over several, then sixteen digits over another length, then the longer, then the earlier one.
+    """
+    found = []
+    for run in _DIGIT_RUN.finditer(text):
+        groups = [(m.start(), m.end(), m[0]) for m in _DIGITS.finditer(text, run.start(), run.end())]
+        for i, (a, _, first) in enumerate(groups):
+            if first[0] not in "23456" or text[a - 1 : a] == "-":
+                continue
+            value = ""
+            for j in range(i, len(groups)):
+                value += groups[j][2]
+                if len(value) > 19:
+                    break
+                if len(value) >= 13 and text[groups[j][1] : groups[j][1] + 1] != "-" and _is_card(value):
+                    found.append((j > i, len(value) != 16, -len(value), a, groups[j][1], value))
+    kept: list[tuple[int, int, str]] = []
+    for *_, a, b, value in sorted(found):
+        if all(b <= x or a >= y for x, y, _ in kept):
+            kept.append((a, b, value))
+    return kept
+
+
+def _dialled(text: str, others: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Phone numbers with a country code, out of spans of ``others``.
+
+    Of the groups that follow, a number has as many as its country's numbers have digits; for a country that is not
+    listed, all up to 15 digits, but none after a blank once hyphens or dots have parted them.
+    """
+    found = []
+    for run in _DIALLED.finditer(text):
+        end = min([run.end(), *(a for a, b in others if run.start() < b and a < run.end())])
+        groups = [(m.start(), m.end()) for m in _DIGITS.finditer(text, run.start(), end)]
+        if not groups:
+            continue
+        digits = lambda j: re.sub(r"\D", "", text[groups[0][0] : groups[j][1]])
+        first = text[groups[0][0] : groups[0][1]]
+        code = next((first[:n] for n in (3, 2, 1) if first[:n] in _NATIONAL), None)
+        trunk = "(0)" in text[run.start() : end]
+        parted, fits, sizes = False, [], {}
+        for j in range(len(groups)):
+            between = text[groups[j - 1][1] : groups[j][0]] if j else ""
+            if (between == " " and parted) or len(value := digits(j)) > 15:
+                break
+            parted = parted or between in ("-", ".")
+            sizes[j] = len(value) - trunk
+            if len(value) >= 7:
+                fits.append(j)
+        known = [j for j in fits if code and sizes[j] - len(code) in _NATIONAL[code]]
+        if known or fits:
+            last = (known or fits)[-1]
+            found.append((run.start(), groups[last][1], digits(last)))
+    return found
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical value) of the entities of a text, in order and without overlaps."""
     found = []
@@ -97,16 +171,15 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             value = m[0].replace(" ", "")
             if 15 <= len(value) <= 34 and _iban_rest(value) == 1:
                 add("iban", m, value)
-        for m in _CARD.finditer(text):
-            value = re.sub(r"\D", "", m[0])
-            if luhn(value) == 0 and len(set(value)) > 1:
-                add("card", m, value)
+        cards = _cards(text)
+        taken = [(a, b) for a, b, _ in cards]
+        found += [(a, b, "card", value) for a, b, value in cards]
         for m in _IP.finditer(text):
             add("ip", m, m[0])
+            taken.append(m.span())
+        found += [(a, b, "phone", value) for a, b, value in _dialled(text, taken)] if "+" in text else []
         for m in _PHONE.finditer(text):
-            value = re.sub(r"\D", "", m[0])
-            if 7 <= len(value) <= 15:
-                add("phone", m, value)
+            add("phone", m, re.sub(r"\D", "", m[0]))
         for m in _SSN.finditer(text):
             if _valid_ssn(value := m[0].replace("-", "")):
                 add("ssn", m, value)
@@ -246,6 +319,55 @@ def _surname_gender(gender: str, name: str) -> str:
     return gender if script(name) in ("cyrillic", "greek") else "x"
 
 
+def own_gender(part: str, writing: str, name: str) -> str:
+    """The gender that a name's own ending tells, where no title does."""
+    if part == "surname" and writing not in ("cyrillic", "greek"):
+        return "x"
+    female = {"latin": ("a", "ette", "ine"), "cyrillic": ("а", "я"), "greek": ("α", "η", "ω", "ού")}.get(writing, ())
+    return "f" if name.endswith(female) else "m"
+
+
+def identity(kind: str) -> tuple[str, str]:
+    """(kind without the gender, gender): what a mention's title tells is evidence, not part of who is meant."""
+    if ":" not in kind:
+        return kind, ""
+    part, gender, writing = kind.split(":")
+    return f"{part}:{writing}", gender
+
+
+def _gendered(kind: str, value: str, gender: str) -> str:
+    """The kind for :func:`surrogate` of an entity whose gender is settled, or '' for its own."""
+    if ":" not in kind:
+        return kind
+    part, writing = kind.split(":")
+    return f"{part}:{gender or own_gender(part, writing, value)}:{writing}"
+
+
+def format_class(kind: str, value: str) -> str:
+    """All values that a surrogate of ``value`` can be: a permutation maps a class onto itself."""
+    keep = lambda c: f"{a[0]:x}." if (a := _alphabet(c)) else c
+    if kind == "ip":
+        own = _ip_range(sum(int(x) << 8 * (3 - i) for i, x in enumerate(value.split("."))))
+        return f"ip {own}"
+    if kind == "card":
+        return f"card {value[0]}{len(value)}"
+    if kind == "phone":
+        country = max(0, len(value) - 10)
+        return f"phone {value[:country]} {value[country] == '0'} {len(value)}"
+    if kind == "iban":
+        return f"iban {value[:2]} {''.join(map(keep, value[4:]))}"
+    if kind == "secret" and _hex_places(value):
+        return f"hex {len(value)} {value == value.lower()}"
+    if kind == "secret" and re.match(r"AKIA|ASIA|gh[pousr]_|sk-|xox", value):
+        return f"secret {value[:4]}{''.join(map(keep, value[4:]))}"
+    if kind == "mail":
+        local, domain = value.rsplit("@", 1)
+        labels = domain.split(".")
+        same = [i == len(labels) - 1 or x in ("example", "test", "invalid", "localhost") for i, x in enumerate(labels)]
+        return f"mail {''.join(map(keep, local))}@{'.'.join(x if s else ''.join(map(keep, x)) for x, s in zip(labels, same))}"
+    return f"{kind} {''.join(map(keep, value))}"
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The canonical surrogate of a canonical value.  For formats a bijection of values of that format, for each attempt."""
     tweak = f"{kind}:{attempt}"
@@ -331,40 +453,55 @@ def written(kind: str, mention: str, new: str) -> str:
 
 def _mentions(batches):
     for batch in batches:
-        docs, kinds, values = [], [], []
+        rows = []
         for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-            for kind, value in {(k, v) for _, _, k, v in find(text)} if text else ():
-                docs.append(doc)
-                kinds.append(kind)
-                values.append(value)
-        yield pa.RecordBatch.from_pydict({
-            "doc": pa.array(docs, pa.int64()), "kind": pa.array(kinds, pa.string()), "value": pa.array(values, pa.string()),
-        })
+            found = {(*identity(k), v) for _, _, k, v in find(text)} if text else ()
+            rows += [(doc, kind, value, gender) for kind, gender, value in found]
+        columns = zip(("doc", "kind", "value", "gender"), zip(*rows) if rows else ([],) * 4, (pa.int64(), *(pa.string(),) * 3))
+        yield pa.RecordBatch.from_pydict({name: pa.array(values, kind) for name, values, kind in columns})
+
+
+_ENTITY = "kind string, value string, gender string, attempt int"
 
 
 def _drawn(key: bytes):
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "attempt")))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([surrogate(k, v, key, a) for k, v, a in rows], pa.string())],
-                names=["kind", "value", "attempt", "new"],
-            )
+            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "gender", "attempt")))
+            new = [surrogate(_gendered(k, v, g), v, key, a) for k, v, g, a in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "value", "gender", "attempt", "new"])
 
     return run
 
 
+def _classes(batches):
+    for batch in batches:
+        forms = [format_class(k, v) for k, v in zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string())], names=[*batch.schema.names, "form"])
+
+
+def settled_genders(mentions: DataFrame) -> DataFrame:
+    """The distinct entities ``kind``, ``value``, ``gender``: for a name the one most mentions' titles tell, '' if they tell none or as many."""
+    m, f = F.count_if(F.col("gender") == "m"), F.count_if(F.col("gender") == "f")
+    return mentions.groupBy("kind", "value").agg(F.when(m > f, "m").when(f > m, "f").otherwise("").alias("gender"))
+
+
 def assign(entities: DataFrame, key: bytes, attempts: int = ATTEMPTS) -> DataFrame:
-    """Surrogates of distinct ``entities`` (kind, value): kind, value, attempt, new.
+    """Surrogates of distinct ``entities`` (kind, value, and gender where it is settled): kind, value, gender, attempt, new.
 
     Within a kind no two values get the same, and none gets a value of ``entities``.  A draw that
-    is taken, by the smaller attempt and then the smaller value, is drawn again.  What ``attempts``
-    rounds leave open belongs to a kind whose values nearly fill their format; all of that kind then
-    keep the first permutation, which is distinct but may name values of the corpus.
+    is taken, by the smaller attempt and then the smaller value, is drawn again; names are, up to ``NAME_ATTEMPTS``
+    times, as they grow longer.  What ``attempts`` rounds leave open is of a format that the corpus nearly fills; the values
+    of that format, and only they, then keep the first permutation, which is distinct but may name values of the corpus.
     """
-    schema = "kind string, value string, attempt int, new string"
+    schema = f"{_ENTITY}, new string"
+    if "gender" not in entities.columns:
+        entities = entities.withColumn("gender", F.lit(""))
+    entities = entities.select("kind", "value", "gender")
     open_rows, settled = entities.withColumn("attempt", F.lit(0)), None
-    for attempt in range(attempts):
+    is_name = F.col("kind").contains(":")
+    given_up = None
+    for attempt in range(max(attempts, NAME_ATTEMPTS)):
         drawn = materialise(open_rows.mapInArrow(_drawn(key), schema), "surrogates")
         every = drawn if settled is None else settled.unionByName(drawn)
         first = every.groupBy("kind", "new").agg(F.min(F.struct("attempt", "value")).alias("first"))
@@ -372,28 +509,39 @@ def assign(entities: DataFrame, key: bytes, attempts: int = ATTEMPTS) -> DataFra
             entities.select("kind", F.col("value").alias("new"), F.lit(True).alias("real")), ["kind", "new"], "left"
         )
         good = F.col("real").isNull() & (F.col("first.value") == F.col("value"))
-        checked = materialise(checked.select("kind", "value", "attempt", "new", good.alias("good")), "surrogates_checked")
+        checked = materialise(checked.select("kind", "value", "gender", "attempt", "new", good.alias("good")), "surrogates_checked")
         settled = checked.filter("good").drop("good")
-        open_rows = checked.filter("not good").select("kind", "value", F.lit(attempt + 1).alias("attempt"))
+        open_rows = checked.filter("not good").select("kind", "value", "gender", F.lit(attempt + 1).alias("attempt"))
+        if attempt + 1 == attempts:
+            given_up = open_rows.filter(~is_name)
+        if attempt + 1 >= attempts:
+            open_rows = open_rows.filter(is_name)
         if open_rows.isEmpty():
-            return settled
-    full = open_rows.select("kind").distinct()
-    plain = entities.join(full, "kind").withColumn("attempt", F.lit(0)).mapInArrow(_drawn(key), schema)
-    return settled.join(full, "kind", "left_anti").unionByName(plain)
-
-
-def _replaced(key: bytes, text: str, names: list[str], columns: list[str], count: str | None):
+            break
+    left = open_rows if given_up is None else given_up.unionByName(open_rows)
+    if left.isEmpty():
+        return settled
+    classed = f"{_ENTITY}, form string"
+    full = materialise(left.mapInArrow(_classes, classed).select("kind", "form").distinct(), "full_formats")
+    every = materialise(entities.withColumn("attempt", F.lit(0)).mapInArrow(_classes, classed), "entity_formats")
+    plain = every.join(full, ["kind", "form"], "left_semi").drop("form")
+    others = settled.join(plain.select("kind", "value"), ["kind", "value"], "left_anti")
+    return others.unionByName(plain.mapInArrow(_drawn(key), schema))
+
+
+def _replaced(key: bytes, text: str, later: str, names: list[str], columns: list[str], count: str | None):
     def run(batches):
         for batch in batches:
             out, counts = [], []
-            known: dict[tuple[str, str, int], str] = {}
-            for old, later in zip(batch.column(text).to_pylist(), batch.column("__later").to_pylist()):
+            known: dict[tuple[str, str, str, int], str] = {}
+            for old, listed in zip(batch.column(text).to_pylist(), batch.column(later).to_pylist()):
                 parts, at, found = [], 0, find(old) if old else []
-                attempts = {(x["kind"], x["value"]): x["attempt"] for x in later or ()}
+                settled = {(x["kind"], x["value"]): (x["gender"], x["attempt"]) for x in listed or ()}
                 for a, b, kind, value in found:
-                    entity = (kind, value, attempts.get((kind, value), 0))
+                    who = identity(kind)[0]
+                    entity = (who, value, *settled.get((who, value), ("", 0)))
                     if entity not in known:
-                        known[entity] = surrogate(*entity[:2], key, entity[2])
+                        known[entity] = surrogate(_gendered(*entity[:3]), value, key, entity[3])
                     parts += [old[at:a], written(kind, old[a:b], known[entity])]
                     at = b
                 out.append(old if not found else "".join([*parts, old[at:]]))
@@ -407,27 +555,32 @@ def _replaced(key: bytes, text: str, names: list[str], columns: list[str], count
 
 
 def redact(df: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
-    """``df`` with the entities in ``text`` replaced by their surrogates; ``count`` names an added column with their number.
+    """``df`` with the entities in ``text`` replaced by their surrogates; ``count`` names an added column with their number,
+    which replaces a column of that name.
 
     All other columns stay as they are.  Null and empty texts stay null and empty, texts without
     entities stay unchanged.  The same entity has the same surrogate in all documents, and different
     entities of a type have different ones.  Null keys and repeated rows are treated like others;
     an empty table gives no rows.  Whole texts are read.
     """
+    if count and count.lower() in (c.lower() for c in df.columns):
+        df = df.drop(count)
     # By the text's hash, a list is bounded by its text's own entities, whatever the keys; texts of one hash share a list.
     doc = F.xxhash64(F.col(f"`{text}`"))
-    mentions = df.select(doc.alias("doc"), F.col(f"`{text}`").alias("text")).mapInArrow(_mentions, "doc long, kind string, value string")
+    mentions = df.select(doc.alias("doc"), F.col(f"`{text}`").alias("text")).mapInArrow(_mentions, "doc long, kind string, value string, gender string")
     mentions = materialise(mentions, "mentions")
-    entities = materialise(mentions.select("kind", "value").distinct(), "entities")
-    later = assign(entities, secret).filter("attempt > 0").select("kind", "value", "attempt")
-    later = mentions.join(later, ["kind", "value"]).distinct().groupBy("doc").agg(
-        F.to_json(F.collect_list(F.struct("kind", "value", "attempt"))).alias("__redrawn")
+    entities = materialise(settled_genders(mentions), "entities")
+    # What a document cannot tell from its own text: later draws, and genders that titles elsewhere tell.
+    told = assign(entities, secret).filter("attempt > 0 or gender <> ''").select("kind", "value", "gender", "attempt")
+    told = mentions.select("doc", "kind", "value").distinct().join(told, ["kind", "value"]).groupBy("doc").agg(
+        F.to_json(F.collect_list(F.struct("kind", "value", "gender", "attempt"))).alias("listed")
     )
-    later = materialise(later.select(F.col("doc").alias("__doc"), "__redrawn"), "redrawn")
     columns = df.columns
-    joined = df.select(*[F.col(f"`{c}`") for c in columns], doc.alias("__place")).join(small(later), F.col("__place") == F.col("__doc"), "left")
-    kind = "array<struct<kind: string, value: string, attempt: int>>"
-    joined = joined.select(*[F.col(f"`{c}`") for c in columns], F.from_json("__redrawn", kind).alias("__later"))
+    at, of, listed, later = unused(columns, "__at", "__of", "__listed", "__later")
+    told = materialise(told.select(F.col("doc").alias(of), F.col("listed").alias(listed)), "redrawn")
+    joined = df.select(*[F.col(f"`{c}`") for c in columns], doc.alias(at)).join(small(told), F.col(at) == F.col(of), "left")
+    kind = "array<struct<kind: string, value: string, gender: string, attempt: int>>"
+    joined = joined.select(*[F.col(f"`{c}`") for c in columns], F.from_json(listed, kind).alias(later))
     names = [*columns, *([count] if count else [])]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + (f", `{count}` long" if count else "")
-    return joined.mapInArrow(_replaced(secret, text, names, columns, count), schema)
+    return joined.mapInArrow(_replaced(secret, text, later, names, columns, count), schema)
