@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latelane.llm.common import pieces, prefix_sums, range_hashes, text_buffers
@@ -25,6 +25,8 @@ BINS, MEASURES = 12, 6
 WIDTH = (1 << HASH_BITS) + BINS * MEASURES
 #: Rated documents that the model is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
+#: Features of all of them together at most, four bytes each.
+SAMPLE_FEATURES = 16_000_000
 PIECE = 1 << 20
 
 _KIND = np.full(256, 2, np.uint8)  # 0 white space, 1 letter or digit or part of a longer character, 2 other sign
@@ -127,31 +129,47 @@ def _numbered(batches):
         data, offsets = text_buffers(batch.column("text"))
         for a, b in pieces(offsets, PIECE):
             numbers, bounds = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            own = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(numbers, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("grade").slice(a, b - a), own], names=["grade", "numbers"])
+            packed = [x.tobytes() for x in np.split(numbers.astype(np.int32), bounds[1:-1])]
+            kept = [batch.column(c).slice(a, b - a) for c in ("k", "grade")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(np.diff(bounds), pa.int64()), pa.array(packed, pa.binary())], names=["k", "grade", "n", "numbers"]
+            )
+
+
+def sampled(
+    docs: DataFrame, ratings: DataFrame, grade: Column, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, most: int = SAMPLE_FEATURES,
+) -> DataFrame:
+    """Grade and packed features of at most ``sample`` rated documents with at most ``most`` features together.
+
+    They are those with the smallest hashes of their keys.  Of rows that repeat a key one is taken, so what reaches the driver
+    is bounded in rows and in bytes (four a feature) whatever the table holds.
+    """
+    rated = ratings.select(F.col(f"`{key}`").alias("k"), grade.cast("int").alias("grade")).filter("grade is not null and k is not null")
+    chosen = rated.groupBy("k").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("k")).limit(sample)
+    chosen = materialise(chosen, "rated_sample")  # ``sample`` rows at most: small enough for every task
+    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "k")
+    kind = texts.schema["k"].dataType.simpleString()
+    numbered = texts.select("k", "grade", "text").mapInArrow(_numbered, f"k {kind}, grade int, n long, numbers binary")
+    one = numbered.groupBy("k").agg(F.min_by(F.struct("grade", "n", "numbers"), F.xxhash64("numbers")).alias("row")).select("k", "row.*")
+    one = materialise(one, "rated_features")
+    total = F.sum("n").over(Window.orderBy(F.xxhash64("k"), "k"))  # over ``sample`` rows at most
+    return one.join(F.broadcast(one.select("k", total.alias("total")).filter(F.col("total") <= most).select("k")), "k")
 
 
 def train(
     docs: DataFrame, ratings: DataFrame, grade: Column, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, **settings
 ) -> Model:
-    """Fit on at most ``sample`` rated documents, chosen by the hash of their keys whatever the table's order.
+    """Fit on the documents of :func:`sampled`, whatever the table's order.
 
     ``grade`` is an integer expression over ``ratings``; rows where it is null, and ratings without a document, teach nothing.
     """
-    rated = ratings.select(F.col(f"`{key}`").alias("__key"), grade.cast("int").alias("grade")).filter("grade is not null and __key is not null")
-    chosen = rated.groupBy("__key").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("__key")).limit(sample)
-    chosen = materialise(chosen, "rated_sample")  # ``sample`` rows at most: small enough for every task
-    texts = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "__key")
-    numbered = texts.select("grade", "text").mapInArrow(_numbered, "grade int, numbers array<int>")
     grades, lists = [], []
-    for row in numbered.toLocalIterator():
+    for row in sampled(docs, ratings, grade, key, text, sample).select("grade", "numbers").toLocalIterator():
         grades.append(row["grade"])
-        lists.append(np.array(row["numbers"], np.int32))
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    numbers = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+        lists.append(np.frombuffer(bytes(row["numbers"]), np.int32))
     # Rows arrive in any order; the sums of the fit must not depend on it.
     order = sorted(range(len(grades)), key=lambda i: (grades[i], lists[i].tobytes()))
-    numbers = np.concatenate([lists[i] for i in order]) if order else numbers
+    numbers = np.concatenate([lists[i] for i in order]) if order else np.zeros(0, np.int32)
     bounds = np.concatenate([[0], np.cumsum([len(lists[i]) for i in order])]).astype(np.int64)
     return fit(numbers, bounds, np.array([grades[i] for i in order], np.int64), **settings)
 
