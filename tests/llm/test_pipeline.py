@@ -61,11 +61,13 @@ def test_private(steps):
 def test_packed(steps):
     words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in steps[4].collect()}
     source = {r.doc_id: r.source for r in steps[4].collect()}
-    got, bins = {}, {}
-    for r in steps[5].collect():
+    got, bins, texts = {}, {}, {}
+    for r in sorted(steps[5].collect(), key=lambda r: r.piece):
+        texts[r.doc_id] = texts.get(r.doc_id, "") + (r.text or "")
         got[r.doc_id] = got.get(r.doc_id, 0) + r.n_words
         bins.setdefault(r.bin_id, []).append(r)
-    assert got == words
+    assert got == words and texts == {r.doc_id: r.text or "" for r in steps[4].collect()}
+    assert max(r.n_pieces for members in bins.values() for r in members) > 1
     for members in bins.values():
         assert sum(r.n_words for r in members) <= SEQUENCE_WORDS
         assert len({source[r.doc_id] for r in members}) == len(members)
@@ -97,3 +99,19 @@ def test_near_copies_go_by_row(spark):
     got = corpus_pipeline.near_dedup(spark, df.repartition(4), SF).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "2", "5", "7", "8", "None", "None"]
     assert {r.text for r in got if r.doc_id in (1, 2, 5)} == {rows[0][1], rows[2][1], rows[4][1]}
+
+
+def test_extra_columns_with_clashing_names(spark):
+    names = ["place", "at", "row_place", "group", "__sha256", "__place", "tail", "grade", "k", "n", "shard", "bin_id", "piece"]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "s", 1, *names), (2, text + " end", "en", "t", 1, *names), (3, text, "en", "t", 1, *names), (4, None, "en", "t", 1, *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF)
+        got = out.collect()
+        if name != "pack":
+            assert out.columns == df.columns and all([r[n] for n in names] == names for r in got)
+            if name != "quality":  # what a fitted model says of these is not the matter here
+                assert sorted(r.doc_id for r in got) == {"exact_dedup": [1, 2, 4], "near_dedup": [1, 4], "redact": [1, 2, 3, 4]}[name]
+        else:
+            assert sorted((r.doc_id, r.text) for r in got if r.text) == [(1, text), (2, text + " end"), (3, text)]
