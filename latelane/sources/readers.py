@@ -109,13 +109,20 @@ def best_iteration(log: DataFrame) -> DataFrame:
     ).withColumn("rounds_after_best", F.col("last_iteration") - F.col("best_iteration"))
 
 
-def read_training_frame(spark: SparkSession, path: str) -> DataFrame:
-    """The prepared training frame, narrowed to the columns the multi-task preparation uses."""
-    columns = [
-        "quantity", "weight_kg", "value_inr", "gst_rate", "risk_score", *S.REQUEST_TEXT,
-        "will_delay", "delay_days", "delay_reason",
-    ]
-    df = spark.read.parquet(path).select(*columns)
+#: What the multi-task preparation uses of the training frame.
+PREPARED_COLUMNS = (
+    "quantity", "weight_kg", "value_inr", "gst_rate", "risk_score", *S.REQUEST_TEXT, "will_delay", "delay_days", "delay_reason",
+)
+
+
+def prepared_frame(stored: DataFrame, name: str) -> DataFrame:
+    """A stored training frame narrowed to :data:`PREPARED_COLUMNS`; an error if it holds no rows."""
+    df = stored.select(*PREPARED_COLUMNS)
     if df.isEmpty():
-        raise SourceError(f"training frame at {path} holds no rows")
+        raise SourceError(f"training frame {name} holds no rows")
     return df
+
+
+def read_training_frame(spark: SparkSession, path: str) -> DataFrame:
+    """The prepared training frame at a path."""
+    return prepared_frame(spark.read.parquet(path), f"at {path}")
