@@ -40,6 +40,12 @@ def workspace(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """Learners that cut their lineage do it in the cluster's checkpoint folder, or in the workspace where none is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{workspace(spark)}/checkpoints")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the workspace."""
     return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"

@@ -1,21 +1,26 @@
 """Model bundles by property: better than the majority, repeatable, the same after loading."""
 
+import math
+
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from latelane.errors import ScoringError, TrainingError
-from latelane.models import training
+from latelane.models import boosting, training
 from latelane.models.bundles import Bundle
-from latelane.models.encoding import feature_columns, fit_encoder
-from latelane.plans import scoring
+from latelane.models.encoding import encode_folds, feature_columns, fit_encoder
+from latelane.operators import metrics, splits
 from latelane.plans.predict import Predictor
 from registry import standin
 from registry.models import _stored_frame
 from tests.conftest import SF
 
 TINY = training.Settings(
-    depth=3, trees=3, boosting_rounds=4, boosting_rate=0.5, logistic_rounds=10, days_rounds=4, days_rate=0.5,
-    reason_depth=4, reason_trees=2,
+    depth=3, trees=3, boosting_rounds=4, boosting_rate=0.5, logistic_rounds=10, days_rounds=5, days_rate=0.5, days_part=2,
+    reason_depth=4, reason_trees=2, reason_rounds=8, reason_rate=0.5, reason_patience=2, statistics_blocks=16,
 )
 
 
@@ -56,6 +61,121 @@ def test_own_target_never_enters_its_feature(spark):
     assert {round(r["features"][0], 9) for r in encoded.collect()} == {0.5}
 
 
+def test_ordered_statistics_come_from_earlier_rows(spark):
+    """A level's first block knows nothing of it, a later one the blocks before; new rows get the whole mean."""
+    train = spark.range(600).select(F.col("id").cast("string").alias("k"), (F.col("id") % 3).cast("string").alias("c"), (F.col("id") % 3 == 1).cast("int").alias("y"))
+    encoder, encoded = fit_encoder(train, "k", [], ["c"], "y", wide=("c",), smoothing=1.0, ordered=8)
+    got = encoded.select("c", splits.key_bucket(F.col("k"), training.S.SPLIT_SEED + 2).alias("b"), vector_to_array("features")[0].alias("f")).collect()
+    block = lambda r: r["b"] * 8 >> 32
+    for r in got:
+        before = sum(1 for x in got if x["c"] == r["c"] and block(x) < block(r))
+        want = ((before if r["c"] == "1" else 0) + 1 / 3) / (before + 1)
+        assert r["f"] == pytest.approx(want)
+    assert encoder.transform(train.filter("c = '1'").limit(1)).first()["features"][0] == pytest.approx((200 + 1 / 3) / 201)
+
+
+def test_folds_are_encoded_once_as_if_apart(spark):
+    """Every fold's features and weights equal those computed from its own training rows alone."""
+    rows = spark.range(300).select(
+        F.col("id"), (F.col("id") * 7 % 5).cast("int").alias("fold"), F.concat(F.lit("L"), (F.col("id") * 13 % 11)).alias("c"),
+        (F.col("id") * 3 % 7).cast("double").alias("x"), F.when(F.col("id") % 17 < 10, 0.0).when(F.col("id") % 17 < 15, 1.0).otherwise(2.0).alias("label"))
+    table = encode_folds(rows, ["x"], ["c"], 3, 5, wide=("c",), smoothing=2.0)
+    everything = rows.collect()
+    share = lambda some, k: sum(r["label"] == k for r in some)
+    for k in range(5):
+        train = [r for r in everything if r["fold"] != k]
+        prior = [share(train, i) / len(train) for i in range(3)]
+        most = max(share(train, i) for i in range(3))
+        want = {}
+        for r in everything:
+            known = [x for x in train if x["c"] == r["c"] and (r["fold"] == k or x["fold"] != r["fold"])]
+            means = [(share(known, i) + 2 * prior[i]) / (len(known) + 2) for i in range(3)]
+            values = [r["x"], *means, most / share(train, int(r["label"]))]
+            want.setdefault(r["fold"] == k, []).append([round(v, 9) for v in (r["label"], *values)])
+        for held, df in ((True, table.held_out(k)), (False, table.training(k))):
+            got = [[round(v, 9) for v in (r["label"], *r["features"].toArray(), r["weight"])] for r in df.collect()]
+            assert sorted(got) == sorted(want[held])
+
+
+def _boosted(spark, classes=3, rounds=6):
+    data = spark.range(400).select((F.col("id") * 37 % 101).alias("a"), (F.col("id") * 17 % 23).alias("b"), (F.col("id") * 37 % 101 % classes).cast("double").alias("label"))
+    encoder, encoded = fit_encoder(data.withColumn("k", F.col("a")), "k", ["a", "b"], [], "label", wide=())
+    encoded = encoded.select("label", "features").cache()
+    models = [GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.3, seed=1).fit(
+        encoded.select("features", (F.col("label") == k).cast("double").alias("label"))) for k in range(classes)]
+    return encoded, models
+
+
+def test_every_round_is_logged_as_a_model_of_so_many_rounds_would_score(spark):
+    encoded, models = _boosted(spark)
+    log = {r["iteration"]: r for r in boosting.staged(encoded, "label", models).collect()}
+    assert sorted(log) == [1, 2, 3, 4, 5, 6]
+    for n in (1, 4, 6):
+        shorter = [GBTClassifier(maxIter=n, maxDepth=3, stepSize=0.3, seed=1).fit(
+            encoded.select("features", (F.col("label") == k).cast("double").alias("label"))) for k in range(3)]
+        df = encoded
+        for k, m in enumerate(shorter):
+            df = m.copy().setRawPredictionCol(f"raw{k}").setProbabilityCol("").setPredictionCol("").transform(df)
+        rows = df.select("label", *[vector_to_array(f"raw{k}")[1].alias(f"m{k}") for k in range(3)]).collect()
+        said = spark.createDataFrame([(r["label"], float(max(range(3), key=lambda k: r[f"m{k}"]))) for r in rows], "label double, said double")
+        assert log[n]["macro_f1"] == pytest.approx(metrics.macro_f1(said, "label", "said").first()[0])
+        p = [[1 / (1 + math.exp(-2 * r[f"m{k}"])) for k in range(3)] for r in rows]
+        loss = -sum(math.log(x[int(r["label"])] / sum(x)) for x, r in zip(p, rows)) / len(rows)
+        assert log[n]["loss"] == pytest.approx(loss)
+
+
+def test_log_of_one_model_is_that_of_two_classes(spark):
+    encoded, models = _boosted(spark, 2)
+    log = boosting.staged(encoded, "label", models[1:]).orderBy("iteration").collect()
+    assert len(log) == 6 and log[-1]["loss"] < log[0]["loss"]
+    assert boosting.staged(encoded.limit(0), "label", models[1:]).count() == 0
+
+
+def test_stopping_rule():
+    assert boosting.stop_at([0.1, 0.5, 0.4, 0.5, 0.3, 0.9], 3) == (2, 5)
+    assert boosting.stop_at([0.1, 0.5, 0.4, 0.6], 3) == (4, 4) and boosting.stop_at([0.2], 1) == (1, 1)
+
+
+def test_boosting_goes_on_until_it_has_stopped(spark):
+    """The fit is repeated with more rounds while its end still helps, and the log ends where patience did."""
+    encoded, _ = _boosted(spark)
+    sizes = []
+
+    def fit(rounds):
+        sizes.append(rounds)
+        return [GBTClassifier(maxIter=rounds, maxDepth=2, stepSize=0.1, seed=1).fit(
+            encoded.select("features", (F.col("label") == k).cast("double").alias("label"))) for k in range(3)]
+
+    log, kept = boosting.boost_until(fit, encoded, "label", 12, 2)
+    scores = [r["macro_f1"] for r in log.orderBy("iteration").collect()]
+    assert sizes == sorted(set(sizes)) and scores[kept - 1] == max(scores) and max(scores[: kept - 1], default=-1) < max(scores)
+    assert len(scores) == kept + 2 or len(scores) == 12 == sizes[-1]
+
+
+def test_an_interrupted_ensemble_goes_on_to_the_same_model(spark, tmp_path, monkeypatch):
+    data = spark.range(300).select((F.col("id") % 17).alias("a"), (F.col("id") % 7).alias("b"), ((F.col("id") % 17) * (F.col("id") % 7)).cast("double").alias("y"))
+    _, encoded = fit_encoder(data.withColumn("k", F.col("a")), "k", ["a", "b"], [], "y", wide=())
+    learner = lambda rounds: GBTRegressor(featuresCol="features", maxIter=rounds, maxDepth=3, stepSize=0.2, subsamplingRate=0.8, seed=3)
+    whole, _ = boosting.boost_in_parts(encoded, "y", learner, 7, 3, str(tmp_path / "whole"))
+    assert [m.getNumTrees for m in whole] == [3, 3, 1]
+    fits = []
+
+    def failing(rounds):
+        fits.append(rounds)
+        if len(fits) == 2:
+            raise RuntimeError("executor lost")
+        return learner(rounds)
+
+    with pytest.raises(RuntimeError):
+        boosting.boost_in_parts(encoded, "y", failing, 7, 3, str(tmp_path / "broken"))
+    again, _ = boosting.boost_in_parts(encoded, "y", failing, 7, 3, str(tmp_path / "broken"))
+    assert fits == [3, 3, 3, 1]  # the first part was not fitted again
+    pick = lambda models: [r["p"] for r in boosting.added(encoded, models, "p").collect()]
+    assert pick(whole) == pick(again)
+    errors = [abs(r["p"] - r["y"]) for r in boosting.added(encoded, whole, "p").collect()]
+    assert sum(errors) / len(errors) < 6  # the values spread over 0 to 96
+
+
 def test_label_shares_and_too_many_levels(spark, monkeypatch):
     train = spark.range(300).select(
         F.col("id").cast("string").alias("k"), (F.col("id") % 3).cast("string").alias("c"), (F.col("id") % 3).cast("double").alias("y"))
@@ -83,18 +203,29 @@ def test_binary_beats_majority_and_repeats(frame, binary):
     majority = max(r["share"] for r in frame.groupBy("will_delay").agg((F.count("*") / frame.count()).alias("share")).collect())
     assert got["vote"][0] > majority + 0.1 and got["vote"][1] > 0.8
     again = training.train_binary(frame, "row_key", TINY)[0]
-    assert again.scores == pytest.approx(bundle.scores, abs=1e-6)
+    figures = lambda b: {k: v for k, v in b.scores.items() if k != "seconds_a_round"}
+    assert figures(again) == pytest.approx(figures(bundle), abs=1e-6) and bundle.scores["seconds_a_round"] > 0
+    assert bundle.log.count() == TINY.boosting_rounds
 
 
 def test_whole_prediction_survives_saving(spark, frame, binary, tmp_path):
     look = standin.lookups(spark, SF)
     days, errors = training.train_days(frame, "row_key", TINY)
     reasons, report = training.train_reasons(frame, "row_key", 2, TINY)
-    assert errors.first()["r2"] > 0.3 and reasons.scores["macro_f1"] > 0.3
+    assert errors.first()["r2"] > 0.3 and reasons.scores["macro_f1"] > 0.3 and len(days.models) == 3
     assert {r["label"] for r in report.collect()} <= set(reasons.classes) and reasons.classes == sorted(reasons.classes)
+    found = {r["kind"]: r for r in reasons.candidates.collect()}
+    assert set(found) == {"forest", "boosted"} and reasons.scores["macro_f1"] == max(r["macro_f1"] for r in found.values())
+    for r in found.values():  # every candidate can be opened again
+        assert Bundle.load(spark, r["path"]).scores["macro_f1"] == r["macro_f1"]
+    best = max(reasons.log.collect(), key=lambda r: (r["macro_f1"], -r["iteration"]))
+    assert best["iteration"] == found["boosted"]["rounds"]
+    sizes = {m.getNumTrees for m in reasons.models.values()}
+    assert sizes in ({TINY.reason_trees}, {found["boosted"]["rounds"]})
     whole = Predictor(binary[0], days, reasons, look)
     whole.save(spark, str(tmp_path / "bundles"))
     loaded = Predictor.load(spark, str(tmp_path / "bundles"), look)
+    assert loaded.reasons.log.count() == reasons.log.count() and loaded.reasons.candidates.count() == 2
     pick = lambda p: p.predict(frame).select("row_key", F.round("delay_probability", 9), "delay_reason", "estimated_delay_days").orderBy("row_key").toPandas()
     a, b = pick(whole), pick(loaded)
     assert len(a) == frame.count() and a.equals(b)
@@ -109,3 +240,20 @@ def test_whole_prediction_survives_saving(spark, frame, binary, tmp_path):
 def test_folds_are_scored_on_rows_not_trained_on(frame):
     scores = training.cross_validate_reasons(frame, "row_key", 2, TINY)
     assert scores.count() == 2 and scores.agg(F.min("macro_f1")).first()[0] > 0.2
+
+
+def test_the_better_candidate_is_kept(frame):
+    """A forest of one stump loses against boosting, boosting of one stump against a forest."""
+    weak = training.Settings(**{**TINY.__dict__, "reason_trees": 1, "reason_depth": 1, "reason_rounds": 6})
+    for settings, kind in ((weak, "boosted"), (training.Settings(**{**TINY.__dict__, "reason_rounds": 1, "reason_rate": 0.001}), None)):
+        bundle, _ = training.train_reasons(frame, "row_key", 1, settings)
+        found = bundle.candidates.orderBy(F.desc("macro_f1"), "candidate").collect()
+        assert next(iter(bundle.models)).split("_")[0] == found[0]["kind"] and kind in (None, found[0]["kind"])
+
+
+def test_seeds_vote_with_shares(frame):
+    bundle, _ = training.train_reasons(frame, "row_key", 2, TINY, kinds=("boosted",))
+    assert len(bundle.models) == 2 * len(bundle.classes)
+    late = training.prepare_reasons(frame, "row_key")[0].limit(50)
+    for r in training.predict_reason(bundle, late).collect():
+        assert len(r["reason_p"]) == len(bundle.classes) and sum(r["reason_p"]) == pytest.approx(1)
