@@ -375,17 +375,20 @@ def oracle_sql() -> dict[str, str]:
         SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY md5(concat(row_key, '|42')))
           <= floor(count(*) OVER (PARTITION BY {0}) * 0.2::DOUBLE + 0.5::DOUBLE) AS is_test FROM {1}) GROUP BY ALL""".format
     q["ml_binary"] = sql(SHIPS, sides("lateness_flag", "lines", "".join(
-        f", true AS {c}" for c in ("four_members", "beats_majority", "ranks_well", "scores_are_kept"))))
+        f", true AS {c}" for c in ("four_members", "whole_size", "half_the_error", "scores_are_kept", "logged_rounds"))))
     q["ml_days"] = sql(SHIPS, f"""
       SELECT 'late' AS label, CAST(concat('0x', substr(md5(concat(row_key, '|42')), 1, 8)) AS BIGINT) < {int(0.2 * 2**32)} AS is_test,
-        count(*) AS rows, true AS beats_the_mean, true AS scores_are_kept FROM lines WHERE delay_days > 0 GROUP BY ALL""")
+        count(*) AS rows, true AS whole_size, true AS explains_most, true AS scores_are_kept FROM lines WHERE delay_days > 0 GROUP BY ALL""")
     named = "named AS (SELECT row_key, coalesce(delay_reason, 'Unknown') AS reason FROM lines WHERE lateness_flag = 1)"
-    parts = "parts AS (" + sides("reason", "named", ", true AS forests, true AS classes_in_order, true AS beats_majority") + ")"
-    q["ml_reason"] = sql(SHIPS, named, parts, """
-      SELECT *, (SELECT max(rows) FROM parts t WHERE t.label = parts.label AND t.is_test) AS support FROM parts""")
-    q["ml_seed_ensemble"] = q["ml_reason"]
+    supported = "SELECT *, (SELECT max(rows) FROM parts t WHERE t.label = parts.label AND t.is_test) AS support FROM parts"
+    for name, holds in (("ml_reason", ("boosted_at_least_forest", "best_is_kept", "stopped_early")), ("ml_seed_ensemble", ())):
+        true = "".join(f", true AS {c}" for c in ("classes_in_order", "far_above_majority", "whole_size", *holds))
+        q[name] = sql(SHIPS, named, f"parts AS ({sides('reason', 'named', true)})", supported)
+    q["training_log"] = """
+      SELECT 'reasons' AS model, true AS best_is_kept, 10::BIGINT AS rounds_after_best, true AS every_round, true AS has_loss
+      FROM lineitem LIMIT 1"""
     q["ml_cv"] = sql(SHIPS, named, _FOLDS.format(label="reason", source="named"), """
-      SELECT fold, count(*) AS rows, true AS beats_majority, true AS passed FROM folded GROUP BY fold""")
+      SELECT fold, count(*) AS rows, true AS far_above_majority, true AS passed FROM folded GROUP BY fold""")
     q["ml_score"] = sql(SHIPS, "SELECT row_key, " + ", ".join(
         f"true AS {c}" for c in ("decision_follows", "gated", "enriched", "shares_sum", "loaded_equals_saved")) + " FROM lines")
     q["prompts"] = sql(*answered, f"SELECT row_key, {_PROMPT} AS prompt FROM answered")
@@ -446,10 +449,18 @@ def oracle_sql() -> dict[str, str]:
       SELECT shipment_id, origin_city AS origin, destination_city AS destination, {r6('lines.distance_km AS distance_km',
         'delay_probability_sim', 'reliability AS vendor_reliability_sim')}, CAST(lateness_flag AS BIGINT) AS lateness_flag
       FROM lines ORDER BY lines.distance_km, shipment_id LIMIT 3""")
-    q["training_log"] = f"""
-      WITH log AS (SELECT year(l_shipdate) * 12 + month(l_shipdate) AS i, round(avg(l_quantity) / 50, 6) AS f FROM lineitem GROUP BY 1)
-      SELECT i AS best_iteration, {r6('f AS best_macro_f1')}, last_iteration, last_iteration - i AS rounds_after_best
-      FROM (SELECT *, max(i) OVER () AS last_iteration FROM log) ORDER BY f DESC, i LIMIT 1"""
+    q["colocated_frame"] = q["training_frame"]
+    q["prepared_frame"] = sql(SHIPS, f"""
+      SELECT quantity, {r6('weight_kg', 'value_inr', 'gst_rate', 'risk_score')}, origin_city, destination_city, origin_state,
+        destination_state, product_category, supplier_name, carrier_name, truck_type, month, CAST(lateness_flag AS BIGINT) AS will_delay,
+        {r6('delay_days')}, delay_reason FROM lines""")
+    q["store_versions"] = sql(SHIPS, VENDORS, """
+      SELECT vendor_id, shipments, 3::BIGINT AS versions_left, 5::BIGINT AS oldest, 1::BIGINT AS log_files
+      FROM vendors WHERE CAST(vendor_id AS BIGINT) % 7 <= 4""")
+    q["stream_lookup_versions"] = sql(*_HIST, f"""
+      SELECT row_key, CASE WHEN l_linenumber = 1 THEN 1 ELSE 2 END::BIGINT AS lookup_version,
+        CASE WHEN vendor_found AND (l_linenumber = 1 OR l_suppkey % 2 = 0) THEN {_TIER} ELSE 'UNKNOWN' END AS vendor_tier
+      FROM history WHERE (l_orderkey * 7 + l_linenumber) % 48 > 20""")
     q["clean_numeric"] = sql(SHIPS, f"""
       SELECT row_key, {r6('least(delay_days, 12) AS days_clipped', 'ln(1 + value_inr) AS log_value_inr',
         'ln(1 + weight_kg) AS log_weight_kg', 'ln(1 + quantity) AS log_quantity',

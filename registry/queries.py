@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latelane import schemas as S
+from latelane.errors import StoreError
 from latelane.functions import enrichment as E
 from latelane.functions import numbers as N
 from latelane.functions import texts
@@ -16,7 +19,7 @@ from latelane.operators.joins import lookup_join
 from latelane.operators.ranks import percentiles
 from latelane.plans import reports, scoring, service
 from latelane.session import materialise, new_path
-from latelane.sources import readers, requests, store, writers
+from latelane.sources import folders, readers, requests, store, writers
 from registry import standin
 
 
@@ -47,6 +50,25 @@ def training_frame(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(features.training_frame(standin.shipments(spark, sf), vendors, standin.route_rows(spark, sf)))
 
 
+def colocated_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """The training frame from shipments and routes stored in the same buckets; an error if the plan shuffles either of them."""
+    kept, tag = store.FeatureStore(spark, new_path(spark, "store")), uuid.uuid4().hex
+    ships = kept.save_bucketed(standin.shipments(spark, sf), f"shipments_{tag}", "shipment_id", 16)
+    routes = kept.save_bucketed(standin.route_rows(spark, sf), f"routes_{tag}", "shipment_id", 16)
+    vendors = materialise(standin.known_vendors(spark, sf), "vendors")
+    frame = features.training_frame(ships, vendors, routes.hint("merge"))
+    if "Exchange hashpartitioning" in frame._jdf.queryExecution().executedPlan().toString():
+        raise StoreError("the stored buckets are not used")
+    return tidy(frame)
+
+
+def prepared_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """The training frame as a table of the store, read back with the columns of the multi-task preparation."""
+    kept = store.FeatureStore(spark, new_path(spark, "store"))
+    kept.save(_frame(spark, sf).select(*readers.PREPARED_COLUMNS), "training_frame")
+    return tidy(readers.prepared_frame(kept.table("training_frame"), "training_frame"))
+
+
 def _frame(spark: SparkSession, sf: str) -> DataFrame:
     """One training row per shipment row: route columns come with the shipment itself."""
     ships = standin.shipments(spark, sf)
@@ -451,6 +473,19 @@ def registered_tables(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(spark.sql("SELECT vendor_id, shipments, on_time_rate FROM vendor_stats WHERE on_time_rate >= 0.5"))
 
 
+def store_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Vendors saved seven times, each time with more of them; an older version, and what the store still holds."""
+    kept = store.FeatureStore(spark, new_path(spark, "store"), kept=3)
+    vendors = materialise(standin.known_vendors(spark, sf), "vendors")
+    for i in range(7):
+        kept.save(vendors.filter(F.col("vendor_id").cast("int") % 7 <= i), "vendor_stats")
+    log = kept.versions("vendor_stats")
+    return tidy(kept.table("vendor_stats", version=5).select(
+        "vendor_id", "shipments", log.agg(F.count(F.lit(1))).scalar().alias("versions_left"), log.agg(F.min("version")).scalar().alias("oldest"),
+        F.lit(len(folders.names(spark, f"{kept.path('vendor_stats')}/log"))).alias("log_files"),
+    ))
+
+
 def malformed_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Cells that do not fit: a word as a quantity, a thirteenth month."""
     path = new_path(spark, "bad_csv")
@@ -471,17 +506,6 @@ def table_preview(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(store.preview(standin.routes(spark, sf).select(*S.ROUTE_STATS.fieldNames()), ["distance_km", "shipment_id"]))
 
 
-def training_log(spark: SparkSession, sf: str) -> DataFrame:
-    """A log with one entry per ship month, written as tab-separated text and read back."""
-    path = new_path(spark, "training_log")
-    lines = standin.table(spark, sf, "lineitem")
-    log = lines.groupBy(
-        (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("iteration")
-    ).agg(F.round(F.avg("l_quantity") / 50, 6).alias("macro_f1"), F.round(F.avg("l_tax"), 6).alias("loss"))
-    writers.write_training_log(log, path)
-    return tidy(readers.best_iteration(readers.read_training_log(spark, path)))
-
-
 # --- Preparation and splits -----------------------------------------------------------
 
 
@@ -703,7 +727,7 @@ QUERIES = [
     score_response, prompts, explain_batch, explain_with_client, top3_reasons, risk_bands, waterfall,
     enrichment_impact, route_labels, validate_requests, request_answers, rejected_requests, request_choices, request_defaults,
     json_requests, csv_store, csv_store_counts, store_lookups, registered_tables, malformed_cells,
-    table_profile, table_preview, training_log, clean_numeric, finite_guard, some_columns, scaled_features, label_index,
+    store_versions, colocated_frame, prepared_frame, table_profile, table_preview, clean_numeric, finite_guard, some_columns, scaled_features, label_index,
     multitask_features, stratified_split, folds, hash_split, hash_split_missing_keys, soft_vote, logits, binary_metrics,
     member_metrics, regression_metrics, confusion_counts, class_report, report_averages, cv_summary, best_fold, task_losses,
     latency_percentiles, metrics_report,
