@@ -58,6 +58,12 @@ _OTHER_NAMES = frozenset(
     "complementary footer contentinfo masthead comment comments disqus replies respond share sharing social related "
     "recommended subscribe newsletter signup login search widget pagination pager toolbar hidden".split()
 )
+# Words that say nothing of the content beside one of those names: ``share-bar`` is no article, ``search-algorithms`` may be.
+_PLAIN_NAMES = frozenset(
+    "area bar block blocks body bottom box button buttons center column container content footer form group head header icons "
+    "inner item items left link links list main nav outer page panel post posts right row section site slot text top unit wrap "
+    "wrapper articles stories topics".split()
+)
 _MAIN_NAMES = frozenset("article articlebody post entry story content".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -81,6 +87,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
     Text is decoded, its white space is single blanks.  Inline elements and line breaks do not end a block.
     """
     stack: list[str] = []
+    deeper: list[str] = []  # names of open elements below ``DEPTH``
     raw: list[str] = []
     linked = in_link = 0
 
@@ -108,10 +115,15 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
             in_link = 0 if closing else 1
         elif name in _INLINE or name in _VOID:
             continue
+        elif closing and name in deeper:
+            yield from flush()
+            del deeper[len(deeper) - 1 - deeper[::-1].index(name) :]
+            in_link = 0
         elif closing:
             yield from flush()
             open_names = [x.split(".", 1)[0] for x in stack]
             if name in open_names:
+                deeper.clear()
                 last = len(stack) - 1 - open_names[::-1].index(name)
                 for _ in range(len(stack) - last):
                     yield tuple(stack), "", 0
@@ -120,6 +132,9 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
         else:
             yield from flush()
             in_link = 0
+            if deeper:
+                deeper.append(name)
+                continue
             if stack and stack[-1].split(".", 1)[0] in _CLOSE_P:
                 yield tuple(stack), "", 0
                 stack.pop()
@@ -129,6 +144,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
                 stack.pop()
             if len(stack) < DEPTH:
                 stack.append(_label(name, attributes or ""))
+            else:
+                deeper.append(name)
     if at < len(page):
         rest = page[at:]
         cut = re.search(r"<[a-zA-Z!/][^>]*\Z", rest)  # a tag that the end of the page cuts off
@@ -238,8 +255,10 @@ def _other(label: str) -> bool:
     name, *names = label.split(".")
     if name in _OTHER_ELEMENTS:
         return True
-    words = {w for x in names for w in re.split(r"[-_]+", x)}
-    return name not in _HEADINGS and bool(words & _OTHER_NAMES)
+    if name in _HEADINGS:
+        return False
+    split = [{w for w in re.split(r"[-_]+", x) if w} for x in names]
+    return any(words & _OTHER_NAMES and words <= _OTHER_NAMES | _PLAIN_NAMES for words in split)
 
 
 def _main_at(path: tuple[str, ...], kind: str) -> int:
@@ -255,7 +274,7 @@ def _main_at(path: tuple[str, ...], kind: str) -> int:
 
 
 def article_slots(paths: list[tuple[str, ...]], figures: dict[tuple[str, ...], tuple[int, int, int, bool]]) -> list[tuple[str, ...]]:
-    """The slots of the article among a wrapper's: ``figures`` has (pages, characters, linked characters, constant) of each.
+    """The slots of the article among a page's: ``figures`` has (pages, characters, linked characters, constant) of each.
 
     An ``article`` element, else ``main``, else a container named so, holds it; without any, the
     deepest container with most of the text that varies from page to page and is not links.
@@ -266,13 +285,15 @@ def article_slots(paths: list[tuple[str, ...]], figures: dict[tuple[str, ...], t
         found = [p for p in open_paths if (at := _main_at(p, kind)) >= 0 and not any(x.split(".", 1)[0] == "header" for x in p[:at])]
         if found:
             return found
-    weight = {}
-    for p in open_paths:
-        if any(x.split(".", 1)[0] == "header" or "header" in x.split(".")[1:] for x in p):
-            continue
-        pages, characters, linked, constant = figures.get(p, (0, 0, 0, False))
-        if not (constant and pages >= 8) and 2 * linked < max(1, characters):
-            weight[p] = characters - linked
+    below_header = [p for p in open_paths if not any(x.split(".", 1)[0] == "header" or "header" in x.split(".")[1:] for x in p)]
+    weight: dict[tuple[str, ...], int] = {}
+    for strict in (True, False):  # where everything is constant or linked, that is no sign
+        for p in below_header:
+            pages, characters, linked, constant = figures.get(p, (0, 0, 0, False))
+            if not strict or not (constant and pages >= 8) and 2 * linked < max(1, characters):
+                weight[p] = max(1, characters - linked)
+        if weight:
+            break
     base: tuple[str, ...] = ()
     while True:
         total = sum(w for p, w in weight.items() if p[: len(base)] == base)
@@ -320,6 +341,9 @@ def _shapes(batches):
         ], names=["host", "wrapper", "slots"])
 
 
+_FIGURES = "array<struct<path: string, pages: long, characters: long, linked: long, constant: boolean>>"
+
+
 def _aligned(key: tuple, table: pa.Table) -> pa.Table:
     # Most pages first, so that the common shape leads and rare ones add options.
     rows = sorted(zip(table["pages"].to_pylist(), table["wrapper"].to_pylist()), key=lambda r: (-r[0], r[1]))
@@ -329,21 +353,26 @@ def _aligned(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"host": [key[0].as_py()], "wrapper": [dump(wrapper)], "pages": pa.array([sum(r[0] for r in rows)], pa.int64())})
 
 
+def _by_path(figures) -> dict[tuple[str, ...], tuple[int, int, int, bool]]:
+    return {tuple(f["path"].split("/")) if f["path"] else (): (f["pages"], f["characters"], f["linked"], f["constant"]) for f in figures or ()}
+
+
 def _chosen(batches):
     for batch in batches:
         found, texts = [], []
         for text, figures in zip(batch.column("wrapper").to_pylist(), batch.column("figures").to_pylist()):
             wrapper = load(text)
-            by = {tuple(f["path"].split("/")) if f["path"] else (): (f["pages"], f["characters"], f["linked"], f["constant"]) for f in figures or ()}
-            found.append(["/".join(p) for p in article_slots(slots(wrapper), by)])
+            found.append(["/".join(p) for p in article_slots(slots(wrapper), _by_path(figures))])
             texts.append(expression(wrapper))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("host"), pa.array(texts), pa.array(found, pa.list_(pa.string()))], names=["host", "wrapper", "article"]
+            [batch.column("host"), pa.array(texts), pa.array(found, pa.list_(pa.string())), batch.column("figures")],
+            names=["host", "wrapper", "article", "figures"],
         )
 
 
 def infer(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """One wrapper per host over all its pages: ``host``, ``wrapper`` (notation), ``article`` (paths of its slots)."""
+    """One wrapper per host over all its pages: ``host``, ``wrapper`` (notation), ``article`` (paths of its slots), ``figures`` (of each
+    slot: path, pages, characters, linked characters, whether all pages have one text there)."""
     shapes = pages.select(F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html")).mapInArrow(_shapes, _SHAPES)
     shapes = materialise(shapes, "page_shapes")
     wrappers = materialise(shapes.groupBy("host", "wrapper").agg(F.count(F.lit(1)).alias("pages")), "wrappers")
@@ -363,16 +392,28 @@ def infer(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     )
     per_host = figures.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "characters", "linked", "constant")).alias("figures"))
     return wrappers.select("host", "wrapper").join(per_host, "host", "left").mapInArrow(
-        _chosen, "host string, wrapper string, article array<string>"
+        _chosen, f"host string, wrapper string, article array<string>, figures {_FIGURES}"
     )
 
 
 def _filled(batches):
+    known: dict[str, dict] = {}
     for batch in batches:
         texts = []
-        for page, article in zip(batch.column("html").to_pylist(), batch.column("article").to_pylist()):
-            paths = {tuple(p.split("/")) if p else () for p in article or ()}
-            texts.append("\n".join(text for path, text, _ in blocks(page or "") if text and path in paths))
+        for page, rule in zip(batch.column("html").to_pylist(), batch.column("rule").to_pylist()):
+            parts = [(path, text, linked) for path, text, linked in blocks(page or "") if text]
+            figures = {}
+            for path, text, linked in parts:
+                _, characters, links, _ = figures.get(path, (1, 0, 0, False))
+                figures[path] = 1, characters + len(text), links + linked, False
+            if rule:  # a page without a host, or the only one of its kind, is judged by its own figures
+                if rule not in known:
+                    if len(known) > 256:
+                        known.clear()
+                    known[rule] = _by_path(json.loads(rule))
+                figures |= {path: known[rule][path] for path in figures if path in known[rule]}
+            article = set(article_slots(list(figures), figures))
+            texts.append("\n".join(text for path, text, _ in parts if path in article))
         yield pa.RecordBatch.from_arrays(
             [batch.column("k"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["k", "url", "text", "n_chars"],
@@ -385,16 +426,15 @@ _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """The article of every page: ``key``, ``url``, ``text`` (blocks joined by line feeds), ``n_chars`` (code points).
 
-    A null or empty page has an empty text.  Pages without a host in their url, null urls among them, share
-    one wrapper.  A host with one page has that page's shape as its wrapper.  Repeated rows and null
+    A null or empty page has an empty text.  Pages without a host in their url, null urls among them, have nothing in common
+    and are judged each by itself; so is a host's only page.  Repeated rows and null
     keys are pages like others; an empty table gives no rows; other columns are not read.  Unclosed,
     cut-off and very deep markup is read as far as it goes and loses no text of the article.
     """
-    rows = pages.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html"))
-    rules = materialise(infer(rows).select("host", F.to_json("article").alias("rule")), "article_slots")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1))
-    joined = rows.withColumn("host", host).join(small(rules), "host", "left")
-    filled = joined.select("k", "url", "html", F.from_json("rule", "array<string>").alias("article")).mapInArrow(
-        _filled, "k long, url string, text string, n_chars long"
-    )
+    rows = pages.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html"))
+    rows = rows.withColumn("host", host)
+    rules = infer(rows.filter(F.col("host") != "")).select("host", F.to_json("figures").alias("rule"))
+    joined = rows.join(small(materialise(rules, "slot_figures")), "host", "left")
+    filled = joined.select("k", "url", "html", "rule").mapInArrow(_filled, "k long, url string, text string, n_chars long")
     return filled.withColumnRenamed("k", key)

@@ -52,12 +52,42 @@ def test_articles(spark):
     got = {r.page_id: r for r in W.extract(site(spark, rows)).collect()}
     assert len(got) == len(rows)
     assert got[1].text == "T\none\ntwo" and got[1].n_chars == 9 and got[1].url == "http://a.org/1"
-    assert got[2].text == "" and got[3].text == "only" and got[4].text == "" and got[5].text == ""
+    assert got[2].text == "no article here" and got[3].text == "only" and got[4].text == "" and got[5].text == ""
     assert got[None].text == "éA" and got[6].text == "T\none\ntwo"
     assert got[105].text.startswith("5 story of page 5") and got[105].text.endswith("\nsecond 5")
     assert W.extract(site(spark, [])).count() == 0
 
 
+def test_mixed_templates_and_pages_without_a_host(spark):
+    """Each page's article is where its own template has it; truths written by hand."""
+    frame = "<body><nav><a href=/>home</a></nav>{}<footer>f</footer></body>"
+    pages = ["<article><p>first</p></article>", "<main><h1>M</h1><p>second</p></main>", "<div id=content><p>third</p></div>",
+             "<div><p>fourth of plain blocks</p><p>more of it</p></div>"]
+    want = ["first", "M\nsecond", "third", "fourth of plain blocks\nmore of it"]
+    rows = [(i, f"http://mixed.org/{i}", frame.format(p)) for i, p in enumerate(pages)]
+    rows += [(10 + i, None if i % 2 else "no host", frame.format(p)) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in W.extract(site(spark, rows)).collect()}
+    assert [got[i] for i in range(4)] == want == [got[10 + i] for i in range(4)]
+
+
+def test_names_inside_the_article(spark):
+    page = ("<article><h1>T</h1><div class=related-work><p>Earlier papers.</p></div><div class=search-algorithms><p>A star.</p></div>"
+            "<div class=related-posts><p>More</p></div><div class='ad-slot top'>Buy</div><div class=share-bar>Share</div><p>end</p></article>")
+    got = W.extract(site(spark, [(1, "http://a.org", page)])).first()
+    assert got.text == "T\nEarlier papers.\nA star.\nend"
+
+
+def test_deep_markup_inside_the_article(spark):
+    deep = "<body><article><div>" + "<div>" * 150 + "<p>deep</p>" + "</div>" * 150 + "<p>after</p></div><p>last</p></article><footer>f</footer>"
+    got = W.extract(site(spark, [(1, "http://a.org", deep)])).first()
+    assert got.text == "deep\nafter\nlast"
+
+
+def test_a_site_whose_pages_are_all_alike(spark):
+    rows = [(i, f"http://same.org/{i}", "<div class=x><p>The one text of this site.</p></div>") for i in range(12)]
+    assert {r.text for r in W.extract(site(spark, rows)).collect()} == {"The one text of this site."}
+
+
 def test_hot_host_is_reduced_in_groups(spark, monkeypatch):
     monkeypatch.setattr(W, "FAN_IN", 3)
     rows = [(i, "http://one.org/", "<article>" + "".join(f"<h{1 + (i >> b & 1)}>x</h{1 + (i >> b & 1)}>" for b in range(5)) + f"<p>{i}</article>") for i in range(32)]
