@@ -209,3 +209,18 @@ def test_class_weights(spark):
     shares = {r["l"]: r["share"] for r in profiles.shares(df, "l").collect()}
     assert shares == pytest.approx({"a": 2 / 3, "b": 1 / 3})
     assert [r["l"] for r in profiles.rare_values(df, "l", 0.5).collect()] == ["b"]
+
+
+def test_measured_bytes_of_every_type(spark):
+    """A megabyte counts as one, in a binary, an array, a map or a struct as in a text."""
+    big = F.repeat(F.lit("x"), 1 << 20)
+    forms = {
+        "text": big, "binary": big.cast("binary"), "array": F.array(big, big), "numbers": F.sequence(F.lit(1), F.lit(1 << 17)),
+        "map": F.create_map(F.lit("k"), big), "struct": F.struct(F.lit(1).alias("a"), big.cast("binary").alias("b")),
+        "nested": F.array(F.struct(F.array(big).alias("c"))),
+    }
+    for name, value in forms.items():
+        size = measured_bytes(spark.range(1).select(value.alias("v")))
+        assert (1 << 20) <= size <= (2 << 20) + 200, name
+    nothing = spark.range(1).select(*[F.lit(None).cast(t).alias(f"c{i}") for i, t in enumerate(("string", "binary", "array<string>", "map<string,int>", "int"))])
+    assert measured_bytes(nothing) < 200 and measured_bytes(nothing.limit(0)) == 0
