@@ -5,8 +5,11 @@ expression over such trees: an element or slot, once, optional (?) or repeated (
 one kind become a repetition, and two trees are aligned node by node, where what only one of them
 has becomes optional.  The wrappers of a host are aligned pairwise, in small groups, until one is
 left; equal page shapes are reduced to one before, so a host with a third of all pages costs what
-its shapes cost.  The wrapper's slots are then judged with figures over all the host's pages, and
-the slots of the article are filled from each page.
+its shapes cost.
+
+Every page is then matched against its host's wrapper: an element may pass over optional nodes and
+take up a repetition again, and each block of text fills a slot.  Figures of the slots over all
+pages of the host, and the optional marks, tell the host's own text from that of the article.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import hashlib
 import html
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -28,6 +32,8 @@ from latelane.session import materialise
 
 #: Wrappers aligned in one task.
 FAN_IN = 64
+#: A slot with one text on this many different pages holds the host's text.
+ENOUGH = 8
 #: Elements nested deeper belong to their ancestor at this depth; their text is kept.
 DEPTH = 100
 
@@ -66,6 +72,7 @@ _PLAIN_NAMES = frozenset(
 )
 _MAIN_NAMES = frozenset("article articlebody post entry story content".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_BOXES = frozenset("div section ins".split())
 
 
 @lru_cache(maxsize=50_000)
@@ -227,14 +234,6 @@ def expression(wrapper: tuple) -> str:
     return " ".join(map(one, wrapper))
 
 
-def slots(wrapper: tuple, path: tuple = ()) -> list[tuple[str, ...]]:
-    """Paths of the slots."""
-    found = []
-    for label, children, _, _ in wrapper:
-        found += [path] if label == "#" else slots(children, (*path, label))
-    return list(dict.fromkeys(found))
-
-
 def _tuples(x):
     return tuple((label, _tuples(children), opt, rep) for label, children, opt, rep in x)
 
@@ -247,6 +246,75 @@ def load(text: str) -> tuple:
     return _tuples(json.loads(text))
 
 
+class Template:
+    """A wrapper made ready for matching: its nodes have numbers, 0 is the page."""
+
+    def __init__(self, wrapper: tuple):
+        self.label, self.chain, self.optional, self.repeated = [""], [()], [False], [False]
+        self.below: list[list[int]] = [[]]
+        self.places: list[dict[str, list[int]]] = [{}]
+        self.needed: list[list[int]] = [[0]]  # of the first i children, how many are not optional
+        self._add(0, wrapper)
+
+    def _add(self, at: int, nodes: tuple) -> None:
+        for label, children, optional, repeated in nodes:
+            number = len(self.label)
+            self.places[at].setdefault(label, []).append(len(self.below[at]))
+            self.needed[at].append(self.needed[at][-1] + (not optional))
+            self.below[at].append(number)
+            self.label.append(label)
+            self.chain.append((*self.chain[at], number) if label != "#" else self.chain[at])
+            self.optional.append(optional)
+            self.repeated.append(repeated)
+            self.below.append([])
+            self.places.append({})
+            self.needed.append([0])
+            self._add(number, children)
+
+    def slots(self) -> dict[str, tuple]:
+        """Key and chain of elements of every slot."""
+        return {f"#{n}": self.chain[n] for n, label in enumerate(self.label) if label == "#"}
+
+    def labels(self, chain: tuple) -> tuple[str, ...]:
+        return tuple(self.label[x] if isinstance(x, int) else x for x in chain)
+
+    def _take(self, level: list, label: str):
+        """The node that the next child of an open element matches; its label where the wrapper has none."""
+        at, last = level
+        places = self.places[at].get(label) if isinstance(at, int) else None
+        if not places:
+            return label
+        below = self.below[at]
+        if last >= 0 and self.label[below[last]] == label and self.repeated[below[last]]:
+            return below[last]
+        i = bisect_right(places, last)
+        ahead = places[i] if i < len(places) else None
+        if ahead is None or self.needed[at][ahead] > self.needed[at][last + 1]:  # something needed would be passed over
+            back = next((p for p in reversed(places[:i]) if self.repeated[below[p]]), None)
+            ahead = back if back is not None else ahead if ahead is not None else places[i - 1]
+        level[1] = ahead
+        return below[ahead]
+
+    def match(self, parts: list[tuple[tuple[str, ...], str, int]]) -> list[tuple[str, tuple]]:
+        """Slot and chain of elements of every block of text.  What the wrapper lacks has its labels in the chain, and its own slot."""
+        found, labels, levels = [], [], [[0, -1]]
+        for path, text, _ in parts:
+            shared = 0
+            while shared < min(len(path), len(labels)) and labels[shared] == path[shared]:
+                shared += 1
+            del labels[shared:], levels[shared + 1 :]
+            for label in path[shared:]:
+                labels.append(label)
+                levels.append([self._take(levels[-1], label), -1])
+            if text:
+                slot, chain = self._take(levels[-1], "#"), tuple(x for x, _ in levels[1:])
+                found.append((f"#{slot}" if isinstance(slot, int) else "/".join(map(str, chain)), chain))
+            else:
+                labels.pop()
+                levels.pop()
+        return found
+
+
 # --- which slots are the article -----------------------------------------------------------
 
 
@@ -273,168 +341,215 @@ def _main_at(path: tuple[str, ...], kind: str) -> int:
     return -1
 
 
-def article_slots(paths: list[tuple[str, ...]], figures: dict[tuple[str, ...], tuple[int, int, int, bool]]) -> list[tuple[str, ...]]:
-    """The slots of the article among a page's: ``figures`` has (pages, characters, linked characters, constant) of each.
+def article_slots(template: Template, taken: dict[str, tuple], figures: dict[str, tuple[int, int, int, bool]]) -> set[str]:
+    """The slots of the article among those that a page has filled (``taken``: slot and chain of elements).
 
-    An ``article`` element, else ``main``, else a container named so, holds it; without any, the
-    deepest container with most of the text that varies from page to page and is not links.
-    Page headers stand outside it; menus, adverts and the like are left out inside it too.
+    ``figures`` has (different pages, characters, linked characters, constant) of each.  An ``article`` element, else
+    ``main``, else a container named so, holds the article; boxes in it that are optional and have one text on
+    ``ENOUGH`` pages are inserted notices or adverts.  Without any, it is the deepest element of the
+    wrapper with most of the text that varies from page to page and is not links.  Page headers
+    stand outside it; menus, adverts and the like are left out inside it too.
     """
-    open_paths = [p for p in paths if not any(_other(x) for x in p)]
+
+    def constant(slot):
+        pages, _, _, same = figures.get(slot, (0, 0, 0, False))
+        return same and pages >= ENOUGH
+
+    def inserted(slot, chain, at):
+        boxes = (x for x in chain[at + 1 :] if isinstance(x, int) and template.optional[x] and not template.repeated[x])
+        return constant(slot) and any(template.label[x].split(".", 1)[0] in _BOXES for x in boxes)
+
+    paths = {slot: template.labels(chain) for slot, chain in taken.items()}
+    open_slots = {slot: p for slot, p in paths.items() if not any(_other(x) for x in p)}
     for kind in ("article", "main", "named"):
-        found = [p for p in open_paths if (at := _main_at(p, kind)) >= 0 and not any(x.split(".", 1)[0] == "header" for x in p[:at])]
+        found = {slot: at for slot, p in open_slots.items()
+                 if (at := _main_at(p, kind)) >= 0 and not any(x.split(".", 1)[0] == "header" for x in p[:at])}
         if found:
-            return found
-    below_header = [p for p in open_paths if not any(x.split(".", 1)[0] == "header" or "header" in x.split(".")[1:] for x in p)]
-    weight: dict[tuple[str, ...], int] = {}
+            return {slot for slot, at in found.items() if not inserted(slot, taken[slot], at)} or set(found)
+    below_header = [s for s, p in open_slots.items() if not any(x.split(".", 1)[0] == "header" or "header" in x.split(".")[1:] for x in p)]
+    weight: dict[str, int] = {}
     for strict in (True, False):  # where everything is constant or linked, that is no sign
-        for p in below_header:
-            pages, characters, linked, constant = figures.get(p, (0, 0, 0, False))
-            if not strict or not (constant and pages >= 8) and 2 * linked < max(1, characters):
-                weight[p] = max(1, characters - linked)
+        for slot in below_header:
+            _, characters, linked, _ = figures.get(slot, (0, 0, 0, False))
+            if not strict or not constant(slot) and 2 * linked < max(1, characters):
+                weight[slot] = max(1, characters - linked)
         if weight:
             break
-    base: tuple[str, ...] = ()
+    base: tuple = ()
     while True:
-        total = sum(w for p, w in weight.items() if p[: len(base)] == base)
-        below = {}
-        for p, w in weight.items():
-            if p[: len(base)] == base and len(p) > len(base) + 1:
-                below[p[: len(base) + 1]] = below.get(p[: len(base) + 1], 0) + w
-        best = max(below, key=lambda p: (below[p], p), default=None)
-        if best is None or below[best] < 0.6 * total:
-            return [p for p in weight if p[: len(base)] == base]
+        here = {slot: w for slot, w in weight.items() if taken[slot][: len(base)] == base}
+        below: dict[tuple, int] = {}
+        for slot, w in here.items():
+            chain = taken[slot]
+            if len(chain) > len(base) + 1:
+                below[chain[: len(base) + 1]] = below.get(chain[: len(base) + 1], 0) + w
+        best = max(below, key=lambda c: (below[c], tuple(map(str, c))), default=None)
+        if best is None or below[best] < 0.6 * sum(here.values()):
+            return set(here)
         base = best
 
 
 # --- on tables -----------------------------------------------------------------------------
 
-_SHAPES = "host string, wrapper string, slots array<struct<path: string, characters: long, linked: long, text: long>>"
-
-
-def host_of(url: str | None) -> str:
-    m = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "", re.I)
-    return m[1].lower() if m else ""
+_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+_FIGURES = "array<struct<slot: string, pages: long, characters: long, linked: long, constant: boolean>>"
 
 
 def _shapes(batches):
     for batch in batches:
-        hosts, wrappers, figures = [], [], []
-        for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            parts = list(blocks(page or ""))
-            own: dict[str, list] = {}
-            for path, text, linked in parts:
-                if text:
-                    entry = own.setdefault("/".join(path), [0, 0, hashlib.blake2b(digest_size=8)])
-                    entry[0] += len(text)
-                    entry[1] += linked
-                    entry[2].update(text.encode("utf-8", "surrogatepass") + b"\n")
-            hosts.append(host_of(url))
-            wrappers.append(dump(shape(parts)))
-            figures.append([
-                {"path": p, "characters": c, "linked": n, "text": int.from_bytes(h.digest(), "little", signed=True)}
-                for p, (c, n, h) in own.items()
-            ])
-        yield pa.RecordBatch.from_arrays([
-            pa.array(hosts), pa.array(wrappers),
-            pa.array(figures, pa.list_(pa.struct([("path", pa.string()), ("characters", pa.int64()), ("linked", pa.int64()), ("text", pa.int64())]))),
-        ], names=["host", "wrapper", "slots"])
-
-
-_FIGURES = "array<struct<path: string, pages: long, characters: long, linked: long, constant: boolean>>"
+        found = [dump(shape(list(blocks(page or "")))) for page in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], names=["host", "tree"])
 
 
 def _aligned(key: tuple, table: pa.Table) -> pa.Table:
     # Most pages first, so that the common shape leads and rare ones add options.
-    rows = sorted(zip(table["pages"].to_pylist(), table["wrapper"].to_pylist()), key=lambda r: (-r[0], r[1]))
+    rows = sorted(zip(table["pages"].to_pylist(), table["tree"].to_pylist()), key=lambda r: (-r[0], r[1]))
     wrapper = load(rows[0][1])
     for _, text in rows[1:]:
         wrapper = align(wrapper, load(text))
-    return pa.table({"host": [key[0].as_py()], "wrapper": [dump(wrapper)], "pages": pa.array([sum(r[0] for r in rows)], pa.int64())})
+    return pa.table({"host": [key[0].as_py()], "tree": [dump(wrapper)], "pages": pa.array([sum(r[0] for r in rows)], pa.int64())})
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _remembered(known: dict, host: str, make):
+    if host not in known:
+        if len(known) > 256:
+            known.clear()
+        known[host] = make()
+    return known[host]
 
 
-def _by_path(figures) -> dict[tuple[str, ...], tuple[int, int, int, bool]]:
-    return {tuple(f["path"].split("/")) if f["path"] else (): (f["pages"], f["characters"], f["linked"], f["constant"]) for f in figures or ()}
+def _figured(batches):
+    """A row for each slot that a page fills: its characters, those in links, its text and all other text of the page as numbers."""
+    known: dict[str, Template] = {}
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        for host, tree, page in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "html"))):
+            template = _remembered(known, host, lambda: Template(load(tree)))
+            parts = list(blocks(page or ""))
+            texts = [(text, linked) for _, text, linked in parts if text]
+            own: dict[str, list] = {}
+            for (slot, _), (text, linked) in zip(template.match(parts), texts):
+                entry = own.setdefault(slot, [0, 0, []])
+                entry[0] += len(text)
+                entry[1] += linked
+                entry[2].append(text)
+            digests = {slot: _digest(slot + "\n".join(held)) for slot, (_, _, held) in own.items()}
+            whole = sum(digests.values())
+            for slot, (characters, linked, _) in own.items():
+                rest = (whole - digests[slot] + 2**63) % 2**64 - 2**63
+                for column, value in zip(out, (host, slot, characters, linked, digests[slot], rest)):
+                    column.append(value)
+        types = pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(out, types)], names=["host", "slot", "characters", "linked", "text", "rest"]
+        )
+
+
+def _by_slot(figures) -> dict[str, tuple[int, int, int, bool]]:
+    return {f["slot"]: (f["pages"], f["characters"], f["linked"], f["constant"]) for f in figures or ()}
 
 
 def _chosen(batches):
     for batch in batches:
         found, texts = [], []
-        for text, figures in zip(batch.column("wrapper").to_pylist(), batch.column("figures").to_pylist()):
-            wrapper = load(text)
-            found.append(["/".join(p) for p in article_slots(slots(wrapper), _by_path(figures))])
+        for tree, figures in zip(batch.column("tree").to_pylist(), batch.column("figures").to_pylist()):
+            wrapper = load(tree)
+            template, known = Template(wrapper), _by_slot(figures)
+            taken = template.slots()
+            article = article_slots(template, taken, known)
+            found.append(list(dict.fromkeys("/".join(template.labels(taken[slot])) for slot in taken if slot in article)))
             texts.append(expression(wrapper))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("host"), pa.array(texts), pa.array(found, pa.list_(pa.string())), batch.column("figures")],
+            [batch.column("host"), pa.array(texts, pa.string()), pa.array(found, pa.list_(pa.string())), batch.column("figures")],
             names=["host", "wrapper", "article", "figures"],
         )
 
 
-def infer(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """One wrapper per host over all its pages: ``host``, ``wrapper`` (notation), ``article`` (paths of its slots), ``figures`` (of each
-    slot: path, pages, characters, linked characters, whether all pages have one text there)."""
-    shapes = pages.select(F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html")).mapInArrow(_shapes, _SHAPES)
-    shapes = materialise(shapes, "page_shapes")
-    wrappers = materialise(shapes.groupBy("host", "wrapper").agg(F.count(F.lit(1)).alias("pages")), "wrappers")
+def _hosted(pages: DataFrame, url: str, page: str) -> DataFrame:
+    """Pages with a host: ``host``, ``html``."""
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), _HOST, 1))
+    return pages.select(host.alias("host"), F.col(f"`{page}`").alias("html")).filter("host <> ''")
+
+
+def _rules(pages: DataFrame) -> DataFrame:
+    """Of every host: ``tree`` (its wrapper) and ``figures`` (of each slot: different pages, characters, linked characters, whether all
+    pages have one text there).  Pages without a difference outside the slot count as one."""
+    shapes = pages.mapInArrow(_shapes, "host string, tree string")
+    wrappers = materialise(shapes.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("pages")), "wrappers")
     while True:
         per_host = wrappers.groupBy("host").agg(F.count(F.lit(1)).alias("shapes"))
         if not (per_host.agg(F.max("shapes")).first()[0] or 0) > 1:
             break
         placed = wrappers.join(per_host, "host").withColumn(
-            "part", F.expr(f"pmod(xxhash64(wrapper), cast(ceil(shapes / {FAN_IN}) as bigint))")
+            "part", F.expr(f"pmod(xxhash64(tree), cast(ceil(shapes / {FAN_IN}) as bigint))")
         )
         wrappers = materialise(
-            placed.groupBy("host", "part").applyInArrow(_aligned, "host string, wrapper string, pages long"), "wrappers"
+            placed.groupBy("host", "part").applyInArrow(_aligned, "host string, tree string, pages long"), "wrappers"
         )
-    figures = shapes.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path").agg(
-        F.count(F.lit(1)).alias("pages"), F.sum("s.characters").alias("characters"), F.sum("s.linked").alias("linked"),
-        (F.min("s.text") == F.max("s.text")).alias("constant"),
+    wrappers = wrappers.select("host", "tree")
+    filled = pages.join(small(wrappers), "host").mapInArrow(
+        _figured, "host string, slot string, characters long, linked long, text long, rest long"
     )
-    per_host = figures.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "characters", "linked", "constant")).alias("figures"))
-    return wrappers.select("host", "wrapper").join(per_host, "host", "left").mapInArrow(
+    sums = F.sum("characters").alias("characters"), F.sum("linked").alias("linked")
+    per_page = filled.groupBy("host", "slot", "rest").agg(*sums, F.min("text").alias("least"), F.max("text").alias("most"))
+    figures = per_page.groupBy("host", "slot").agg(
+        F.count(F.lit(1)).alias("pages"), *sums, (F.min("least") == F.max("most")).alias("constant")
+    )
+    # One list per host: as long as its wrapper has slots, which a task that matches holds anyway.
+    per_host = figures.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "characters", "linked", "constant")).alias("figures"))
+    return materialise(wrappers.join(per_host, "host", "left"), "wrapper_rules")
+
+
+def infer(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """One wrapper per host over all its pages: ``host``, ``wrapper`` (notation), ``article`` (paths of its slots), ``figures``."""
+    return _rules(_hosted(pages, url, page)).mapInArrow(
         _chosen, f"host string, wrapper string, article array<string>, figures {_FIGURES}"
     )
 
 
 def _filled(batches):
-    known: dict[str, dict] = {}
+    known: dict[str, tuple] = {}
     for batch in batches:
         texts = []
-        for page, rule in zip(batch.column("html").to_pylist(), batch.column("rule").to_pylist()):
-            parts = [(path, text, linked) for path, text, linked in blocks(page or "") if text]
-            figures = {}
-            for path, text, linked in parts:
-                _, characters, links, _ = figures.get(path, (1, 0, 0, False))
-                figures[path] = 1, characters + len(text), links + linked, False
-            if rule:  # a page without a host, or the only one of its kind, is judged by its own figures
-                if rule not in known:
-                    if len(known) > 256:
-                        known.clear()
-                    known[rule] = _by_path(json.loads(rule))
-                figures |= {path: known[rule][path] for path in figures if path in known[rule]}
-            article = set(article_slots(list(figures), figures))
-            texts.append("\n".join(text for path, text, _ in parts if path in article))
+        for host, tree, rule, page in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "figures", "html"))):
+            parts = list(blocks(page or ""))
+            if tree:
+                template, of_host = _remembered(known, host, lambda: (Template(load(tree)), _by_slot(json.loads(rule or "[]"))))
+            else:  # a page without a host is its own wrapper
+                template, of_host = Template(shape(parts)), {}
+            parts_filled = template.match(parts)
+            taken = dict(parts_filled)
+            figures: dict[str, tuple] = {}
+            for (slot, _), (text, linked) in zip(parts_filled, [(t, n) for _, t, n in parts if t]):
+                _, characters, links, _ = figures.get(slot, (1, 0, 0, False))
+                figures[slot] = 1, characters + len(text), links + linked, False
+            figures |= {slot: of_host[slot] for slot in figures if slot in of_host}
+            article = article_slots(template, taken, figures)
+            held = [text for _, text, _ in parts if text]
+            texts.append("\n".join(text for (slot, _), text in zip(parts_filled, held) if slot in article))
         yield pa.RecordBatch.from_arrays(
             [batch.column("k"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["k", "url", "text", "n_chars"],
         )
 
 
-_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-
-
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """The article of every page: ``key``, ``url``, ``text`` (blocks joined by line feeds), ``n_chars`` (code points).
 
     A null or empty page has an empty text.  Pages without a host in their url, null urls among them, have nothing in common
-    and are judged each by itself; so is a host's only page.  Repeated rows and null
+    and are judged each by itself, by its own wrapper.  Repeated rows and null
     keys are pages like others; an empty table gives no rows; other columns are not read.  Unclosed,
     cut-off and very deep markup is read as far as it goes and loses no text of the article.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1))
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html"))
-    rows = rows.withColumn("host", host)
-    rules = infer(rows.filter(F.col("host") != "")).select("host", F.to_json("figures").alias("rule"))
-    joined = rows.join(small(materialise(rules, "slot_figures")), "host", "left")
-    filled = joined.select("k", "url", "html", "rule").mapInArrow(_filled, "k long, url string, text string, n_chars long")
+    rules = _rules(_hosted(pages, url, page)).select("host", "tree", F.to_json("figures").alias("figures"))
+    joined = rows.withColumn("host", host).join(small(rules), "host", "left")
+    filled = joined.select("k", "url", "html", "host", "tree", "figures").mapInArrow(
+        _filled, "k long, url string, text string, n_chars long"
+    )
     return filled.withColumnRenamed("k", key)

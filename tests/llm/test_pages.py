@@ -35,6 +35,49 @@ def test_repetitions_and_options():
     assert W.align((), one) == tuple((n[0], n[1], True, n[3]) for n in one)
 
 
+def filled(wrapper, page):
+    parts = list(W.blocks(page))
+    slots = W.Template(wrapper).match(parts)
+    return [(slot, text) for (slot, _), text in zip(slots, [t for _, t, _ in parts if t], strict=True)]
+
+
+def test_pages_fill_the_slots_of_a_wrapper():
+    one, two = "<div>menu</div><h1>t</h1><dl><dt>a<dd>b<dt>c<dd>d</dl><div>end</div>", "<h1>t</h1><p>x<p>y<dl><dt>e</dl><div>end</div>"
+    wrapper = W.align(shape(one), shape(two))
+    assert W.expression(wrapper) == "(div(#))? h1(#) (p(#))* dl((dt(#))+ (dd(#))*) div(#)"
+    first, second = dict((t, s) for s, t in filled(wrapper, one)), dict((t, s) for s, t in filled(wrapper, two))
+    assert first["menu"] != first["end"] == second["end"] and first["t"] == second["t"]
+    assert first["a"] == first["c"] == second["e"] and first["b"] == first["d"] != first["a"] and second["x"] == second["y"]
+    # Passing over something needed only where no repetition can be taken up again.
+    again = W.align(shape("<dl><dt>a<dd>b<dt>c<dd>d</dl>"), shape("<dl><dt>a<dd>b<dt>c<dd>d</dl>"))
+    assert len({s for s, t in filled(again, "<dl><dt>1<dd>2<dt>3<dd>4<dt>5</dl>") if t in "135"}) == 1
+    # What the wrapper lacks is filled too, under its own labels.
+    assert [t for _, t in filled(wrapper, "<h2>new</h2><div>menu</div><section><p>deep</p></section>")] == ["new", "menu", "deep"]
+    assert filled((), "") == [] and [t for _, t in filled((), "<p>x")] == ["x"]
+
+
+def test_boxes_inserted_into_articles(spark):
+    """An optional box with one text on many pages is the host's; headings, repeated pages and boxes of their own text are not."""
+    box = "<div class=x><p>Our spring offer ends soon.</p></div>"
+    page = "<article><h1>T{0}</h1><p>story {0} of many words, unlike the others</p>{1}<h2>Sources</h2><p>end {0}</p></article>"
+    rows = [(i, f"http://box.org/{i}", page.format(i, box if i % 3 else "")) for i in range(30)]
+    rows += [(100 + i, f"http://copy.org/{i}", page.format(0, box)) for i in range(12)] + [(120, "http://copy.org/x", page.format(1, ""))]
+    rows += [(200 + i, f"http://own.org/{i}", page.format(i, f"<div class=x><p>aside {i}</p></div>" if i % 3 else "")) for i in range(30)]
+    got = {r.page_id: r.text for r in W.extract(site(spark, rows)).collect()}
+    story = "T{0}\nstory {0} of many words, unlike the others\n{1}Sources\nend {0}"
+    assert [got[i] for i in range(30)] == [story.format(i, "") for i in range(30)]
+    assert {got[100 + i] for i in range(12)} == {story.format(0, "Our spring offer ends soon.\n")}
+    assert [got[200 + i] for i in range(30)] == [story.format(i, f"aside {i}\n" if i % 3 else "") for i in range(30)]
+
+
+def test_slots_of_one_path_are_told_apart(spark):
+    """Two plain blocks of one path, the host's before the heading and the story after it."""
+    page = "<body><div>Daily news from the town and the country around it, every morning at six</div><h3>{0}</h3><div>story {0} here</div></body>"
+    rows = [(i, f"http://town.org/{i}", page.format(i)) for i in range(20)]
+    got = {r.page_id: r.text for r in W.extract(site(spark, rows)).collect()}
+    assert [got[i] for i in range(20)] == [f"{i}\nstory {i} here" for i in range(20)]
+
+
 ARTICLE = "<article class=post><h1>T</h1><p>one</p><div class='share-bar'>Share</div><p>two</p></article>"
 
 
