@@ -7,7 +7,8 @@ format.  Values with a format are permuted within it: a keyed Feistel network ov
 values of that format (letters stay letters of their script and case, digits digits, check digits
 hold, addresses stay of their kind), which maps different values to different ones.  Names are composed of
 syllables of their script, with endings of their gender: the one that most titles of the name tell over the
-whole corpus, or without any, the one its own ending tells.  A name has one surrogate whatever its title.
+whole corpus, or without any, the one its own ending tells.  A name has one surrogate whatever its title,
+and without one wherever its text has it with a title too.
 
 The distinct entities of the corpus are then checked: two of one type must not share a surrogate,
 and none may be a value that occurs in the corpus.  Those that do are drawn again with the next
@@ -71,6 +72,10 @@ _TITLES = {
 _NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _PERSON = re.compile(rf"\b({'|'.join(sorted(map(re.escape, _TITLES), key=len, reverse=True))})\b\.?[ \u00a0]({_NAME}(?: {_NAME}){{0,2}})")
 _TITLE_HINT = re.compile("|".join(map(re.escape, _TITLES)))
+_WORD = re.compile(_NAME)
+_POSSESSIVE = re.compile("['’]s\\Z")
+#: Shorter parts of a name are looked for only within the whole name.
+LEAST_NAME = 3
 
 
 def luhn(digits: str) -> int:
@@ -149,6 +154,40 @@ def _dialled(text: str, others: list[tuple[int, int]]) -> list[tuple[int, int, s
     return found
 
 
+def _untitled(text: str, people: list[list[tuple[str, str]]], known: set[int]) -> list[tuple[int, int, str, str]]:
+    """Mentions without a title of the ``people`` (kind and value of each part) that the text names with one.
+
+    A whole name counts wherever it stands; a part of it alone counts if it has a capital, ``LEAST_NAME`` letters, and is
+    nowhere in the text a word without a capital.  A part that is a surname here and a given name there is taken as a surname.
+    ``known`` are the starts of mentions that are found already.
+    """
+    alone: dict[str, str] = {}
+    by_first: dict[str, list] = {}
+    for person in people:
+        if len(person) > 1:
+            by_first.setdefault(person[0][1], []).append(person)
+        for kind, value in person:
+            if value not in alone or kind.startswith("surname") and not alone[value].startswith("surname"):
+                alone[value] = kind
+    words = [(m.start(), m.start() + len(name), name) for m in _WORD.finditer(text) if (name := _POSSESSIVE.sub("", m[0])).lower() in alone]
+    plain = {name for _, _, name in words if name.islower()}
+    out, i = [], 0
+    while i < len(words):
+        a, b, name = words[i]
+        whole = 0
+        for person in by_first.get(name.lower(), ()) if a not in known and name[0].isupper() else ():
+            run = words[i : i + len(person)]
+            joined = all(text[x[1] : y[0]].isspace() and y[2][0].isupper() for x, y in zip(run, run[1:]))
+            if joined and [x[2].lower() for x in run] == [value for _, value in person] and len(person) > whole:
+                whole, parts = len(person), [(x[0], x[1], kind, value) for x, (kind, value) in zip(run, person)]
+        if whole:
+            out += parts
+        elif a not in known and name[0].isupper() and len(name) >= LEAST_NAME and name.lower() not in plain:
+            out.append((a, b, alone[name.lower()], name.lower()))
+        i += whole or 1
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical value) of the entities of a text, in order and without overlaps."""
     found = []
@@ -184,19 +223,26 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if _valid_ssn(value := m[0].replace("-", "")):
                 add("ssn", m, value)
     if _TITLE_HINT.search(text):
-        for m in _PERSON.finditer(text):
-            names = re.findall(_NAME, m[2])
+        people, m = [], _PERSON.search(text)
+        while m:
+            names = [_POSSESSIVE.sub("", x) for x in re.findall(_NAME, m[2])]
             at, kept = m.start(2), []
-            for name in names:  # the name goes on as long as its words have a capital
+            for name in names:  # the name goes on as long as its words have a capital, to the next title
                 at = text.index(name, at)
-                if not name[0].isupper():
+                if not name[0].isupper() or name in _TITLES:
                     break
                 kept.append((at, at + len(name), name))
                 at += len(name)
             gender = _TITLES[m[1]]
+            person = []
             for i, (a, b, name) in enumerate(kept):
                 part = "surname" if i == len(kept) - 1 else "given"
-                found.append((a, b, f"{part}:{gender if part == 'given' else _surname_gender(gender, name)}:{script(name)}", name.lower()))
+                person.append((a, b, f"{part}:{gender if part == 'given' else _surname_gender(gender, name)}:{script(name)}", name.lower()))
+            found += person
+            people.append([x[2:] for x in person])
+            # From the end of the name: what follows may be the next person's title.
+            m = _PERSON.search(text, kept[-1][1] if kept else m.end(1))
+        found += _untitled(text, [p for p in people if p], {x[0] for x in found})
     order = {k: i for i, k in enumerate(("secret", "mail", "iban", "card", "ip", "phone", "ssn"))}
     found.sort(key=lambda x: (order.get(x[2], 9), x[0]))
     kept, taken = [], []

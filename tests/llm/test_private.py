@@ -54,6 +54,31 @@ def test_neighbours_hide_nothing(text, want):
     assert kinds(text) == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Dr Anna Smith came. Anna Smith spoke, Smith left; Anna's coat, Smith’s hat and Mr Smith's car.", ["anna", "smith"] * 2 + ["smith", "anna", "smith", "smith"]),
+    ("Anna Smith met us.", []),
+    ("ANNA SMITH, says Mrs Anna Smith", ["anna", "smith", "anna", "smith"]),
+    ("Mr Brown has a brown dog. Brown bears", ["brown"]),
+    ("Dr Max Brown: a brown dog, Max Brown, Brown, maxim, Maxim", ["max", "brown", "max", "brown"]),
+    ("Mr Li Wu and Li, Wu, Li  Wu, Wu Li", ["li", "wu", "li", "wu"]),
+    ("Frau Eva Groß\nEva\tGroß Eva Klein", ["eva", "groß", "eva", "groß", "eva"]),
+    ("Mr James met Dr James Bell. James", ["james", "james", "bell", "james"]),
+    ("Mr Stone and Dr Bell Mrs Hill, Dr. Prof. Moor", ["stone", "bell", "hill", "moor"]),
+    ("Г-н Иванов пришёл. Иванов ушёл.", ["иванов", "иванов"]),
+])
+def test_people_are_known_without_their_title(text, want):
+    found = S.find(text)
+    assert [v for _, _, _, v in found] == want and all(text[a:b].lower() == v for a, b, _, v in found)
+
+
+def test_untitled_mentions_keep_coreference(spark):
+    rows = [(1, "Dr Anna Smith wrote. Later Anna Smith and Smith's friend called Anna."), (2, "Anna Smith is nobody here."), (3, "Mrs Anna Smith")]
+    got = {r.doc_id: r.text for r in S.redact(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    given, family = got[3].split()[1:]
+    assert got[1] == f"Dr {given} {family} wrote. Later {given} {family} and {family}'s friend called {given}."
+    assert got[2] == rows[1][1] and given != "Anna" and family != "Smith"
+
+
 def test_cards_in_a_long_table_of_numbers():
     text = " ".join(str(i % 97) for i in range(30_000)) + " 4845168114407329 1"
     assert ("card", "4845168114407329") in kinds(text)
