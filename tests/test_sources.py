@@ -118,3 +118,12 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("drop table left_rows")
         spark.sql("drop table right_rows")
+
+
+def test_json_records_are_packed(spark, tmp_path):
+    records = spark.range(2000).select("id", F.lit("a name that every record repeats").alias("name"), F.lit(None).cast("string").alias("gap"))
+    writers.write_json(records, str(tmp_path / "j"))
+    files = [f for f in (tmp_path / "j").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    back = spark.read.schema(records.schema).json(str(tmp_path / "j"))
+    assert back.exceptAll(records).isEmpty() and back.count() == 2000
