@@ -127,3 +127,40 @@ def test_json_records_are_packed(spark, tmp_path):
     assert files and all(f.name.endswith(".json.gz") for f in files)
     back = spark.read.schema(records.schema).json(str(tmp_path / "j"))
     assert back.exceptAll(records).isEmpty() and back.count() == 2000
+
+
+def test_valid_requests_are_told_as_by_the_list_of_rules(spark):
+    values = {"quantity": (1, 0, None), "weight_kg": (1.0, float("nan"), -1.0, None), "risk_score": (0.0, 1.5, None, float("nan"))}
+    rows = [
+        tuple({"quantity": 1, "weight_kg": 2.0, "value_inr": 3.0, "risk_score": 0.5, "month": m, c: v, "type_errors": errors}.values())
+        for c, several in values.items() for v in several for m in ("May", "x", None)
+        for errors in ([], ["quantity: not a valid int"], ["record: not valid JSON"])
+    ]
+    df = spark.createDataFrame(rows, "quantity int, weight_kg double, value_inr double, risk_score double, month string, type_errors array<string>")
+    df = df.withColumns({c: F.lit("x") for c in S.REQUEST_TEXT if c != "month"})
+    for choices in (None, {"month": ("May",)}):
+        both = df.withColumn("ok", requests.is_valid(choices, F.col("type_errors"))).withColumn("listed", requests.violations(choices, F.col("type_errors")))
+        assert both.filter(~F.col("ok").eqNullSafe(F.size("listed") == 0)).isEmpty()
+        valid, rejected = requests.split_valid(df, choices)
+        assert valid.count() > 0 and valid.count() + rejected.count() == len(rows) and rejected.filter(F.size("violations") == 0).isEmpty()
+    assert tuple(requests.counted(df).first()) == (requests.split_valid(df)[0].count(), requests.split_valid(df)[1].count())
+
+
+def test_a_filter_for_valid_requests_holds_no_list_of_rules(spark):
+    df = spark.createDataFrame([], S.REQUESTS)
+    plan = requests.split_valid(df)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "field required" not in plan and "array" not in plan
+
+
+def test_raw_tables_are_read_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "v.csv").write_text(GOOD_CSV)
+    (tmp_path / "bad.csv").write_text(VENDOR_CSV)
+    (tmp_path / "p.csv").write_text(",".join(S.SHIPMENTS.fieldNames()) + "\n")
+    (tmp_path / "r.csv").write_text(",".join(S.ROUTE_STATS.fieldNames()) + "\n")
+    kept = store.FeatureStore(spark, str(tmp_path / "store"))
+    monkeypatch.setattr(readers, "malformed", None)  # a pass of its own
+    kept.load_raw_tables(*[str(tmp_path / f"{n}.csv") for n in "pvr"])
+    with pytest.raises(SourceError, match="1 malformed in on_time_rate"):
+        kept.load_raw_tables(str(tmp_path / "p.csv"), str(tmp_path / "bad.csv"), str(tmp_path / "r.csv"))
+    assert kept.table("vendor_stats").count() == 3 and kept.versions("vendor_stats").count() == 1
+    assert len([f for f in (tmp_path / "store" / "vendor_stats").iterdir() if f.name.startswith("version=")]) == 1
