@@ -102,6 +102,8 @@ class Encoder:
         letters, numbers = _class("L"), _class("N")
         space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
+        # The same words of a lowered text in ASCII, by classes that are small bitmaps.
+        self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
         self.newer = re.compile("[" + "".join(_unassigned()) + "]")
         self.library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.size, self.compatible = size, {}
@@ -169,6 +171,10 @@ class Encoder:
             return self.library.normalize_str(text)  # characters that Python's Unicode tables do not have yet
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def split_words(self, text: str) -> list[str]:
+        """The words of the normalised text."""
+        return self.ascii_words.findall(text.lower()) if text.isascii() else self.words.findall(self.normal(text))
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         out, known = [], self.known
@@ -176,7 +182,7 @@ class Encoder:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
                 continue
-            words = self.words.findall(self.normal(part))
+            words = self.split_words(part)
             try:
                 out.append(b"".join([known[w] for w in words]))
             except KeyError:

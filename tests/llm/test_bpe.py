@@ -65,3 +65,10 @@ def test_nulls_and_clashing_columns(spark):
     assert got[1].n_tokens == 0 and got[2].ids == b"" and got[None].n_tokens == 2
     assert bpe.encode(df.filter("false"), PATH).count() == 0
     assert bpe.decode(bpe.encode(df, PATH).withColumn("decoded", bpe.F.lit(1)), PATH).filter("doc_id is null").first().decoded == "the</w> cat</w>"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=127)))
+def test_words_of_ascii_texts_are_those_of_all_texts(text):
+    e = bpe.encoder(PATH)
+    assert e.split_words(text) == e.words.findall(e.normal(text))
