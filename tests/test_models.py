@@ -251,3 +251,19 @@ def test_the_better_candidate_is_kept(frame):
     late = training.prepare_reasons(frame, "row_key")[0].limit(50)
     for r in training.predict_reason(bundle, late).collect():
         assert len(r["reason_p"]) == len(bundle.classes) and sum(r["reason_p"]) == pytest.approx(1)
+
+
+def test_large_tables_are_dealt_in_whole_waves():
+    """29 million rows for 12 cores: 24 parts, not 15, whose last three would keep nine cores waiting."""
+    assert training.even_parts(29_000_000, 12) == 24 and training.even_parts(78_000_000, 12) == 48
+    assert training.even_parts(2_900_000, 12) == 12 and training.even_parts(2_900_000, 12, 7) == 2 and training.even_parts(0, 12) == 1
+
+
+def test_boosting_holds_no_node_numbers_and_grows_the_same_trees(spark):
+    encoded, _ = _boosted(spark, 2)
+    spark.sparkContext.setCheckpointDir(training.new_path(spark, "checkpoints"))
+    trees = []
+    for held in ({}, {"cacheNodeIds": True}):
+        learner = GBTClassifier(maxIter=5, maxDepth=4, seed=1, **{**training.Settings().long_boosting(), **held})
+        trees.append(learner.fit(encoded).toDebugString.split("\n", 1)[1])
+    assert trees[0] == trees[1] and "cacheNodeIds" not in training.Settings().long_boosting()
