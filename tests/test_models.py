@@ -1,6 +1,7 @@
 """Model bundles by property: better than the majority, repeatable, the same after loading."""
 
 import math
+import threading
 
 import pytest
 from pyspark.ml.classification import GBTClassifier
@@ -14,7 +15,7 @@ from latelane.models.bundles import Bundle
 from latelane.models.encoding import encode_folds, feature_columns, fit_encoder
 from latelane.operators import metrics, splits
 from latelane.plans.predict import Predictor
-from registry import standin
+from registry import models, standin
 from registry.models import _stored_frame
 from tests.conftest import SF
 
@@ -267,3 +268,21 @@ def test_boosting_holds_no_node_numbers_and_grows_the_same_trees(spark):
         learner = GBTClassifier(maxIter=5, maxDepth=4, seed=1, **{**training.Settings().long_boosting(), **held})
         trees.append(learner.fit(encoded).toDebugString.split("\n", 1)[1])
     assert trees[0] == trees[1] and "cacheNodeIds" not in training.Settings().long_boosting()
+
+
+def test_missing_bundles_are_trained_side_by_side_on_one_frame(spark, monkeypatch):
+    built, together, trained = [], threading.Barrier(3, timeout=60), []
+
+    def train(spark, frame, name):
+        together.wait()  # breaks unless all three are in training at once
+        trained.append((name, frame))
+        return name
+
+    monkeypatch.setattr(models, "_TRAINED", {})
+    monkeypatch.setattr(models, "_stored_frame", lambda spark, sf: built.append(sf) or "frame")
+    monkeypatch.setattr(models, "_train", train)
+    monkeypatch.setattr(models.Bundle, "load", staticmethod(lambda spark, path: path))
+    names = ("binary", "days", "reasons")
+    assert models._bundles(spark, SF, names) == list(names) and built == [SF]
+    assert sorted(trained) == [(n, "frame") for n in names]
+    assert models._bundle(spark, SF, "days") == "days" and len(trained) == 3  # a trained one is opened again
