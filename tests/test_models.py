@@ -2,9 +2,11 @@
 
 import math
 import threading
+import time
 
 import pytest
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
@@ -98,6 +100,46 @@ def test_folds_are_encoded_once_as_if_apart(spark):
             assert sorted(got) == sorted(want[held])
 
 
+def test_a_fold_reads_its_own_numbers_alone(spark):
+    """The stored rows hold a plain column for each number; what a fold's learner scans is the label, the fold, what all folds share and its own means."""
+    rows = spark.range(60).select(
+        F.col("id"), (F.col("id") % 3).cast("int").alias("fold"), F.concat(F.lit("L"), (F.col("id") * 13 % 11)).alias("c"), F.concat(F.lit("f"), F.col("id") % 4).alias("d"),
+        (F.col("id") * 3 % 7).cast("double").alias("x"), (F.col("id") * 7 % 5 % 2).cast("double").alias("label"))
+    table = encode_folds(rows, ["x"], ["c", "d"], 2, 3, wide=("c",))
+    assert {f.dataType.simpleString() for f in table.rows.schema.fields} == {"double", "int"}
+    for k in range(3):
+        scanned = table.training(k)._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1]
+        others = [m for j in range(3) if j != k for m in table.means[j]]
+        assert len(table.means[k]) == 2 and all(f"{m}:" in scanned for m in table.means[k]) and not any(f"{m}:" in scanned for m in others)
+        kinds = table.training(k).schema["features"].metadata["ml_attr"]["attrs"]
+        assert [a["name"] for a in kinds["nominal"]] == ["__d_number"] and len(kinds["numeric"]) == 3
+
+
+def test_fits_run_side_by_side_while_their_rows_fit(spark):
+    assert training.fits_at_once(1_300_000, 12, 5) == 5 and training.fits_at_once(13_000_000, 12, 5) == 1 and training.fits_at_once(78_000_000, 12, 5) == 1
+    assert training.fits_at_once(6_000_000, 12, 5) == 4 and training.fits_at_once(0, 12, 5) == 5
+    running, most, lock = [0], [0], threading.Lock()
+
+    def fit():
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.05)
+        with lock:
+            running[0] -= 1
+        return 7
+
+    assert boosting.side_by_side(spark, [fit] * 5, 2) == [7] * 5 and most[0] <= 2
+
+
+def test_node_numbers_leave_the_forest_as_it_is(spark):
+    """A forest that holds each row's nodes has the trees that it has when it finds them again."""
+    data = spark.range(500).select(F.col("id") * 37 % 101, F.col("id") * 17 % 23, (F.col("id") * 37 % 101 % 3).cast("double").alias("label"), F.lit(1.0).alias("weight"))
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(data.toDF("a", "b", "label", "weight")).cache()
+    trees = [training._forest(TINY, 3, 32, nodes).fit(data).toDebugString.split("\n", 1)[1] for nodes in (True, False)]
+    assert trees[0] == trees[1]
+
+
 def _boosted(spark, classes=3, rounds=6):
     data = spark.range(400).select((F.col("id") * 37 % 101).alias("a"), (F.col("id") * 17 % 23).alias("b"), (F.col("id") * 37 % 101 % classes).cast("double").alias("label"))
     encoder, encoded = fit_encoder(data.withColumn("k", F.col("a")), "k", ["a", "b"], [], "label", wide=())
