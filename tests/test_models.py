@@ -5,10 +5,11 @@ import threading
 import time
 
 import pytest
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from latelane.errors import ScoringError, TrainingError
@@ -328,3 +329,14 @@ def test_missing_bundles_are_trained_side_by_side_on_one_frame(spark, monkeypatc
     assert models._bundles(spark, SF, names) == list(names) and built == [SF]
     assert sorted(trained) == [(n, "frame") for n in names]
     assert models._bundle(spark, SF, "days") == "days" and len(trained) == 3  # a trained one is opened again
+
+
+def test_models_of_two_classes_reach_the_tasks_of_a_session_that_observed_a_table(spark):
+    spark.range(3).observe(Observation(), F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    rows = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 7).alias("x"), (F.col("id") % 7 > 3).cast("double").alias("label"))
+    bundle = training.ReasonTrainer("k", 2, ["x"], [], TINY).fit(rows, "forest", [1, 2], 0)
+    said = training.predict_reason(bundle, rows).select("label", F.get("reason_p", F.lit(1)).alias("p")).collect()
+    assert len(said) == 400 and all((r.p > 0.5) == (r.label == 1) for r in said)
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    model = training.fitted(LogisticRegression(), data)
+    assert [r.prediction for r in model.transform(data).collect()] == [r.label for r in data.collect()]
