@@ -24,6 +24,12 @@ def key_bits(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
+def _matched(rows: DataFrame, cells: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join that sorts and merges, whatever the files' sizes: a table that packs well, or has a row for each of 21 depths,
+    is far larger in memory than they tell, and the driver would hold it whole."""
+    return rows.join(cells.hint("merge"), on)
+
+
 def _leaves(cells: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Of ``cells`` (``region``, ``cell``: 20 bits, bytes, docs): the leaf of each cell, and the cells that must split on."""
     levels = cells.select(
@@ -35,12 +41,12 @@ def _leaves(cells: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     )
     whole = (F.col("bytes") <= limit) | (F.col("docs") == 1)
     parents = sums.filter(~whole).select("region", (F.col("d") + 1).alias("d"), F.col("prefix").alias("up"))
-    below = sums.withColumn("up", F.expr("shiftright(prefix, 1)")).join(parents, ["region", "d", "up"])
+    below = _matched(sums.withColumn("up", F.expr("shiftright(prefix, 1)")), parents, ["region", "d", "up"])
     leaf = sums.filter("d = 0").unionByName(below.select(*sums.columns)).filter(whole)
     at_cell = cells.select(
         "region", "cell", F.explode(F.sequence(F.lit(0), F.lit(STEP))).alias("d")
     ).withColumn("prefix", F.expr(f"shiftright(cell, {STEP} - d)"))
-    placed = at_cell.join(leaf, ["region", "d", "prefix"])
+    placed = _matched(at_cell, leaf, ["region", "d", "prefix"])
     return placed, sums.filter((F.col("d") == STEP) & ~whole).select("region", F.col("prefix").alias("cell"))
 
 
@@ -69,7 +75,7 @@ def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text", p
         cells = rows.groupBy("region", "cell").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("docs"))
         leaves, full = _leaves(materialise(cells, "shard_cells"), limit)
         bits = F.when(F.col("d") > 0, F.lpad(F.bin("prefix"), F.col("d"), F.lit("0"))).otherwise("")
-        done.append(rows.join(leaves, ["region", "cell"]).select(
+        done.append(_matched(rows, leaves, ["region", "cell"]).select(
             F.col("k").alias(key), "n_bytes", F.concat("region", bits).alias("shard"), (F.col("d") + used).alias("depth"),
             F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"), (F.col("bytes") > limit).alias("oversized"),
             *([F.col("at").alias(place)] if place else []),
@@ -79,7 +85,7 @@ def assign(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text", p
             break
         used += STEP
         rows = materialise(
-            rows.join(full, ["region", "cell"]).select(
+            _matched(rows, full, ["region", "cell"]).select(
                 "k", "n_bytes", "bits", "at",
                 F.concat("region", F.lpad(F.bin("cell"), F.lit(STEP), F.lit("0"))).alias("region"),
             ), "shard_rows",

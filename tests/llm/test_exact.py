@@ -131,6 +131,12 @@ def test_one_key_is_split_by_place(spark):
     assert ext_sharding.assign(docs(spark, []), 55).count() == 0
 
 
+def test_no_shard_table_reaches_the_driver(spark):
+    """Neither the rows nor the directory are broadcast, however small their files: a few bytes there can be many rows."""
+    plan = ext_sharding.assign(docs(spark, [(i, "abc", "s") for i in range(30)] + [(31, "x", "s")] * 30), 20)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_write_shards(spark):
     path = ext_sharding.write_shards(docs(spark, [(i, "abc", "s") for i in range(30)]), 20)
     assert sorted(r.doc_id for r in spark.read.parquet(path).collect()) == list(range(30))
