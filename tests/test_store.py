@@ -12,6 +12,8 @@ from latelane.plans.scoring import Lookups
 from latelane.sources import folders, readers
 from latelane.sources.store import FeatureStore
 from latelane.streaming import scoring as stream
+from registry import queries
+from tests.conftest import SF
 
 
 def test_many_saves_leave_few_versions_and_one_log(spark, tmp_path):
@@ -116,3 +118,24 @@ def test_a_running_stream_takes_up_new_lookups(spark, tmp_path):
         query.stop()
     got = spark.read.parquet(f"{out}/run=*").select("lookup_version", "enrichment.vendor_tier").collect()
     assert sorted(map(tuple, got)) == [(1, "EXCELLENT"), (2, "POOR")]
+
+
+def test_bucketed_rows_are_finished_after_they_are_dealt(spark, tmp_path):
+    kept, seen = FeatureStore(spark, str(tmp_path)), []
+    finish = lambda df: seen.append((df.columns, df.rdd.getNumPartitions())) or df.withColumn("name", F.concat(F.lit("n"), "id"))
+    saved = kept.save_bucketed(spark.range(50), "finished", "id", 4, finish)
+    assert seen == [(["id"], 4)] and sorted(r.name for r in saved.collect()) == sorted(f"n{i}" for i in range(50))
+
+
+def test_colocated_shipments_are_dealt_without_names_and_stored_as_declared(spark, monkeypatch):
+    dealt, save = {}, FeatureStore.save_bucketed
+
+    def saved(self, df, name, key, buckets, *finish):
+        out = save(self, df, name, key, buckets, *finish)
+        dealt[name.split("_")[0]] = (df.columns, out.columns)
+        return out
+
+    monkeypatch.setattr(FeatureStore, "save_bucketed", saved)
+    queries.colocated_frame(spark, SF)
+    travelled, stored = dealt["shipments"]
+    assert not {"origin_city", "destination_state", "month", "on_time", "row_key"} & set(travelled) and stored == S.SHIPMENTS.fieldNames()
