@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from latelane import schemas as S
 from latelane.errors import ScoringError, TrainingError
 from latelane.models import boosting, training
 from latelane.models.bundles import Bundle
@@ -340,3 +341,18 @@ def test_models_of_two_classes_reach_the_tasks_of_a_session_that_observed_a_tabl
     data = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
     model = training.fitted(LogisticRegression(), data)
     assert [r.prediction for r in model.transform(data).collect()] == [r.label for r in data.collect()]
+
+
+def test_the_frame_holds_what_models_read_and_no_more(frame):
+    numeric, categorical = feature_columns(frame)
+    assert set(frame.columns) == {"row_key", "will_delay", "delay_days", "delay_reason", *numeric, *categorical}
+    assert set(S.DEFAULT_FEATURES.categorical) <= set(categorical) and "value_per_kg" in numeric and "route_pair" in categorical
+
+
+def test_folds_are_not_stored_beside_the_rows(frame, monkeypatch):
+    stored, write = [], training.materialise
+    monkeypatch.setattr(training, "materialise", lambda df, name: stored.append(name) or write(df, name))
+    monkeypatch.setattr(training, "encode_folds", lambda rows, *_: stored.append(sorted(r[0] for r in rows.select("fold").distinct().collect())) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        training.cross_validate_reasons(frame, "row_key", 3, TINY)
+    assert stored == ["reason_rows", [0, 1, 2]]
